@@ -1 +1,130 @@
-"""."""
+"""Sources, stored results, raw SQL, and SQL functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlake.functions import routines
+from ledgerlake.plans import roles
+from ledgerlake.plans.registry import Tables, query
+from ledgerlake.plans.roles import with_todo
+from ledgerlake.session import scratch_path
+from ledgerlake.sources import results, seeds
+
+
+@query(
+    "S1",
+    """
+SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || ', "the ' || lower(c_mktsegment) || '"' AS name,
+       coalesce(nullif(c_mktsegment, 'FURNITURE'), '') AS segment
+FROM customer""",
+)
+def s1_csv_seed(t: Tables) -> DataFrame:
+    """Rows written as CSV with padded names and cells, read back as trimmed strings."""
+    segment = F.col("c_mktsegment")
+    rows = t.customer.select(
+        F.concat(F.lit("  "), F.col("c_custkey"), F.lit(" ")).alias("id"),
+        F.concat("c_name", F.lit(', "the '), F.lower(segment), F.lit('"')).alias(" name "),
+        F.when(segment != "FURNITURE", F.concat(segment, F.lit("  "))).alias("segment"),
+    )
+    path = scratch_path(t.spark, "csv")
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return seeds.read_csv_seed(t.spark, path, multiline=False)
+
+
+@query("S2", "SELECT event_id AS id, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, event_type || ', // not a comment' AS kind FROM events")
+def s2_json5_documents(t: Tables) -> DataFrame:
+    """Relaxed JSON: comments, unquoted keys, single quotes and trailing commas."""
+    text = F.concat(
+        F.lit("// event\n{ id: "), F.col("event_id"), F.lit(", /* from props */\n 'k': "), F.get_json_object("props", "$.k"),
+        F.lit(",\n kind: '"), F.col("event_type"), F.lit(", // not a comment',\n}"),
+    )
+    parsed = F.from_json(seeds.one_line_json(text), "id BIGINT, k INT, kind STRING", {k: str(v).lower() for k, v in seeds.RELAXED.items()})
+    return t.events.select(parsed.alias("r")).select("r.*")
+
+
+@query("S6", "SELECT n_nationkey AS id, n_name AS name, '[\"read\",\"' || lower(r_name) || '\"]' AS permissions FROM nation JOIN region ON r_regionkey = n_regionkey")
+def s6_seed_insert(t: Tables) -> DataFrame:
+    """Seed rows with a list column, appended as JSON text."""
+    regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.array(F.lit("read"), F.lower("r_name")).alias("permissions"))
+    rows = t.nation.join(regions, "n_regionkey").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "permissions")
+    path = scratch_path(t.spark, "roles")
+    seeds.with_json_text(rows).write.mode("append").parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("S7", with_todo("SELECT id, title, color, position, created_at FROM lists"))
+def s7_saved_results(t: Tables) -> DataFrame:
+    folder = scratch_path(t.spark, "results")
+    results.save_result(roles.lists(t).select("id", "title", "color", "position", "created_at"), folder, "first")
+    return results.load_result(t.spark, folder, "first")
+
+
+@query("S8 A15", "SELECT count(*) AS row_count, true AS success FROM orders WHERE o_totalprice > 1000")
+def s8_recorded_query(t: Tables) -> DataFrame:
+    """A statement run, stored and entered in the history."""
+    t.orders.createOrReplaceTempView("recorded_orders")
+    history, folder = scratch_path(t.spark, "history"), scratch_path(t.spark, "results")
+    text = "SELECT o_orderkey, o_custkey FROM recorded_orders WHERE o_totalprice > :least"
+    results.record_sql(t.spark, text, history, folder, {"least": 1000})
+    return results.recent(t.spark, history).select("row_count", "success")
+
+
+@query("S9", "SELECT o_orderpriority, count(*) AS orders FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
+def s9_raw_sql(t: Tables) -> DataFrame:
+    t.orders.createOrReplaceTempView("raw_orders")
+    text = "SELECT o_orderpriority, count(*) AS orders FROM raw_orders WHERE o_orderstatus = :status GROUP BY o_orderpriority"
+    return results.run_sql(t.spark, text, {"status": "F"}).rows
+
+
+@query(
+    "U3 S9",
+    """
+WITH RECURSIVE chain AS (
+  SELECT c_custkey AS id, 0 AS level FROM customer WHERE c_custkey = 0
+  UNION ALL SELECT c.c_custkey, level + 1 FROM customer c JOIN chain ON c.c_custkey // 8 = chain.id AND c.c_custkey > 0)
+SELECT level, count(*) AS employees FROM chain GROUP BY level""",
+)
+def u3_recursive_sql(t: Tables) -> DataFrame:
+    """The recursive statement itself, passed through as text; the row limit of recursion is lifted."""
+    t.customer.createOrReplaceTempView("employees")
+    text = """
+        WITH RECURSIVE chain(id, level) AS (
+          SELECT c_custkey, 0 FROM employees WHERE c_custkey = 0
+          UNION ALL SELECT c.c_custkey, level + 1 FROM employees c JOIN chain ON c.c_custkey div 8 = chain.id AND c.c_custkey > 0)
+        SELECT level, count(*) AS employees FROM chain GROUP BY level"""
+    return results.run_sql(t.spark, text).rows
+
+
+@query(
+    "D1 F5 F6 F7",
+    with_todo("""
+SELECT l.id, CASE WHEN strpos(u.email, '@') > 0 AND strpos(substr(u.email, strpos(u.email, '@')), '.') > 0 THEN true ELSE false END AS valid_email,
+       coalesce(regexp_matches(l.color, '^#[0-9A-Fa-f]{6}$'), true) AS valid_color,
+       CASE position % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' ELSE 'Unknown' END AS label
+FROM lists l JOIN users u ON u.id = l.user_id"""),
+)
+def d1_scalar_functions(t: Tables) -> DataFrame:
+    routines.create_scalar_functions(t.spark)
+    users = roles.users(t).select(F.col("id").alias("user_id"), "email")
+    return roles.lists(t).join(users, "user_id").select(
+        "id",
+        F.expr("is_valid_email(email)").alias("valid_email"),
+        F.expr("is_valid_hex_color(color)").alias("valid_color"),
+        F.expr("priority_label(position % 5)").alias("label"),
+    )
+
+
+@query("D2", with_todo("SELECT id, title, position FROM lists WHERE user_id = 11 AND deleted_at IS NULL ORDER BY position"))
+def d2_table_function(t: Tables) -> DataFrame:
+    roles.lists(t).createOrReplaceTempView("todo_lists")
+    roles.users(t).createOrReplaceTempView("users")
+    routines.create_table_functions(t.spark)
+    return t.spark.sql("SELECT id, title, position FROM lists_of_user(11) ORDER BY position")
+
+
+@query("D3", with_todo("SELECT id, username FROM users WHERE nation_id = 3 AND deleted_at IS NULL"))
+def d3_query_procedure(t: Tables) -> DataFrame:
+    roles.users(t).createOrReplaceTempView("users")
+    return routines.call(t.spark, "users_of_nation", nation=3)

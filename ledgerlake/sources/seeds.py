@@ -44,13 +44,16 @@ def read_json_seed(spark: SparkSession, path: str, schema: StructType | str | No
     return (reader if schema is None else reader.schema(schema)).json(clean)
 
 
-def append_rows(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> None:
-    """Append seed rows to a table; array columns are stored as JSON text."""
-    rows = df.select(*columns) if columns else df
-    flat = rows.select(
+def with_json_text(rows: DataFrame) -> DataFrame:
+    """Array columns as JSON text, which is how a seed stores a list in a text column."""
+    return rows.select(
         *[
             F.to_json(f.name).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name)
             for f in rows.schema.fields
         ]
     )
-    flat.write.mode("append").insertInto(table)
+
+
+def append_rows(rows: DataFrame, table: str, columns: Sequence[str] | None = None) -> None:
+    """Append seed rows to a table, by position of its columns."""
+    with_json_text(rows.select(*columns) if columns else rows).write.mode("append").insertInto(table)
