@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.binding import let
+
 # An event belongs to the first level whose pattern it matches, else to debug.
 LEVEL_PATTERNS = {
     "error": r"^error$|:error$|:failed$",
@@ -19,7 +22,7 @@ LEVEL_PATTERNS = {
 LEVEL_RANK = {"error": 1, "warn": 2, "info": 3, "debug": 4}
 
 # Message text per event. ``{field}`` is the field's value, ``{#field}`` the length of an array field,
-# ``{,field}`` an array field joined by commas.
+# ``{,field}`` an array field joined by commas. A name with ``!`` is the text for when the event's test fails.
 MESSAGES = {
     "file:before": "Executing {filepath}",
     "file:skip": "Skipped {filepath} ({reason})",
@@ -65,15 +68,18 @@ MESSAGES = {
     "logger:flushed": "Flushed {entriesWritten} log entries",
     "settings:loaded": "Settings loaded from {path}",
     "settings:saved": "Settings saved to {path}",
+    "file:after": "Executed {filepath} ({durationMs}ms)",
+    "file:after!": "Failed {filepath}: {error}",
+    "build:complete": "Build complete: {filesRun} run, {filesSkipped} skipped ({durationMs}ms)",
+    "build:complete!": "Build failed after {filesRun} files ({durationMs}ms)",
+    "config:activated": "Activated config: {name} (was {previous})",
+    "config:activated!": "Activated config: {name}",
+    "settings:initialized": "Settings initialized at {path} (forced)",
+    "settings:initialized!": "Settings initialized at {path}",
 }
-# Events whose text depends on their data, as (text if the test holds, text if not).
-FILE_AFTER = ("Executed {filepath} ({durationMs}ms)", "Failed {filepath}: {error}")
-BUILD_COMPLETE = (
-    "Build complete: {filesRun} run, {filesSkipped} skipped ({durationMs}ms)",
-    "Build failed after {filesRun} files ({durationMs}ms)",
-)
-CONFIG_ACTIVATED = ("Activated config: {name} (was {previous})", "Activated config: {name}")
-SETTINGS_INITIALIZED = ("Settings initialized at {path} (forced)", "Settings initialized at {path}")
+# The tests of these events, a field that is ``success`` or one that is set.
+SUCCESS_TESTS = {"file:after": "status", "build:complete": "status"}
+PRESENCE_TESTS = {"config:activated": "previous", "settings:initialized": "force"}
 
 
 def classify_event(event: Column) -> Column:
@@ -125,7 +131,10 @@ def _object_keys(value: Column) -> Column:
 
 def _summary(value: Column, longest: int, nested: bool) -> Column:
     """A value shortened for a message: long strings cut, containers replaced by their size (or by ``[...]``)."""
-    kind = _kind(value)
+    return let(_kind(value), lambda kind: _shortened(value, kind, longest, nested))
+
+
+def _shortened(value: Column, kind: Column, longest: int, nested: bool) -> Column:
     text = _text(value)
     cut = F.concat(F.lit('"'), F.substring(text, 1, longest - 3), F.lit('..."'))
     quoted = F.concat(F.lit('"'), text, F.lit('"'))
@@ -148,10 +157,10 @@ def _fields(data: Column) -> Column:
     return F.from_json(data, "map<string,variant>")
 
 
-def _field(fields: Column, name: str) -> Column:
+def _field(fields: Column, name: Column) -> Column:
     """Field as it prints inside a message: a field that is not there prints as ``undefined``."""
-    value = F.try_element_at(fields, F.lit(name))
-    present = F.coalesce(F.map_contains_key(fields, F.lit(name)), F.lit(False))
+    value = F.try_element_at(fields, name)
+    present = F.coalesce(F.map_contains_key(fields, name), F.lit(False))
     return F.when(present, _text(value)).otherwise(F.lit("undefined"))
 
 
@@ -160,26 +169,27 @@ def _truthy(fields: Column, name: str) -> Column:
     return F.coalesce(~value.cast("string").isin("", "false", "0"), F.lit(False))
 
 
-def _render(template: str, fields: Column) -> Column:
-    parts = []
-    for literal, mark, name in re.findall(r"([^{]*)(?:\{([#,]?)(\w+)\})?", template):
-        if literal:
-            parts.append(F.lit(literal))
-        if not name:
-            continue
-        value = F.try_element_at(fields, F.lit(name))
-        if mark == "#":
-            parts.append(F.coalesce(_array_size(value), F.lit(0)).cast("string"))
-        elif mark == ",":
-            joined = F.array_join(F.try_variant_get(value, "$", "array<string>"), ", ")
-            parts.append(F.coalesce(joined, F.lit("undefined")))
-        else:
-            parts.append(_field(fields, name))
-    return F.concat(*parts)
+def _templates() -> Column:
+    """Map from event to the parts of its text; a constant that the optimizer folds."""
+    parts = {
+        event: [
+            {"text": text, "mark": mark, "name": name}
+            for text, mark, name in re.findall(r"([^{]+)|\{([#,]?)(\w+)\}", template)
+        ]
+        for event, template in MESSAGES.items()
+    }
+    return F.from_json(F.lit(json.dumps(parts)), "map<string,array<struct<text:string,mark:string,name:string>>>")
 
 
-def _either(texts: tuple[str, str], test: Column, fields: Column) -> Column:
-    return F.when(test, _render(texts[0], fields)).otherwise(_render(texts[1], fields))
+def _render(part: Column, fields: Column) -> Column:
+    value = F.try_element_at(fields, part["name"])
+    joined = F.array_join(F.try_variant_get(value, "$", "array<string>"), ", ")
+    return (
+        F.when(part["name"] == "", part["text"])
+        .when(part["mark"] == "#", F.coalesce(_array_size(value), F.lit(0)).cast("string"))
+        .when(part["mark"] == ",", F.coalesce(joined, F.lit("undefined")))
+        .otherwise(_field(fields, part["name"]))
+    )
 
 
 def _first_entries(fields: Column, separator: str, show) -> Column:
@@ -216,26 +226,29 @@ def _error_text(fields: Column) -> Column:
 
 
 def event_message(event: Column, data: Column) -> Column:
-    """Message of an event: its template, else its name with the first three fields."""
-    fields = _fields(F.coalesce(data, F.lit("{}")))
-    status = F.try_element_at(fields, F.lit("status")).cast("string")
-    success = F.coalesce(status == "success", F.lit(False))
+    """Message of an event: its template, else its name with the first three fields. The data is parsed once."""
+    return let(_fields(F.coalesce(data, F.lit("{}"))), lambda fields: _message(event, fields))
+
+
+def _message(event: Column, fields: Column) -> Column:
+    passed = F.lit(True)
+    for name, field in SUCCESS_TESTS.items():
+        success = F.try_element_at(fields, F.lit(field)).cast("string") == "success"
+        passed = F.when(event == name, F.coalesce(success, F.lit(False))).otherwise(passed)
+    for name, field in PRESENCE_TESTS.items():
+        passed = F.when(event == name, _truthy(fields, field)).otherwise(passed)
+    parts = F.try_element_at(_templates(), F.when(passed, event).otherwise(F.concat(event, F.lit("!"))))
+    from_template = let(parts, lambda ps: F.array_join(F.transform(ps, lambda p: _render(p, fields)), ""))
+
     logger_error = F.coalesce(
-        F.try_variant_get(F.try_element_at(fields, F.lit("error")), "$.message", "string"), _field(fields, "error")
+        F.try_variant_get(F.try_element_at(fields, F.lit("error")), "$.message", "string"), _field(fields, F.lit("error"))
     )
-    out = (
-        F.when(event == "file:after", _either(FILE_AFTER, success, fields))
-        .when(event == "build:complete", _either(BUILD_COMPLETE, success, fields))
-        .when(event == "config:activated", _either(CONFIG_ACTIVATED, _truthy(fields, "previous"), fields))
-        .when(event == "settings:initialized", _either(SETTINGS_INITIALIZED, _truthy(fields, "force"), fields))
-        .when(event == "logger:error", F.concat(F.lit("Logger error: "), logger_error))
-        .when(
-            event == "error",
-            F.concat(F.lit("Error in "), _field(fields, "source"), F.lit(": "), _error_text(fields)),
-        )
-    )
-    for name, template in MESSAGES.items():
-        out = out.when(event == name, _render(template, fields))
+    source = F.concat(F.lit("Error in "), _field(fields, F.lit("source")), F.lit(": "))
     plain = F.replace(event, F.lit(":"), F.lit(" "))
     listed = F.concat(plain, F.lit(": "), _first_entries(fields, "=", lambda v: _summary(v, 50, nested=True)))
-    return out.when(F.coalesce(F.size(fields), F.lit(0)) > 0, listed).otherwise(plain)
+    other = F.when(F.coalesce(F.size(fields), F.lit(0)) > 0, listed).otherwise(plain)
+    return (
+        F.when(event == "logger:error", F.concat(F.lit("Logger error: "), logger_error))
+        .when(event == "error", F.concat(source, _error_text(fields)))
+        .otherwise(F.coalesce(from_template, other))
+    )

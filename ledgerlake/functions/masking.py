@@ -1,8 +1,9 @@
 """Masking of secret values, alone and inside JSON text.
 
-JSON is not parsed into rows or objects: its text is cut into tokens by one regular expression, and the tokens of the
-form ``"key": "string"`` with a secret key are replaced. Nested objects and arrays need no recursion, and all that is
-not masked keeps its exact text. The quantifiers are possessive, so long strings do not deepen the matcher's stack.
+JSON is not parsed into rows or objects: its text is cut by one regular expression into pairs ``"key": "string"`` and
+runs of anything else, and pairs with a secret key are replaced. Nested objects and arrays need no recursion, and all
+that is not masked keeps its exact text. The quantifiers are possessive, so long strings do not deepen the matcher's
+stack.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.binding import let
+
 # Fixed values.
 MASK_LENGTH = 12
 REVEAL_LENGTH = 4
@@ -22,8 +25,8 @@ SECRET_FIELDS = (
 ).split()
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_TOKEN = rf'{_STRING}(?:\s*+:\s*+{_STRING})?+|[^"]++|"'
-_PAIR = rf'^"((?:[^"\\]|\\.)*+)"\s*+:\s*+({_STRING})$'
+_PAIR = rf'"[^"\\]*+"\s*+:\s*+{_STRING}'
+_CUT = rf'{_PAIR}|(?:[^"]++|(?!{_PAIR}){_STRING})++|"'
 
 
 def spellings(field: str) -> set[str]:
@@ -57,44 +60,59 @@ def title_label(key: Column) -> Column:
 
 def _utf16_length(value: Column) -> Column:
     """Length in UTF-16 units: characters outside the basic plane count twice."""
-    return F.length(value) + F.regexp_count(value, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    astral = F.regexp_count(value, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.length(value) + F.when(F.octet_length(value) == F.length(value), 0).otherwise(astral)
 
 
 def mask_value(value: Column, key: Column, verbose: bool = False) -> Column:
     """``<Label ****... (length) />``: at most 12 stars, ``...`` beyond; verbose shows up to 4 leading characters."""
-    length = _utf16_length(value)
+    return let(F.struct(value.alias("text"), _utf16_length(value).alias("length")), lambda v: _mask(v, key, verbose))
+
+
+def _mask(value: Column, key: Column, verbose: bool) -> Column:
+    length = value["length"]
     shown = F.least(length, F.lit(MASK_LENGTH))
-    stars = F.repeat(F.lit("*"), shown)
+    masked = F.repeat(F.lit("*"), shown)
     if verbose:
         reveal = F.least(F.ceil(length / 5), F.lit(REVEAL_LENGTH)).cast("int")
-        masked = F.when(length >= REVEAL_LENGTH, F.rpad(F.substr(value, F.lit(1), reveal), shown, F.lit("*")))
-        masked = masked.otherwise(stars)
-    else:
-        masked = stars
+        visible = F.rpad(F.substr(value["text"], F.lit(1), reveal), shown, F.lit("*"))
+        masked = F.when(length >= REVEAL_LENGTH, visible).otherwise(masked)
     more = F.when(length > MASK_LENGTH, F.lit("...")).otherwise(F.lit(""))
     return F.concat(
         F.lit("<"), title_label(key), F.lit(" "), masked, more, F.lit(" ("), length.cast("string"), F.lit(") />")
     )
 
 
-def _json_string(text: Column) -> Column:
+def _unquoted(literal: Column) -> Column:
+    """The text of a JSON string literal; only one with an escape needs a parser."""
+    parsed = F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v")
+    plain = F.substr(literal, F.lit(2), F.length(literal) - 2)
+    return F.when(F.contains(literal, F.lit("\\")), F.coalesce(parsed, plain)).otherwise(plain)
+
+
+def _quoted(text: Column) -> Column:
     """A string as a JSON literal."""
-    escaped = F.to_json(F.struct(text.alias("v")))
-    return F.substr(escaped, F.lit(6), F.length(escaped) - 6)
+    return let(F.to_json(F.struct(text.alias("v"))), lambda j: F.substr(j, F.lit(6), F.length(j) - 6))
 
 
 def redact_json(data: Column, keys: Iterable[str], verbose: bool = False) -> Column:
     """JSON text with the string value of every secret key masked, at any depth."""
     wanted = list(keys)
 
-    def redact(token: Column) -> Column:
-        key = F.regexp_extract(token, _PAIR, 1)
-        literal = F.regexp_extract(token, _PAIR, 2)
-        value = F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v")
-        masked = F.concat(
-            F.substr(token, F.lit(1), F.length(token) - F.length(literal)),
-            _json_string(mask_value(F.coalesce(value, F.lit("")), key, verbose)),
+    def replaced(text: Column, key: Column, literal: Column) -> Column:
+        masked = mask_value(_unquoted(literal), key, verbose)
+        # Without revealed characters the mask has nothing to escape.
+        shown = _quoted(masked) if verbose else F.concat(F.lit('"'), masked, F.lit('"'))
+        return F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(literal)), shown)
+
+    def redact(text: Column) -> Column:
+        # Only a pair starts with a quote: behind the key there are a colon, perhaps blanks, and the literal.
+        key = F.substr(F.substring_index(text, '"', 2), F.lit(2))
+        literal = F.ltrim(F.substr(text, F.length(key) + 3), F.lit(": \t\r\n"))
+        masked = let(
+            F.struct(key.alias("key"), literal.alias("literal")),
+            lambda p: F.when(F.startswith(p["literal"], F.lit('"')), replaced(text, p["key"], p["literal"])).otherwise(text),
         )
-        return F.when((literal != "") & key.isin(wanted), masked).otherwise(token)
+        return F.when(F.startswith(text, F.lit('"')) & key.isin(wanted), masked).otherwise(text)
 
-    return F.array_join(F.transform(F.regexp_extract_all(data, F.lit(_TOKEN), F.lit(0)), redact), "")
+    return F.array_join(F.transform(F.regexp_extract_all(data, F.lit(_CUT), F.lit(0)), redact), "")

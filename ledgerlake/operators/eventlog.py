@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import events, masking
+from ledgerlake.functions.binding import let
 
 # Fixed values.
 REQUIRED = ("time", "level", "type", "message")
@@ -15,18 +18,25 @@ TAIL_LIMIT = 500
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON lines to log entries. Malformed lines, and lines whose required fields are not strings, are dropped."""
-    parsed = lines.select(F.col(column).alias("__line"), F.try_parse_json(F.col(column)).alias("__v"))
-    for name in REQUIRED:
-        value = F.try_variant_get("__v", f"$.{name}", "variant")
-        parsed = parsed.withColumn(name, F.when(F.schema_of_variant(value) == "STRING", value.cast("string")))
-    for name in REQUIRED:
-        parsed = parsed.where(F.col(name).isNotNull())
-    return parsed.select(
-        *REQUIRED,
-        F.get_json_object("__line", "$.data").alias("data"),
-        F.get_json_object("__line", "$.context").alias("context"),
-    )
+    """JSON lines to log entries. Malformed lines, and lines whose required fields are not strings, are dropped.
+
+    Each line is parsed once: the test is inside the generator, so it is not pushed below the parse and repeated. The
+    line is read as the only element of an array, because a lone object may be followed by anything.
+    """
+    fields = ", ".join([*(f"{name}: VARIANT" for name in REQUIRED), "data: STRING, context: STRING"])
+
+    def text(entry: Column, name: str) -> Column:
+        return F.when(F.schema_of_variant(entry[name]) == "STRING", entry[name].cast("string")).alias(name)
+
+    def typed(entry: Column) -> Column:
+        return F.struct(*[text(entry, n) for n in REQUIRED], entry["data"].alias("data"), entry["context"].alias("context"))
+
+    def valid(entry: Column) -> Column:
+        return reduce(and_, [entry[n].isNotNull() for n in REQUIRED])
+
+    parsed = F.from_json(F.concat(F.lit("["), F.col(column), F.lit("]")), f"ARRAY<STRUCT<{fields}>>")
+    entries = let(parsed, lambda es: F.when(F.size(es) == 1, F.filter(F.transform(es, typed), valid)))
+    return lines.select(F.inline(entries))
 
 
 def format_entries(
