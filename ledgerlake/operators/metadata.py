@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlake import schemas
 from ledgerlake.operators.relational import exclude_prefix, ordered_array, value_set
@@ -43,37 +44,19 @@ def catalog_tables(spark: SparkSession, database: str = "default") -> tuple[Data
 
 
 def catalog_routines(spark: SparkSession, database: str = "default") -> DataFrame:
-    """User functions with parameters and return type, read from their description."""
+    """SQL functions with their parameters and return type, as the catalog describes them."""
     rows = []
     for entry in spark.catalog.listFunctions(database):
-        if entry.className and entry.className.startswith("org.apache.spark.sql.catalyst.expressions"):
+        if not (entry.className or "").startswith("sqlFunction"):
             continue
-        lines = [r[0] for r in spark.sql(f"DESCRIBE FUNCTION EXTENDED `{entry.name}`").collect()]
-        fields = _described(lines)
-        if "Input" not in fields and "Returns" not in fields:
-            continue
-        parameters = [p for p in fields.get("Input", "").split("\n") if p and p != "()"]
+        facts = json.loads(entry.description)
+        parameters = facts.get("sqlFunction.inputParam", "")
+        count = len(StructType.fromDDL(parameters).fields) if parameters else 0
         namespace = entry.namespace[0] if entry.namespace else ""
-        rows.append(
-            (namespace, entry.name, "function", ", ".join(parameters), len(parameters), fields.get("Returns", ""))
-        )
+        rows.append((namespace, entry.name, "function", parameters, count, facts.get("sqlFunction.returnType", "")))
     return spark.createDataFrame(rows, schemas.META_ROUTINES)
 
 
-def _described(lines: list[str]) -> dict[str, str]:
-    """``Name: value`` lines; indented lines continue the value above them."""
-    fields: dict[str, str] = {}
-    current = None
-    for line in lines:
-        head, colon, rest = line.partition(":")
-        if colon and head and not head[0].isspace():
-            current = head.strip()
-            fields[current] = " ".join(rest.split())
-        elif current:
-            fields[current] += "\n" + " ".join(line.split())
-    return fields
-
-
 # --- queries ---------------------------------------------------------------------------------------------------------
 
 

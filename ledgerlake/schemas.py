@@ -8,8 +8,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """``name TYPE, …``; unlike Spark's own DDL parser this needs no running session."""
+    pairs = [field.split() for field in fields.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 OPERATIONS = _struct(
