@@ -126,10 +126,14 @@ def size_bytes(text: Column) -> Column:
     )
 
 
-def row_json(df: DataFrame, alias: str | None = None) -> Column:
+def struct_json(row: Column) -> Column:
+    """A struct as JSON, nulls kept."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def row_json(df: DataFrame) -> Column:
     """The whole row as JSON, nulls kept."""
-    columns = [F.col(f"{alias}.`{c}`") if alias else F.col(f"`{c}`") for c in df.columns]
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return struct_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def new_uuid() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import naming, paths, scalar
+from ledgerlake.operators.skew import join_aggregated
 
 # Fixed values.
 SCRIPT_SUFFIXES = (".sql", ".sql.tmpl")
@@ -55,10 +56,10 @@ def filter_paths_by_rules(files: DataFrame, rules: DataFrame, path: str = "path"
         .groupBy("__path")
         .agg(F.max(F.col("action") == "include").alias("__in"), F.max(F.col("action") == "exclude").alias("__out"))
     )
-    judged = files.join(verdicts, files[path] == verdicts["__path"], "left")
+    judged = join_aggregated(files, verdicts.withColumnRenamed("__path", path), [path])
     included = F.coalesce(F.col("__in"), F.lit(False)) | ~any_include.scalar()
     kept = judged.where(included & ~F.coalesce(F.col("__out"), F.lit(False)))
-    return kept.select(*[files[c] for c in files.columns])
+    return kept.select(*files.columns)
 
 
 def evaluate_rules(rules: DataFrame, seq: str = "seq") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.session import materialize
@@ -29,40 +29,46 @@ def _rounds(rows: int) -> int:
 
 def roots_and_depths(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """Root and depth of each row. A row that reaches no root, because of a circle, has null for both."""
-    state = materialize(
-        _links(nodes, key, parent).select(
-            "id",
-            F.coalesce("up", "id").alias("root"),
-            F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-            F.col("up").isNull().alias("done"),
-        ),
-        "closure",
+    links = _links(nodes, key, parent).select(
+        "id",
+        F.coalesce("up", "id").alias("root"),
+        F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+        F.col("up").isNull().alias("done"),
     )
-    for _ in range(_rounds(state.count())):
-        if state.where(~F.col("done")).isEmpty():
+    done, waiting = _split(links, F.col("done"))
+    for _ in range(_rounds(done.count() + waiting.count())):
+        if waiting.isEmpty():
             break
-        step = state.select(F.col("id").alias("root"), F.col("root").alias("r"), F.col("depth").alias("d"), "done")
-        moved = state.where(~F.col("done")).drop("done").join(step, "root")
+        step = done.unionByName(waiting)
+        step = step.select(F.col("id").alias("root"), F.col("root").alias("r"), F.col("depth").alias("d"), "done")
+        moved = waiting.drop("done").join(step, "root")
         moved = moved.select("id", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), "done")
-        state = materialize(state.where("done").unionByName(moved), "closure")
-    return state.select(
-        F.col("id").alias(key),
-        F.when(F.col("done"), F.col("root")).alias("root"),
-        F.when(F.col("done"), F.col("depth")).alias("depth"),
-    )
+        finished, waiting = _split(moved, F.col("done"))
+        done = done.unionByName(finished)
+    lost = waiting.select("id", *[F.lit(None).cast(waiting.schema[c].dataType).alias(c) for c in ("root", "depth")])
+    found = done.select("id", "root", "depth").unionByName(lost)
+    return found.withColumnRenamed("id", key)
 
 
 def mark_descendants(nodes: DataFrame, key: str, parent: str, seeds: DataFrame) -> DataFrame:
     """The seed rows and every row below one of them; circles are safe."""
     seed = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct().withColumn("__seed", F.lit(True))
     links = _links(nodes, key, parent).join(seed, "id", "left")
-    state = materialize(links.select("id", "up", F.coalesce("__seed", F.lit(False)).alias("hit")), "descend")
-    waiting = ~F.col("hit") & F.col("up").isNotNull()
-    for _ in range(_rounds(state.count())):
-        if state.where(waiting).isEmpty():
+    links = links.select("id", "up", F.coalesce("__seed", F.lit(False)).alias("hit"))
+    settled = F.col("hit") | F.col("up").isNull()
+    done, waiting = _split(links, settled)
+    for _ in range(_rounds(done.count() + waiting.count())):
+        if waiting.isEmpty():
             break
-        step = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
-        moved = state.where(waiting).drop("hit").join(step, "up").select("id", F.col("next").alias("up"), "above")
-        moved = moved.withColumnRenamed("above", "hit")
-        state = materialize(state.where(~waiting).unionByName(moved), "descend")
-    return state.where("hit").select(F.col("id").alias(key))
+        step = done.unionByName(waiting)
+        step = step.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
+        moved = waiting.drop("hit").join(step, "up").select("id", F.col("next").alias("up"), F.col("above").alias("hit"))
+        finished, waiting = _split(moved, settled)
+        done = done.unionByName(finished)
+    return done.where("hit").select(F.col("id").alias(key))
+
+
+def _split(state: DataFrame, settled: Column) -> tuple[DataFrame, DataFrame]:
+    """Settled and waiting rows, written once; settled rows are not written again in later rounds."""
+    written = materialize(state, "closure")
+    return written.where(settled), written.where(~settled)

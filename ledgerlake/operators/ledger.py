@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.skew import join_aggregated
+
 RESET_NAME = "__reset__"
 ERROR_LIMIT = 2000  # characters of an error message that are stored
 ARRAY_LIMIT = 1_000_000  # members of a group up to which its fingerprint is built inside the JVM
@@ -85,12 +87,16 @@ def file_decisions(
     strict: bool = False,
 ) -> DataFrame:
     """Which files (``filepath``, ``checksum``) need to run, and why; all files in one join."""
+    if force:
+        none = F.lit(None).cast("string")
+        return files.select(
+            *files.columns, F.lit(True).alias("needs_run"), F.lit("force").alias("reason"), none.alias("skip_reason"), none.alias("previous_checksum")
+        )
     latest = latest_executions(executions, operations, config, before, strict)
     latest = latest.withColumnRenamed("checksum", "previous_checksum")
     status = F.col("exec_status")
     reason = (
-        F.when(F.lit(force), "force")
-        .when(status.isNull(), "new")
+        F.when(status.isNull(), "new")
         .when(status == "failed", "failed")
         .when(status.isin("pending", "skipped"), "new")
         .when(F.col("change_status") == "stale", "stale")
@@ -229,7 +235,7 @@ def abort_cascade(files: DataFrame, batch: str = "batch", seq: str = "seq") -> D
         .agg(F.min(failed).alias("__stop"), F.min_by("filepath", failed).alias("__by"))
     )
     stopped = F.coalesce(F.col(seq) > F.col("__stop"), F.lit(False))
-    return files.join(first, batch, "left").select(
+    return join_aggregated(files, first, [batch]).select(
         *[F.when(stopped, "skipped").otherwise(F.col(c)).alias(c) if c == "status" else F.col(c) for c in files.columns],
         F.when(stopped, F.concat(F.lit("Skipped due to failure in "), F.col("__by"))).otherwise("").alias("skip_reason"),
     )
@@ -282,8 +288,8 @@ def combined_checksum(
     rows = members.select(*keys, F.col(checksum).alias("__h"))
     oversized = rows.groupBy(*keys).agg(F.count("__h").alias("__n")).where(F.col("__n") > array_limit).drop("__n")
     joined = F.array_join(F.array_sort(F.collect_list("__h")), "")
-    regular = rows.join(oversized, list(keys), "left_anti").groupBy(*keys).agg(F.sha2(joined, 256).alias("checksum"))
-    large = rows.join(oversized, list(keys), "left_semi").where(F.col("__h").isNotNull())
+    regular = join_aggregated(rows, oversized, keys, "left_anti").groupBy(*keys).agg(F.sha2(joined, 256).alias("checksum"))
+    large = join_aggregated(rows, oversized, keys, "left_semi").where(F.col("__h").isNotNull())
     large = large.repartition(*keys).sortWithinPartitions(*keys, "__h")
     return regular.unionByName(large.mapInPandas(_stream_hash(list(keys)), regular.schema))
 

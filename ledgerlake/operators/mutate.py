@@ -9,10 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.scalar import row_json
+from ledgerlake.functions.scalar import struct_json
 from ledgerlake.operators.hierarchy import mark_descendants
 from ledgerlake.operators.ranking import number_rows
 from ledgerlake.operators.relational import next_position
+from ledgerlake.operators.skew import join_aggregated
 from ledgerlake.session import materialize
 
 
@@ -56,9 +57,8 @@ def with_positions(
     table: DataFrame, incoming: DataFrame, parent: str, order: Sequence[str], position: str = "position"
 ) -> DataFrame:
     """Incoming rows numbered after the last active child of their parent, in ``order`` (ending in a unique column)."""
-    base = next_position(table, parent, position, "__base").withColumnRenamed(parent, "__parent")
-    numbered = number_rows(incoming, order, within=[parent], name="__rn")
-    joined = numbered.join(base, numbered[parent] == base["__parent"], "left")
+    base = next_position(table, parent, position, "__base")
+    joined = join_aggregated(number_rows(incoming, order, within=[parent], name="__rn"), base, [parent])
     place = (F.coalesce(F.col("__base"), F.lit(0)) + F.col("__rn") - 1).alias(position)
     return joined.select(*[c for c in incoming.columns if c != position], place)
 
@@ -158,9 +158,8 @@ def cascade_delete(
         return mark_descendants(tables[name], keys[name], own[name].column, seeds).select(keys[name])
 
     def dependants(ref: Reference, parents: DataFrame) -> DataFrame:
-        lost = parents.select(F.col(keys[ref.parent]).alias("__key"))
-        child = tables[ref.child]
-        return child.join(lost, child[ref.column] == lost["__key"], "left_semi").select(keys[ref.child])
+        lost = parents.select(F.col(keys[ref.parent]).alias(ref.column))
+        return join_aggregated(tables[ref.child], lost, [ref.column], "left_semi").select(keys[ref.child])
 
     root = removed.select(F.col(removed.columns[0]).alias(keys[table])).distinct()
     order = _topological([table], between)
@@ -247,29 +246,34 @@ def upsert_first_wins(
     return joined.select(*columns)
 
 
-def matched_images(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old and new row of each key as JSON, side by side; null where the row does not exist."""
-    before = old.select(F.col(key).alias("__old_key"), row_json(old).alias("old_data"))
-    after = new.select(F.col(key).alias("__new_key"), row_json(new).alias("new_data"))
+def _matched(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old and new row of each key as structs, side by side; null where the row does not exist."""
+    before = old.select(F.col(key).alias("__old_key"), F.struct(*old.columns).alias("old"))
+    after = new.select(F.col(key).alias("__new_key"), F.struct(*new.columns).alias("new"))
     joined = before.join(after, F.col("__old_key") == F.col("__new_key"), "full_outer")
-    return joined.select(F.coalesce("__old_key", "__new_key").cast("string").alias("row_id"), "old_data", "new_data")
+    return joined.select(F.coalesce("__old_key", "__new_key").cast("string").alias("row_id"), "old", "new")
+
+
+def matched_images(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old and new row of each key as JSON, nulls kept."""
+    return _matched(old, new, key).select(
+        "row_id", struct_json(F.col("old")).alias("old_data"), struct_json(F.col("new")).alias("new_data")
+    )
 
 
 def audit(old: DataFrame, new: DataFrame, key: str, table: str, as_of: Column) -> DataFrame:
-    """Audit rows for the step from one snapshot to the next.
+    """Audit rows for the step from one snapshot to the next. Only rows that changed are turned into JSON.
 
-    A row whose image did not change gives no entry, where a trigger would log an UPDATE that changes nothing.
+    A row that did not change gives no entry, where a trigger would log an UPDATE that changes nothing.
     """
-    images = matched_images(old, new, key).where(~F.col("old_data").eqNullSafe(F.col("new_data")))
-    operation = (
-        F.when(F.col("old_data").isNull(), "INSERT").when(F.col("new_data").isNull(), "DELETE").otherwise("UPDATE")
-    )
-    return images.select(
+    changed = _matched(old, new, key).where(~F.col("old").eqNullSafe(F.col("new")))
+    operation = F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "DELETE").otherwise("UPDATE")
+    return changed.select(
         F.lit(table).alias("table_name"),
         operation.alias("operation"),
         "row_id",
-        "old_data",
-        "new_data",
+        struct_json(F.col("old")).alias("old_data"),
+        struct_json(F.col("new")).alias("new_data"),
         as_of.alias("changed_at"),
     )
 

@@ -7,6 +7,7 @@ rows whatever the group sizes are.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ledgerlake.functions.binding import let
+
 SAMPLES_PER_RANGE = 32
+MOST_RANGES = 512
 DEEP_PAGE = 100_000
 
 # Column names that suggest a date or an id, best first.
@@ -27,13 +31,30 @@ ID_NAMES = ["^id$", "^_id$", "[_-]id$"]
 
 
 def _range_bounds(df: DataFrame, key: Column, ranges: int) -> list:
-    """At most ``ranges - 1`` cut points of the sort key, from a fixed-size sample chosen by hash."""
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(ranges * SAMPLES_PER_RANGE)
-    picked = sample.orderBy("k").collect()
+    """At most ``ranges - 1`` cut points of the sort key, from a sample of about 32 rows per range."""
+    keys = df.select(key.alias("k"))
+    rows = keys.count()
+    fraction = min(1.0, ranges * SAMPLES_PER_RANGE / max(rows, 1))
+    picked = keys.sample(fraction, seed=1).orderBy("k").collect()
     step = max(len(picked) // ranges, 1)
     return [row["k"] for row in picked[step::step]][: ranges - 1]
 
 
+def _range_of(key: Column, bounds: list, key_type: T.StructType) -> Column:
+    """Number of bounds at or below the key: first among every n-th bound, then among the n bounds that follow."""
+    if not bounds:
+        return F.lit(0)
+
+    def array(values: list) -> Column:
+        rows = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, key_type)]) for row in values]
+        return F.array(*rows)
+
+    step = math.isqrt(len(bounds)) or 1
+    coarse = bounds[step - 1 :: step]
+    skipped = F.size(F.filter(array(coarse), lambda b: b <= key)) * step
+    return let(skipped, lambda n: n + F.size(F.filter(F.slice(array(bounds), n + 1, step), lambda b: b <= key)))
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str],
@@ -46,31 +67,25 @@ def number_rows(
 
     ``order`` must end in a unique column. Nulls come first ascending and last descending, as in Spark's default.
     """
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
     key = F.struct(*[F.col(c) for c in [*within, *order]])
-    bounds = _range_bounds(df, key, ranges)
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    literals = F.lit(None).cast(T.ArrayType(key_type))
-    if bounds:
-        values = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, key_type)]) for b in bounds]
-        literals = F.array(*values)
-    position = F.coalesce(F.size(F.filter(literals, lambda b: b <= key)), F.lit(0))
-    position = F.when(F.lit(bool(bounds)), -position if descending else position).otherwise(F.lit(0))
-    ranged = df.withColumn("__range", position)
-
-    sizes = ranged.groupBy(*within, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*within, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    starts = starts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate([*within, "__range"])], "__start")
-    on = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate([*within, "__range"])]
+    position = _range_of(key, _range_bounds(df, key, ranges), df.select(key.alias("k")).schema["k"].dataType)
+    # The group is one struct: structs with null fields are equal, so nulls need no null-safe join.
+    group = F.struct(*[F.col(c) for c in within]) if within else F.lit(0)
+    ranged = df.withColumns({"__group": group, "__range": -position if descending else position})
+
+    at = ["__group", "__range"]
+    sizes = ranged.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*at, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     if not within:
-        starts = F.broadcast(starts)  # one row per range, at most `ranges`
+        starts = F.broadcast(starts)  # one row per range, at most MOST_RANGES
 
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    local = F.row_number().over(Window.partitionBy(*within, "__range").orderBy(*direction))
-    numbered = ranged.withColumn("__local", local).join(starts, on, "left")
-    return numbered.select(*df.columns, (F.col("__start") + F.col("__local")).alias(name))
+    local = F.row_number().over(Window.partitionBy(*at).orderBy(*direction))
+    # The rows are already partitioned by the join key, and a range is never hot.
+    numbered = ranged.withColumn("__local", local).join(starts, at)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__local")).alias(name))
 
 
 def column_order(column: str, descending: bool = False) -> Column:
@@ -79,7 +94,9 @@ def column_order(column: str, descending: bool = False) -> Column:
 
 
 def sort_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    return df.orderBy(column_order(column, descending))
+    """Stable sort: equal values keep their input order, which also lets a frequent value span several tasks."""
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    return placed.orderBy(column_order(column, descending), "__place").drop("__place")
 
 
 def top_n(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:

@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.skew import join_aggregated
+
 # --- projection and filter -------------------------------------------------------------------------------------------
 
 
@@ -76,14 +78,12 @@ def join_active(children: DataFrame, parents: DataFrame, child_key: str, parent_
 
 def with_match(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """``key IN (SELECT other_key …)``: the other side is reduced to its keys before it moves."""
-    keys = other.select(F.col(other_key).alias("__key")).distinct()
-    return df.join(keys, df[key] == keys["__key"], "left_semi")
+    return join_aggregated(df, other.select(F.col(other_key).alias(key)).distinct(), [key], "left_semi").select(*df.columns)
 
 
 def without_match(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """``NOT EXISTS`` a row of the other side with this key."""
-    keys = other.select(F.col(other_key).alias("__key")).distinct()
-    return df.join(keys, df[key] == keys["__key"], "left_anti")
+    return join_aggregated(df, other.select(F.col(other_key).alias(key)).distinct(), [key], "left_anti").select(*df.columns)
 
 
 def with_parent(df: DataFrame, key: str, parent: str, carry: Mapping[str, str]) -> DataFrame:
