@@ -52,7 +52,8 @@ def _range_of(key: Column, bounds: list, key_type: T.StructType) -> Column:
     step = math.isqrt(len(bounds)) or 1
     coarse = bounds[step - 1 :: step]
     skipped = F.size(F.filter(array(coarse), lambda b: b <= key)) * step
-    return let(skipped, lambda n: n + F.size(F.filter(F.slice(array(bounds), n + 1, step), lambda b: b <= key)))
+    position = let(skipped, lambda n: n + F.size(F.filter(F.slice(array(bounds), n + 1, step), lambda b: b <= key)))
+    return F.coalesce(position, F.lit(0))  # never null, so that no join adds a null test that repeats the search
 
 
 def number_rows(
