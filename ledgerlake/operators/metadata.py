@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerlake import schemas
-from ledgerlake.operators.relational import exclude_prefix, ordered_array, value_set
+from ledgerlake.operators.relational import exclude_prefix, ordered_array, table_counts, value_set
 
 # --- from the session catalog ----------------------------------------------------------------------------------------
 
@@ -43,6 +43,20 @@ def catalog_tables(spark: SparkSession, database: str = "default") -> tuple[Data
     )
 
 
+def with_row_counts(tables: DataFrame) -> DataFrame:
+    """Exact row counts of a catalog's tables, all counted in one job."""
+    spark = tables.sparkSession
+    names = [(r.table_schema, r.table_name) for r in tables.where(F.col("kind") == "table").collect()]
+    if not names:
+        return tables
+    counts = table_counts({f"{schema}.{name}": spark.table(f"`{schema}`.`{name}`") for schema, name in names})
+    counts = counts.select(F.col("table").alias("__name"), F.col("count").alias("__count"))
+    at = F.concat_ws(".", "table_schema", "table_name") == F.col("__name")
+    return tables.join(counts, at, "left").select(
+        *[F.coalesce("__count", c).alias(c) if c == "row_count" else F.col(c) for c in tables.columns]
+    )
+
+
 def catalog_routines(spark: SparkSession, database: str = "default") -> DataFrame:
     """SQL functions with their parameters and return type, as the catalog describes them."""
     rows = []

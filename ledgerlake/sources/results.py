@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
@@ -9,11 +10,12 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerlake import schemas
+from ledgerlake.operators import eventlog
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,6 @@ def save_result(df: DataFrame, folder: str, result_id: str) -> None:
 
 
 def load_result(spark: SparkSession, folder: str, result_id: str) -> DataFrame:
-    import json
-
     text = spark.read.text(f"{folder}/{result_id}/schema").first()["value"]
     schema = StructType.fromJson(json.loads(text))
     return spark.read.schema(schema).json(f"{folder}/{result_id}/rows")
@@ -84,6 +84,14 @@ def recent(spark: SparkSession, history: str, limit: int = 50) -> DataFrame:
     return rows.orderBy(F.col("executed_at").desc()).limit(limit)
 
 
+def prune(spark: SparkSession, history: str, pruned: str, as_of: Column, months: int) -> DataFrame:
+    """Write the history without entries older than some months to ``pruned``; gives the entries left out, whose stored
+    results can then be removed."""
+    entries = spark.read.schema(schemas.QUERY_HISTORY).parquet(history)
+    eventlog.retained(entries, as_of, months).write.parquet(pruned)
+    return eventlog.dropped(entries, as_of, months)
+
+
 def history_stats(spark: SparkSession, history: str, results: str) -> DataFrame:
     """Number of history entries and stored bytes; file sizes come from the listing, contents are not read."""
     entries = spark.read.schema(schemas.QUERY_HISTORY).parquet(history).agg(F.count(F.lit(1)).alias("entry_count"))

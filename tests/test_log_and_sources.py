@@ -131,6 +131,8 @@ def test_results_and_history(spark, rows, tmp_path):
     assert (first.row_count, first.success) == (2, True) and cells(spark.read.json(f"{first.results_path}/rows"), "a") == [(1,), (2,)]
     stats = results.history_stats(spark, history, folder).first()
     assert stats.entry_count == 3 and stats.results_size > 0
+    gone = results.prune(spark, history, str(tmp_path / "pruned"), F.current_timestamp() + F.expr("INTERVAL 40 DAYS"), 1)
+    assert gone.count() == 3 and results.recent(spark, str(tmp_path / "pruned")).count() == 0
     empty = results.run_sql(spark, "SELECT * FROM numbers WHERE false")
     assert empty.columns == ["a", "b"]
 
@@ -145,6 +147,9 @@ def test_catalog_metadata(spark):
         tables, columns = metadata.catalog_tables(spark)
         mine = lambda df: df.where(F.col("table_name").startswith("meta_"))
         assert cells(mine(metadata.table_list(tables, columns)), "table_name", "column_count", "row_count") == [("meta_table", 2, None)]
+        spark.sql("INSERT INTO meta_table VALUES (1, 'a'), (2, 'b')")
+        counted = metadata.with_row_counts(tables.where("table_name like 'meta%'"))
+        assert cells(metadata.table_list(counted, columns), "table_name", "row_count") == [("meta_table", 2)]
         assert cells(mine(metadata.view_list(tables, columns)), "table_name", "definition") == [("meta_view", "SELECT id FROM meta_table")]
         assert cells(mine(columns), "table_name", "column_name", "data_type", "position") == [
             ("meta_table", "id", "bigint", 1), ("meta_table", "name", "string", 2), ("meta_view", "id", "bigint", 1),
