@@ -30,28 +30,29 @@ DATE_NAMES = [
 ID_NAMES = ["^id$", "^_id$", "[_-]id$"]
 
 
-def _range_bounds(df: DataFrame, key: Column, ranges: int) -> list:
-    """At most ``ranges - 1`` cut points of the sort key, from a sample of about 32 rows per range."""
+def _range_bounds(df: DataFrame, key: Column, ranges: int) -> list[str]:
+    """At most ``ranges - 1`` ascending cut points of the sort key as JSON, from about 32 sampled rows per range."""
     keys = df.select(key.alias("k"))
     rows = keys.count()
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / max(rows, 1))
-    picked = keys.sample(fraction, seed=1).orderBy("k").collect()
+    picked = keys.sample(fraction, seed=1).orderBy("k").select(F.to_json("k").alias("k")).collect()
     step = max(len(picked) // ranges, 1)
     return [row["k"] for row in picked[step::step]][: ranges - 1]
 
 
-def _range_of(key: Column, bounds: list, key_type: T.StructType) -> Column:
-    """Number of bounds at or below the key: first among every n-th bound, then among the n bounds that follow."""
-    if not bounds:
-        return F.lit(0)
+def _range_of(key: Column, bounds: list[str], key_type: T.DataType) -> Column:
+    """Number of bounds at or below the key: first among every n-th bound, then among the n bounds that follow.
+
+    JSON may round a bound. Any bounds are right, as long as the whole plan uses the same ones.
+    """
 
-    def array(values: list) -> Column:
-        rows = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, key_type)]) for row in values]
-        return F.array(*rows)
+    def array(values: list[str]) -> Column:
+        return F.from_json(F.lit(f"[{','.join(values)}]"), T.ArrayType(key_type))
 
-    step = math.isqrt(len(bounds)) or 1
-    coarse = bounds[step - 1 :: step]
-    skipped = F.size(F.filter(array(coarse), lambda b: b <= key)) * step
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds))
+    skipped = F.size(F.filter(array(bounds[step - 1 :: step]), lambda b: b <= key)) * step
     position = let(skipped, lambda n: n + F.size(F.filter(F.slice(array(bounds), n + 1, step), lambda b: b <= key)))
     return F.coalesce(position, F.lit(0))  # never null, so that no join adds a null test that repeats the search
 

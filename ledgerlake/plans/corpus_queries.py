@@ -124,7 +124,7 @@ WITH names AS (
   SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'init-' || o_orderkey
            WHEN o_orderpriority = '2-HIGH' THEN '2024-02-31-bad-' || o_orderkey
            ELSE strftime(o_orderdate, '%Y-%m-%d') || '-add-' || o_orderkey END AS name FROM orders)
-SELECT o_orderkey, name, try_cast(nullif(regexp_extract(name, '^(\\d{4}-\\d{2}-\\d{2})-(.+)$', 1), '') AS DATE) AS change_date,
+SELECT o_orderkey, name, CAST(try_cast(nullif(regexp_extract(name, '^(\\d{4}-\\d{2}-\\d{2})-(.+)$', 1), '') AS DATE) AS VARCHAR) AS change_date,
        CASE WHEN try_cast(nullif(regexp_extract(name, '^(\\d{4}-\\d{2}-\\d{2})-(.+)$', 1), '') AS DATE) IS NOT NULL
             THEN regexp_extract(name, '^(\\d{4}-\\d{2}-\\d{2})-(.+)$', 2) ELSE name END AS description
 FROM names""".replace("\\\\", "\\"),
@@ -136,7 +136,8 @@ def f10_change_names(t: Tables) -> DataFrame:
         .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("2024-02-31-bad-"), key))
         .otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-add-"), key))
     )
-    return corpus.parsed_names(t.orders.select("o_orderkey", name.alias("name")))
+    parsed = corpus.parsed_names(t.orders.select("o_orderkey", name.alias("name")))
+    return parsed.withColumn("change_date", F.col("change_date").cast("string"))
 
 
 FILES_SQL = r"""

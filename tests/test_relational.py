@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from conftest import cells, day
 from pyspark.sql import functions as F
 
@@ -92,9 +93,24 @@ def test_row_numbers_equal_window(spark):
 def test_row_numbers_split_the_hot_group(spark):
     """No range holds much more than its share, though one group holds everything."""
     df = spark.range(10_000).select(F.lit(1).alias("k"), "id")
-    bounds = ranking._range_bounds(df, F.struct("k", "id"), 10)
-    counted = df.groupBy(F.size(F.filter(F.array(*[F.lit(b["id"]) for b in bounds]), lambda b: b <= F.col("id")))).count()
-    assert counted.count() == 10 and counted.agg(F.max("count")).first()[0] < 2500
+    key = F.struct("k", "id")
+    bounds = ranking._range_bounds(df, key, 10)
+    ranges = df.groupBy(ranking._range_of(key, bounds, df.select(key.alias("k")).schema["k"].dataType).alias("r")).count()
+    assert sorted(r.r for r in ranges.collect()) == list(range(10)) and ranges.agg(F.max("count")).first()[0] < 2500
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "timestamp", "timestamp_ntz", "decimal(20,4)", "date", "boolean", "binary"])
+def test_row_numbers_of_any_type(spark, kind):
+    from pyspark.sql.window import Window
+
+    number = F.col("id") % 97
+    value = {"double": number / 7, "timestamp": F.timestamp_micros(number * 1_000_001), "binary": F.encode(number.cast("string"), "utf-8")}
+    value |= {"timestamp_ntz": F.timestamp_micros(number * 1_000_001), "date": F.date_add(F.lit("1969-12-01").cast("date"), number.cast("int"))}
+    value |= {"boolean": number > 50}
+    shown = F.when(F.col("id") % 5 > 0, value.get(kind, number)).cast(kind)
+    df = spark.range(800).select(shown.alias("v"), "id")
+    want = {r.id: r.rn for r in df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("rn")).collect()}
+    assert {r.id: r.row_num for r in ranking.number_rows(df, ["v", "id"], ranges=9).collect()} == want
 
 
 def test_row_numbers_of_nothing(spark):
