@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.session import materialize
+from ledgerlake.session import materialize_counted
 
 
 def _links(nodes: DataFrame, key: str, parent: str) -> DataFrame:
@@ -35,15 +35,15 @@ def roots_and_depths(nodes: DataFrame, key: str, parent: str) -> DataFrame:
         F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
         F.col("up").isNull().alias("done"),
     )
-    done, waiting = _split(links, F.col("done"))
-    for _ in range(_rounds(done.count() + waiting.count())):
-        if waiting.isEmpty():
+    done, waiting, seen = _split(links, F.col("done"))
+    for _ in range(_rounds(seen["rows"])):
+        if not seen["waiting"]:
             break
         step = done.unionByName(waiting)
         step = step.select(F.col("id").alias("root"), F.col("root").alias("r"), F.col("depth").alias("d"), "done")
         moved = waiting.drop("done").join(step, "root")
         moved = moved.select("id", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), "done")
-        finished, waiting = _split(moved, F.col("done"))
+        finished, waiting, seen = _split(moved, F.col("done"))
         done = done.unionByName(finished)
     lost = waiting.select("id", *[F.lit(None).cast(waiting.schema[c].dataType).alias(c) for c in ("root", "depth")])
     found = done.select("id", "root", "depth").unionByName(lost)
@@ -56,19 +56,19 @@ def mark_descendants(nodes: DataFrame, key: str, parent: str, seeds: DataFrame)
     links = _links(nodes, key, parent).join(seed, "id", "left")
     links = links.select("id", "up", F.coalesce("__seed", F.lit(False)).alias("hit"))
     settled = F.col("hit") | F.col("up").isNull()
-    done, waiting = _split(links, settled)
-    for _ in range(_rounds(done.count() + waiting.count())):
-        if waiting.isEmpty():
+    done, waiting, seen = _split(links, settled)
+    for _ in range(_rounds(seen["rows"])):
+        if not seen["waiting"]:
             break
         step = done.unionByName(waiting)
         step = step.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
         moved = waiting.drop("hit").join(step, "up").select("id", F.col("next").alias("up"), F.col("above").alias("hit"))
-        finished, waiting = _split(moved, settled)
+        finished, waiting, seen = _split(moved, settled)
         done = done.unionByName(finished)
     return done.where("hit").select(F.col("id").alias(key))
 
 
-def _split(state: DataFrame, settled: Column) -> tuple[DataFrame, DataFrame]:
-    """Settled and waiting rows, written once; settled rows are not written again in later rounds."""
-    written = materialize(state, "closure")
-    return written.where(settled), written.where(~settled)
+def _split(state: DataFrame, settled: Column) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Settled and waiting rows, written and counted in one job; settled rows are not written again in later rounds."""
+    written, seen = materialize_counted(state, "closure", rows=F.count(F.lit(1)), waiting=F.count_if(~settled))
+    return written.where(settled), written.where(~settled), seen

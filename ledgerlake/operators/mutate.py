@@ -14,7 +14,7 @@ from ledgerlake.operators.hierarchy import mark_descendants
 from ledgerlake.operators.ranking import number_rows
 from ledgerlake.operators.relational import next_position
 from ledgerlake.operators.skew import join_aggregated
-from ledgerlake.session import materialize
+from ledgerlake.session import materialize, materialize_counted
 
 
 def _replace(df: DataFrame, values: Mapping[str, Column], test: Column) -> DataFrame:
@@ -182,8 +182,8 @@ def cascade_delete(
                 fresh = close(name, more.distinct())
                 if name in gone:
                     fresh = fresh.join(gone[name], keys[name], "left_anti")
-                fresh = materialize(fresh, "cascade")
-                if not fresh.isEmpty():
+                fresh, seen = materialize_counted(fresh, "cascade", rows=F.count(F.lit(1)))
+                if seen["rows"]:
                     frontier[name] = fresh
                     gone[name] = gone[name].unionByName(fresh) if name in gone else fresh
     return {

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "ledgerlake", cores: str | int = "*", partitions: int | None = None) -> SparkSession:
@@ -58,3 +58,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`materialize`, with aggregates that are observed while the rows are written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[value.alias(name) for name, value in counts.items()]), label)
+    return written, seen.get

@@ -126,6 +126,8 @@ def test_results_and_history(spark, rows, tmp_path):
     at_run_time = results.record_sql(spark, "SELECT raise_error('late') FROM numbers", history, folder)
     assert not at_run_time.success and "late" in at_run_time.error_message
     entries = {r.query: r for r in results.recent(spark, history).collect()}
+    nothing = results.record_sql(spark, "SELECT * FROM numbers WHERE false", str(tmp_path / "other"), folder)
+    assert nothing.columns == ["a", "b"] and results.recent(spark, str(tmp_path / "other")).first().row_count == 0
     assert len(entries) == 3
     first = entries["SELECT * FROM numbers WHERE a >= :least ORDER BY a"]
     assert (first.row_count, first.success) == (2, True) and cells(spark.read.json(f"{first.results_path}/rows"), "a") == [(1,), (2,)]
