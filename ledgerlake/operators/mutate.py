@@ -187,7 +187,7 @@ def cascade_delete(
                     frontier[name] = fresh
                     gone[name] = gone[name].unionByName(fresh) if name in gone else fresh
     return {
-        name: df.join(gone[name], keys[name], "left_anti").select(*df.columns) if name in gone else df
+        name: join_aggregated(df, gone[name], [keys[name]], "left_anti").select(*df.columns) if name in gone else df
         for name, df in tables.items()
     }
 

@@ -286,13 +286,13 @@ def l7_run_progress_stream(t: Tables) -> DataFrame:
 # --- retention -------------------------------------------------------------------------------------------------------
 
 
-@query("L8", f"SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-02-28 12:00:00'")
+@query("L8", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-02-28 12:00:00'")
 def l8_retained_history(t: Tables) -> DataFrame:
     as_of = F.lit("1998-08-31 12:00:00").cast("timestamp_ntz")
     return eventlog.retained(t.orders.select("o_orderkey", "o_orderdate"), as_of, 6, "o_orderdate")
 
 
-@query("L8", f"SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-28 12:00:00'")
+@query("L8", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-02-28 12:00:00'")
 def l8_dropped_history(t: Tables) -> DataFrame:
     as_of = F.lit("1998-08-31 12:00:00").cast("timestamp_ntz")
     return eventlog.dropped(t.orders, as_of, 6, "o_orderdate").select("o_orderkey")

@@ -392,7 +392,7 @@ def f3_string_functions(t: Tables) -> DataFrame:
 
 @query(
     "F4",
-    f"""
+    """
 SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') AS days_since
 FROM events""",
 )

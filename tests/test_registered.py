@@ -12,13 +12,10 @@ from ledgerlake.plans import all_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = all_queries()
-SURVEY_IDS = (
-    [f"S{n}" for n in range(1, 10)] + [f"P{n}" for n in range(1, 11)] + [f"J{n}" for n in range(1, 14)]
-    + [f"A{n}" for n in range(1, 16)] + [f"W{n}" for n in range(1, 10)] + [f"O{n}" for n in range(1, 8)]
-    + [f"U{n}" for n in range(1, 4)] + [f"F{n}" for n in range(1, 18)] + [f"L{n}" for n in range(1, 10)]
-    + [f"M{n}" for n in range(1, 14) if n != 12 and n != 11] + ["M11", "M12"] + [f"C{n}" for n in range(1, 4)]
-    + [f"X{n}" for n in range(1, 9)] + [f"D{n}" for n in range(1, 4)]
-)
+SURVEY_ROWS = {
+    "S": 9, "P": 10, "J": 13, "A": 15, "W": 9, "O": 7, "U": 3, "F": 17, "L": 9, "M": 13, "C": 3, "X": 8, "D": 3,
+}
+SURVEY_IDS = [f"{group}{n}" for group, rows in SURVEY_ROWS.items() for n in range(1, rows + 1)]
 
 
 @pytest.fixture(scope="module")
