@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -22,8 +22,8 @@ from ledgerlake.llm.common import chunks, has_columns, map_batches
 SPACE = "▁"
 NONE = np.int64(2**31 - 1)
 
-#: Parts kept per task; beyond it the store starts anew (about 200 bytes each).
-MOST_KEPT = 400_000
+#: Parts kept per task; beyond it the store starts anew (about 300 bytes each).
+MOST_KEPT = 600_000
 #: Longer parts (runs of blanks, base64) are merged by a heap, as a round each per merge would cost the square of their length.
 LONG_PART = 128
 #: Parts merged together: their arrays stay in the processor's cache.
@@ -42,7 +42,7 @@ class PieceTables:
     ranks: np.ndarray  # of the merged piece: 0 is merged first; equal scores share a rank
     merged: np.ndarray
     width: int
-    inner: str  # characters of pieces of two or more characters
+    cut: str  # the pattern of the parts of a text
     controls: frozenset[int]
 
     @classmethod
@@ -76,20 +76,39 @@ class PieceTables:
         columns = np.array(table, dtype=np.int64).reshape(-1, 3)
         return cls(
             symbols, names, sorted(bytes_, key=lambda i: int(names[i][1:-1], 16)), model.eos_id(),
-            columns[:, 0].copy(), columns[:, 1].copy(), columns[:, 2].copy(), width, "".join(sorted(inner)),
+            columns[:, 0].copy(), columns[:, 1].copy(), columns[:, 2].copy(), width, _part_pattern(pieces),
             frozenset(i for i in special if model.is_control(i)),
         )
 
 
+def _part_pattern(pieces: Iterable[str]) -> str:
+    """Parts no piece reaches across: space marks lead a part, letters and other characters part if no piece mixes them,
+    and a character that no longer piece contains stands alone."""
+    pieces = [p for p in pieces if len(p) > 1]
+    inner = {c for p in pieces for c in p} - {SPACE}
+    mixed = any(a.isalpha() != b.isalpha() for p in pieces for a, b in zip(p, p[1:]) if SPACE not in (a, b))
+    kinds = [inner] if mixed else [{c for c in inner if c.isalpha()}, {c for c in inner if not c.isalpha()}]
+    classes = [re.escape("".join(sorted(k))) for k in kinds if k]
+    return "|".join([f"{SPACE}*[{c}]+" for c in classes] + [f"{SPACE}+", f"[^{''.join(classes)}{SPACE}]"])
+
+
 class PieceCoder:
     """Encodes and decodes with the tables; keeps the parts it has seen."""
 
-    def __init__(self, tables: PieceTables):
+    def __init__(self, tables: PieceTables, form: Callable[[tuple[int, ...]], object] | None = None):
+        """``form``: what is kept of the ids of a part; the ids themselves by default."""
         self.t = tables
-        self.kept: dict[str, tuple[int, ...]] = {}
-        inner = re.escape(tables.inner.replace(SPACE, ""))
-        self.cut = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]").findall
+        self.form = form or tuple
+        self.kept: dict[str, object] = {}
+        self.cut = re.compile(tables.cut).findall
         self.is_byte = {i: b for b, i in enumerate(tables.byte_ids)}
+        self.shown = [n.replace(SPACE, " ") for n in tables.names]
+        for i in tables.controls:
+            self.shown[i] = ""
+        self.of_char = np.full(0x110000, tables.width - 1, dtype=np.int32)
+        for c, i in tables.pieces.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
 
     def parts(self, text: str) -> list[str]:
         """The text with its dummy blank, cut into parts; none for an empty text."""
@@ -106,12 +125,13 @@ class PieceCoder:
         short = [p for p in new if len(p) <= LONG_PART]
         for i in range(0, len(short), MERGED_TOGETHER):
             block = short[i : i + MERGED_TOGETHER]
-            self.kept.update(zip(block, self.merge_rounds(block)))
+            self.kept.update(zip(block, map(self.form, self.merge_rounds(block))))
         for part in new:
             if len(part) > LONG_PART:
-                self.kept[part] = self.merge_by_heap(part)
+                self.kept[part] = self.form(self.merge_by_heap(part))
 
     def encode(self, text: str) -> list[int]:
+        """Ids without the end id; for coders that keep ids."""
         parts = self.parts(text)
         self.learn([parts])
         return [i for p in parts for i in self.kept[p]]
@@ -127,9 +147,8 @@ class PieceCoder:
         """All words at once: in each round every word merges its leftmost pair of lowest rank; done words leave the arrays."""
         if not words:
             return []
-        unknown = self.t.width - 1
-        get = self.t.pieces.get
-        symbols = np.array([get(c, unknown) for w in words for c in w], dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        symbols = self.of_char[codes].astype(np.int64)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -220,8 +239,10 @@ class PieceCoder:
                 offer(before[i])
         return self._with_bytes(word, [s for s in symbols if s >= 0])
 
-    def decode_part(self, ids: Iterable[int]) -> str:
+    def decode_part(self, ids: Sequence[int]) -> str:
         """Pieces and byte runs as text, space marks as blanks; bytes that are no UTF-8 become U+FFFD."""
+        if self.is_byte.keys().isdisjoint(ids):
+            return "".join(map(self.shown.__getitem__, ids))
         out, run = [], bytearray()
         for i in ids:
             if i in self.is_byte:
@@ -230,13 +251,12 @@ class PieceCoder:
             if run:
                 out.append(_utf8(run))
                 run = bytearray()
-            if i not in self.t.controls:
-                out.append(self.t.names[i].replace(SPACE, " "))
+            out.append(self.shown[i])
         if run:
             out.append(_utf8(run))
         return "".join(out)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of whole ids: as :meth:`decode_part`, without the dummy blank."""
         text = self.decode_part(ids)
         return text[1:] if text.startswith(" ") else text
@@ -261,20 +281,15 @@ def piece_digests(df: DataFrame, model_path: str, text: str = "text", id_column:
     tables = df.sparkSession.sparkContext.broadcast(PieceTables.load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(tables.value)
-        end = b"%d" % coder.t.end_id
-        shown: dict[str, tuple[bytes, int, str]] = {}
+        written = [b"%d" % i for i in range(len(tables.value.names))]
+        coder = PieceCoder(tables.value, lambda ids: (b" ".join([written[i] for i in ids]), len(ids), coder.decode_part(ids)))
+        end = written[coder.t.end_id]
         for batch, texts in chunks(batches, "text"):
             all_parts = [coder.parts(t) for t in texts]
             coder.learn(all_parts)
-            if len(shown) > MOST_KEPT:
-                shown = {}
             sizes, hashes, decoded = [], [], []
             for parts in all_parts:
-                for p in set(parts).difference(shown):
-                    ids = coder.kept[p]
-                    shown[p] = (b" ".join(b"%d" % i for i in ids), len(ids), coder.decode_part(ids))
-                rows = [shown[p] for p in parts]
+                rows = [coder.kept[p] for p in parts]
                 sizes.append(sum([r[1] for r in rows]) + 1)
                 hashes.append(sha256(b" ".join([r[0] for r in rows] + [end])).hexdigest())
                 back = "".join([r[2] for r in rows])
@@ -319,16 +334,11 @@ def piece_lengths(df: DataFrame, model_path: str, text: str = "text") -> DataFra
     tables = df.sparkSession.sparkContext.broadcast(PieceTables.load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sizes = PieceCoder(tables.value), {}
+        coder = PieceCoder(tables.value, len)
         for _, texts in chunks(batches, "text"):
             all_parts = [coder.parts(t) for t in texts]
             coder.learn(all_parts)
-            if len(sizes) > MOST_KEPT:
-                sizes = {}
-            for parts in all_parts:
-                for p in set(parts).difference(sizes):
-                    sizes[p] = len(coder.kept[p])
-            get = sizes.__getitem__
+            get = coder.kept.__getitem__
             yield pa.RecordBatch.from_arrays([pa.array([sum(map(get, p)) + 1 for p in all_parts], pa.int64())], names=["n_tokens"])
 
     return map_batches(df.select(F.col(f"`{text}`").alias("text")), run, "n_tokens long")
