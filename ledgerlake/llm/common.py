@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.session import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "read_table", "ascii_lower", "ROW_CHUNK", "chunks"]
+__all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "read_table", "ascii_lower", "ROW_CHUNK", "chunks", "ship_package"]
 
 #: Rows handled together inside a task; long texts make the chunk end earlier (see :func:`chunks`).
 ROW_CHUNK = 2000
@@ -34,8 +38,23 @@ def has_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package's source to all Python workers, once per context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlake_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerlake-source-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._ledgerlake_shipped = True
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow``: Spark splits the rows, each task streams its batches."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, has_columns, map_batches
+from ledgerlake.llm.common import chunks, has_columns, map_batches, ship_package
 
 SPACE = "▁"
 NONE = np.int64(2**31 - 1)
@@ -310,6 +310,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text") -> DataFra
 
     Rows stay as they are; a null or empty text gives the end id alone and an empty decoded text.
     """
+    ship_package(df.sparkSession)
     tables = df.sparkSession.sparkContext.broadcast(PieceTables.load(model_path))
 
     @F.pandas_udf("ids array<int>, decoded string")

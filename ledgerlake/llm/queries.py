@@ -17,6 +17,18 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.sharding import shard_documents
+
+    return shard_documents(read_table(spark, folder, "documents"))
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.simhash import near_duplicate_classes
+
+    return near_duplicate_classes(read_table(spark, folder, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.pieces import piece_digests
 
@@ -58,6 +70,8 @@ FROM ruled
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op4_simhash": op4_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import ship_package
+
 ALLOW, BLOCK = "allow", "block"
 
 #: The rules of the registered query.
@@ -95,6 +97,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str]]
     No shuffle. Null, empty and malformed urls have an empty host and path and get the default. Columns of these four
     names are replaced; all other columns and repeated rows stay. An empty table gives an empty result.
     """
+    ship_package(df.sparkSession)
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     @F.pandas_udf("host string, path string, rule string, verdict string")
