@@ -23,6 +23,12 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(read_table(spark, folder, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.prefix_hash import neighbour_fingerprints
+
+    return neighbour_fingerprints(read_table(spark, folder, "documents"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.simhash import near_duplicate_classes
 
@@ -71,6 +77,7 @@ FROM ruled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_fingerprints": op2_fingerprints,
     "op4_simhash": op4_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
