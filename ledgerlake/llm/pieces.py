@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -314,9 +315,7 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text") -> DataFra
     tables = df.sparkSession.sparkContext.broadcast(PieceTables.load(model_path))
 
     @F.pandas_udf("ids array<int>, decoded string")
-    def coded(parts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = PieceCoder(tables.value)
         for series in parts:
             texts = [t or "" for t in series]
@@ -324,7 +323,6 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text") -> DataFra
             ids = [coder.encode(t) + [coder.t.end_id] for t in texts]
             yield pd.DataFrame({"ids": ids, "decoded": [coder.decode(i) for i in ids]})
 
-    coded.func.__annotations__.clear()
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("ids", "decoded")]
     return df.withColumn("_coded", coded(F.col(f"`{text}`"))).select(*kept, F.col("_coded.ids"), F.col("_coded.decoded"))
 

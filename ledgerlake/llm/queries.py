@@ -35,6 +35,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(read_table(spark, folder, "documents"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.language import predict_languages
+
+    return predict_languages(read_table(spark, folder, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.pieces import piece_digests
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
     "op4_simhash": op4_simhash,
+    "op5_language": op5_language,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
