@@ -41,6 +41,12 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(read_table(spark, folder, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.neural_lm import score_documents
+
+    return score_documents(read_table(spark, folder, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.pieces import piece_digests
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
