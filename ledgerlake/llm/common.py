@@ -8,13 +8,16 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.session import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "read_table", "ascii_lower", "ROW_CHUNK", "chunks", "ship_package"]
+__all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "read_table", "ascii_lower", "ROW_CHUNK", "chunks", "ship_package", "sum_arrays"]
 
 #: Rows handled together inside a task; long texts make the chunk end earlier (see :func:`chunks`).
 ROW_CHUNK = 2000
@@ -70,3 +73,24 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
             size += len(value)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def sum_arrays(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """Sum of one float64 array per task, or None if no task has one.
+
+    The tasks' arrays meet in about the square root of their number of groups first, so neither a group nor the driver holds more
+    than that many arrays.
+    """
+    groups = max(1, int(df.rdd.getNumPartitions() ** 0.5))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = function(batches)
+        if made is not None:
+            group = pa.array([TaskContext.get().partitionId() % groups], pa.int32())
+            yield pa.RecordBatch.from_arrays([group, pa.array([made.astype(np.float64).tobytes()], pa.binary())], names=["g", "sums"])
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sums": [sum(np.frombuffer(b) for b in rows["sums"]).tobytes()]})
+
+    parts = map_batches(df, run, "g int, sums binary").groupBy("g").applyInPandas(added, "sums binary").collect()
+    return sum(np.frombuffer(r["sums"]) for r in parts) if parts else None

@@ -17,13 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize, ship_package
+from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize, sum_arrays
 from ledgerlake.llm.language import held_out
 
 #: The end of a text. No word contains white space.
@@ -274,44 +273,28 @@ class _Reader:
 
 
 def train_model(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """One pass over all rows of ``text`` in ``ROUNDS`` parts; after each the tasks' parameters are averaged by tokens.
-
-    Parameters are summed in groups of about the square root of the number of tasks before they reach the driver.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
+    """One pass over all rows of ``text`` in ``ROUNDS`` parts; after each the tasks' parameters are averaged by tokens."""
+    context = docs.sparkSession.sparkContext
     shares = (vocabulary.counts + 1) / (vocabulary.counts.sum() + vocabulary.outputs)
     model = LogBilinear(vocabulary.outputs, shares)
-    shared = spark.sparkContext.broadcast(vocabulary.__dict__)
-    tasks = docs.rdd.getNumPartitions()
-    groups = max(1, int(np.sqrt(tasks)))
-
+    shared = context.broadcast(vocabulary.__dict__)
     for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast(model.flat())
+        start = context.broadcast(model.flat())
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> np.ndarray | None:
             vocabulary = Vocabulary(**shared.value)
             local, reader = LogBilinear(vocabulary.outputs, shares).load(start.value), _Reader(vocabulary)
-            task = TaskContext.get().partitionId()
 
             def streams():
                 for _, texts in chunks(batches, "text"):
                     yield _windows([reader.outputs(words_of(t)) for t in texts], vocabulary.outputs)
 
-            seen = local.train(streams(), seed=task * ROUNDS + turn)
-            if seen:
-                flat = (local.flat().astype(np.float64) * seen).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([task % groups], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat], pa.binary())], names=["g", "seen", "sums"])
-
-        def added(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(b) for b in rows["sums"])
-            return pd.DataFrame({"seen": [int(rows["seen"].sum())], "sums": [total.tobytes()]})
+            seen = local.train(streams(), seed=TaskContext.get().partitionId() * ROUNDS + turn)
+            return np.append(local.flat().astype(np.float64) * seen, seen) if seen else None
 
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
-        sums = map_batches(part, run, "g int, seen long, sums binary").groupBy("g").applyInPandas(added, "seen long, sums binary").collect()
-        seen = sum(r["seen"] for r in sums)
-        if seen:
-            model.load((sum(np.frombuffer(r["sums"]) for r in sums) / seen).astype(np.float32))
+        total = sum_arrays(docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text"), run)
+        if total is not None:
+            model.load((total[:-1] / total[-1]).astype(np.float32))
     return model
 
 

@@ -66,6 +66,12 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(read_table(spark, folder, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.decontam import contaminated
+
+    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 OP9_SQL = """
 WITH cut AS (
   SELECT page_id,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
