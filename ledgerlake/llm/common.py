@@ -55,7 +55,7 @@ def ship_package(spark: SparkSession) -> None:
     context._ledgerlake_shipped = True
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow``: Spark splits the rows, each task streams its batches."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -29,6 +29,12 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_fingerprints(read_table(spark, folder, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.html_blocks import extract_main_text
+
+    return extract_main_text(read_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.simhash import near_duplicate_classes
 
@@ -96,6 +102,7 @@ FROM ruled
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
+    "op3_html_extraction": op3_html_extraction,
     "op4_simhash": op4_simhash,
     "op5_language": op5_language,
     "op6_lm_scoring": op6_lm_scoring,
