@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import chunks, has_columns, map_batches
 
 #: Bound of the training sample: pages, and characters of a page in it.
-FIT_PAGES = 800
+FIT_PAGES = 1000
 FIT_CHARS = 60_000
 VARIANTS = 2
-EPOCHS = 6
+EPOCHS = 8
 HIDDEN = 24
 PATH_BUCKETS = 160
 WORD_BUCKETS = 48
@@ -185,7 +185,7 @@ _word_bucket = _WordBuckets().__getitem__
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """Block x WIDTH: path names, hashed words (their shares), and length, links, place and end of the block."""
+    """Block x WIDTH: path names, hashed words (a unit vector), and length, links, place and end of the block."""
     out = np.zeros((len(blocks), WIDTH), dtype=np.float32)
     for i, block in enumerate(blocks):
         row = out[i]
@@ -193,7 +193,8 @@ def features(blocks: list[Block]) -> np.ndarray:
             row[_path_bucket(name)] = 1.0
         words = block.text.split()
         keys = np.fromiter(map(_word_bucket, words), dtype=np.int64, count=len(words))
-        row[PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = np.bincount(keys, minlength=WORD_BUCKETS) / np.float32(np.sqrt(len(words)) * 2)
+        counts = np.bincount(keys, minlength=WORD_BUCKETS)
+        row[PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = counts / np.sqrt(counts @ counts)
         row[-SHAPE:] = (
             np.log1p(len(words)) / 4, np.log1p(len(block.text)) / 6, block.linked, (i + 1) / len(blocks), 1.0 if block.text[-1] in ".!?…" else 0.0, 1.0,
         )
@@ -271,6 +272,12 @@ def varied(blocks: list[Block], labels: list[int], rng: np.random.Generator) ->
         path = _renamed(block.path, name)
         if label and path[-1] == "p" and rng.random() < 0.15:
             path = (*path[:-1], *_PARAGRAPH[rng.integers(len(_PARAGRAPH))])
+            if path[-1] in ("li", "h2", "h3", "td", "dd", "figcaption"):  # short, and items come in a row
+                parts = block.text.split()
+                for _ in range(rng.integers(1, 5) if path[-1] in ("li", "td", "dd") else 1):
+                    at = int(rng.integers(len(parts)))
+                    out.append((Block(path, " ".join(parts[at : at + int(rng.integers(2, 15))]), 0.0), label))
+                continue
         out.append((Block(path, block.text, block.linked), label))
     inside = [i for i, (_, y) in enumerate(out) if y]
     for _ in range(rng.integers(1, 6)):
@@ -379,13 +386,13 @@ class BlockLabeller:
         return out
 
     def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, batch: int = 32) -> BlockLabeller:
-        """Cross-entropy by backpropagation through time and Adam; the order of batches is fixed by a seed."""
+        """Cross-entropy by backpropagation through time and Adam, at a falling rate; the order of batches is fixed by a seed."""
         rng = np.random.default_rng(17)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         order = np.argsort([len(s) for s in sequences], kind="stable")
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-        step = 0
+        step, steps = 0, epochs * len(groups)
         for _ in range(epochs):
             for g in rng.permutation(len(groups)):
                 step += 1
@@ -398,7 +405,7 @@ class BlockLabeller:
                 for k, v in gradient.items():
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.999 * second[k] + 0.001 * v * v
-                    rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                    rate = 0.01 * (1 - 0.95 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                     self.p[k] = (self.p[k] - rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
         return self
 
