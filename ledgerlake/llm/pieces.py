@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, has_columns, map_batches, ship_package
+from ledgerlake.llm.common import ROW_CHUNK, chunks, has_columns, map_batches, ship_package
 
 SPACE = "▁"
 NONE = np.int64(2**31 - 1)
@@ -318,9 +318,11 @@ def encode_pieces(df: DataFrame, model_path: str, text: str = "text") -> DataFra
     def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = PieceCoder(tables.value)
         for series in parts:
-            texts = [t or "" for t in series]
-            coder.learn([coder.parts(t) for t in texts])
-            ids = [coder.encode(t) + [coder.t.end_id] for t in texts]
+            texts, ids = series.tolist(), []
+            for i in range(0, len(texts), ROW_CHUNK):
+                all_parts = [coder.parts(t or "") for t in texts[i : i + ROW_CHUNK]]
+                coder.learn(all_parts)
+                ids.extend([i for p in parts for i in coder.kept[p]] + [coder.t.end_id] for parts in all_parts)
             yield pd.DataFrame({"ids": ids, "decoded": [coder.decode(i) for i in ids]})
 
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("ids", "decoded")]
