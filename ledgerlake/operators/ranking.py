@@ -1,8 +1,8 @@
 """Row numbers, pages and column sorts that hold for one hot group or no grouping at all.
 
-``row_number()`` over an unpartitioned or hot window runs in one task. Here the sort order is cut into ranges first:
-each row is numbered inside its range, and the counts of the earlier ranges are added. A range holds about 1/n of all
-rows whatever the group sizes are.
+``row_number()`` over an unpartitioned or hot window runs in one task. Here the rows are partitioned by ranges of the sort
+order and written in order; a row's number follows from its place in its range and the counts of the earlier ranges. A range
+holds about 1/n of all rows whatever the group sizes are.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerlake.functions.binding import let
+from ledgerlake.session import materialize
 
-SAMPLES_PER_RANGE = 32
-MOST_RANGES = 512
-DEEP_PAGE = 100_000
+#: About as many bytes of input make one range.
+RANGE_BYTES = 128 << 20
+#: Epoch seconds and milliseconds from 2001 to 2033: whole numbers that may be dates.
+EPOCH_RANGES = ((1e9, 2e9), (1e12, 2e12))
+DATE_TEXT = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
 
 # Column names that suggest a date or an id, best first.
 DATE_NAMES = [
@@ -30,31 +32,12 @@ DATE_NAMES = [
 ID_NAMES = ["^id$", "^_id$", "[_-]id$"]
 
 
-def _range_bounds(df: DataFrame, key: Column, ranges: int) -> list[str]:
-    """At most ``ranges - 1`` ascending cut points of the sort key as JSON, from about 32 sampled rows per range."""
-    keys = df.select(key.alias("k"))
-    rows = keys.count()
-    fraction = min(1.0, ranges * SAMPLES_PER_RANGE / max(rows, 1))
-    picked = keys.sample(fraction, seed=1).orderBy("k").select(F.to_json("k").alias("k")).collect()
-    step = max(len(picked) // ranges, 1)
-    return [row["k"] for row in picked[step::step]][: ranges - 1]
-
-
-def _range_of(key: Column, bounds: list[str], key_type: T.DataType) -> Column:
-    """Number of bounds at or below the key: first among every n-th bound, then among the n bounds that follow.
-
-    JSON may round a bound. Any bounds are right, as long as the whole plan uses the same ones.
-    """
-
-    def array(values: list[str]) -> Column:
-        return F.from_json(F.lit(f"[{','.join(values)}]"), T.ArrayType(key_type))
-
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds))
-    skipped = F.size(F.filter(array(bounds[step - 1 :: step]), lambda b: b <= key)) * step
-    position = let(skipped, lambda n: n + F.size(F.filter(F.slice(array(bounds), n + 1, step), lambda b: b <= key)))
-    return F.coalesce(position, F.lit(0))  # never null, so that no join adds a null test that repeats the search
+def _ranges(df: DataFrame) -> int:
+    """Number of ranges from the estimated size of the input, at least the session's number of shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # joins may have an estimate beyond any real size
+    return max(least, min(math.ceil(size / RANGE_BYTES), 100 * least))
 
 
 def number_rows(
@@ -67,27 +50,28 @@ def number_rows(
 ) -> DataFrame:
     """``row_number()`` per ``within`` group (or over all rows) without a task that holds a whole group.
 
-    ``order`` must end in a unique column. Nulls come first ascending and last descending, as in Spark's default.
+    ``order`` must end in a unique column. Nulls come first ascending and last descending, as in Spark's default. The rows are
+    written once, in order, below the shared folder; the numbers are added where they are read.
     """
-    ranges = min(ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
-    key = F.struct(*[F.col(c) for c in [*within, *order]])
-    position = _range_of(key, _range_bounds(df, key, ranges), df.select(key.alias("k")).schema["k"].dataType)
-    # The group is one struct: structs with null fields are equal, so nulls need no null-safe join.
-    group = F.struct(*[F.col(c) for c in within]) if within else F.lit(0)
-    ranged = df.withColumns({"__group": group, "__range": -position if descending else position})
-
-    at = ["__group", "__range"]
-    sizes = ranged.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*at, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    if not within:
-        starts = F.broadcast(starts)  # one row per range, at most MOST_RANGES
-
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    local = F.row_number().over(Window.partitionBy(*at).orderBy(*direction))
-    # The rows are already partitioned by the join key, and a range is never hot.
-    numbered = ranged.withColumn("__local", local).join(starts, at)
-    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__local")).alias(name))
+    keys = [*[F.col(c).asc() for c in within], *direction]
+    ordered = df.repartitionByRange(ranges or _ranges(df), *keys).sortWithinPartitions(*keys)
+    written = materialize(ordered.withColumn("__place", F.monotonically_increasing_id()), "ranges")
+    # the upper bits of a place are its range, the lower ones count from 0
+    placed = written.withColumns({"__range": F.shiftright("__place", 33), "__at": F.col("__place").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))  # one row per range
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not within:
+        return placed.join(starts, "__range").select(*columns, (F.col("__start") + F.col("__at") + 1).alias(name))
+    # The group is one struct: structs with null fields are equal, so nulls need no null-safe join.
+    placed = placed.withColumn("__group", F.struct(*[F.col(c) for c in within]))
+    firsts = placed.groupBy("__range", "__group").agg(F.min("__at").alias("__first")).join(starts, "__range")
+    first = F.min(F.col("__start") + F.col("__first")).over(Window.partitionBy("__group"))
+    bases = firsts.select("__range", "__group", (F.col("__start") - first).alias("__base"))  # one row per group and range
+    numbered = placed.join(bases, ["__range", "__group"])
+    return numbered.select(*columns, (F.col("__base") + F.col("__at") + 1).alias(name))
 
 
 def column_order(column: str, descending: bool = False) -> Column:
@@ -106,41 +90,55 @@ def top_n(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, size: int, descending: bool = False) -> DataFrame:
-    """Rows ``offset+1 … offset+size`` of the sort order, which must end in a unique column.
+    """Rows ``offset+1 … offset+size`` of the sort order, which must end in a unique column, in that order.
 
-    Near pages keep their top rows per task; a deep page is cut out by row number instead, as no task could hold all
-    the rows before it.
+    Every depth goes one way: the sort columns alone are numbered, and the page's keys are joined with the rows they stand for.
     """
-    if offset + size <= DEEP_PAGE:
-        keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-        return df.orderBy(*keys).offset(offset).limit(size)
-    numbered = number_rows(df, order, descending=descending, name="__rn")
-    return numbered.where(F.col("__rn").between(offset + 1, offset + size)).drop("__rn")
+    numbered = number_rows(df.select(*order), order, descending=descending, name="__rn")
+    wanted = numbered.where(F.col("__rn").between(offset + 1, offset + size)).select(F.struct(*order).alias("__key"), "__rn")
+    rows = df.withColumn("__key", F.struct(*order)).join(wanted, "__key")
+    return rows.orderBy("__rn").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _column_facts(df: DataFrame) -> dict[str, dict]:
+    """Of each column: type, whether it has values, whether its values look like dates, and like whole numbers. One pass."""
+    facts, sums = {}, []
+    for i, field in enumerate(df.schema.fields):
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        temporal, whole = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)), isinstance(kind, T.IntegralType)
+        facts[field.name] = {"temporal": temporal, "whole": whole, "number": whole or isinstance(kind, T.FractionalType), "text": isinstance(kind, T.StringType)}
+        sums.append(F.count(column).alias(f"n{i}"))
+        if facts[field.name]["number"]:
+            sums += [F.min(column).cast("double").alias(f"low{i}"), F.max(column).cast("double").alias(f"high{i}")]
+        elif facts[field.name]["text"]:
+            sums += [F.count_if(column.rlike(DATE_TEXT)).alias(f"dates{i}"), F.count_if(column.rlike(r"^\d+$")).alias(f"digits{i}")]
+    row = df.agg(*sums).first() if sums else {}
+    for i, fact in enumerate(facts.values()):
+        n = fact["n"] = row[f"n{i}"]
+        if fact["number"]:
+            dates = n > 0 and any(low < row[f"low{i}"] and row[f"high{i}"] < high for low, high in EPOCH_RANGES)
+            fact |= {"dates": dates, "digits": fact["whole"] and n > 0}
+        elif fact["text"]:
+            fact |= {"dates": 2 * row[f"dates{i}"] > n, "digits": n > 0 and row[f"digits{i}"] == n}
+        else:
+            fact |= {"dates": fact["temporal"] and n > 0, "digits": False}
+    return facts
 
 
-def _is_date_like(value) -> bool:
-    text = str(value)
-    if isinstance(value, (int, float)):
-        return 1e9 < value < 2e9 or 1e12 < value < 2e12
-    return bool(re.match(r"\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", text))
+def auto_sort_column(df: DataFrame) -> str | None:
+    """Column to sort newest first: a date-like name with values, else a column of dates, else an id-like name of whole numbers.
+
+    Decided by the schema and by aggregates over all rows: a number is a date if all values lie in one epoch range, a text if
+    more than half of the values begin like one.
+    """
+    facts = _column_facts(df)
 
+    def named(patterns: Sequence[str], test) -> str | None:
+        found = (n for p in patterns for n, fact in facts.items() if re.search(p, n, re.IGNORECASE) and test(fact))
+        return next(found, None)
 
-def auto_sort_column(df: DataFrame) -> str | None:
-    """Column to sort newest first: a date-like name, else date-like values, else an id-like name."""
-    head = df.limit(10).collect()
-    for pattern in DATE_NAMES:
-        for name in df.columns:
-            if re.search(pattern, name, re.IGNORECASE) and any(row[name] is not None for row in head):
-                return name
-    for name in df.columns:
-        if sum(row[name] is not None and _is_date_like(row[name]) for row in head[:5]) >= 3:
-            return name
-    for pattern in ID_NAMES:
-        for name in df.columns:
-            numeric = any(re.fullmatch(r"\d+", str(row[name])) for row in head[:5] if row[name] is not None)
-            if re.search(pattern, name, re.IGNORECASE) and numeric:
-                return name
-    return None
+    dated = next((n for n, fact in facts.items() if fact["dates"]), None)
+    return named(DATE_NAMES, lambda f: f["n"] > 0) or dated or named(ID_NAMES, lambda f: f["digits"])
 
 
 def auto_sort(df: DataFrame) -> DataFrame:

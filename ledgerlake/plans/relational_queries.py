@@ -308,10 +308,9 @@ def o2_sort_ascending(t: Tables) -> DataFrame:
     return ranking.sort_by(roles.lists(t).select("id", "color"), "color")
 
 
-@query("O2", with_todo("SELECT id, color, position FROM lists ORDER BY color DESC NULLS FIRST, id LIMIT 50"))
-def o2_sort_descending_head(t: Tables) -> DataFrame:
-    rows = roles.lists(t).select("id", "color", "position")
-    return ranking.top_n(rows, [ranking.column_order("color", descending=True), F.col("id")], 50)
+@query("O2", with_todo("SELECT id, color, position FROM lists ORDER BY color DESC NULLS FIRST, id"))
+def o2_sort_descending(t: Tables) -> DataFrame:
+    return ranking.sort_by(roles.lists(t).select("id", "color", "position"), "color", descending=True)
 
 
 @query("O3", with_todo("SELECT id, title FROM lists ORDER BY created_at, id LIMIT 25 OFFSET 100"))
@@ -319,9 +318,22 @@ def o3_page_of_lists(t: Tables) -> DataFrame:
     return ranking.page(roles.lists(t), ["created_at", "id"], 100, 25).select("id", "title")
 
 
-@query("O4", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC NULLS FIRST LIMIT 20")
-def o4_auto_sorted_head(t: Tables) -> DataFrame:
-    return ranking.auto_sort(t.events.select("event_id", "ts", "event_type")).limit(20)
+@query(
+    "O3",
+    """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 40 OFFSET (SELECT count(*) * 2 // 3 FROM lineitem)""",
+)
+def o3_deep_page(t: Tables) -> DataFrame:
+    """A page behind two thirds of all rows."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return ranking.page(rows, order, rows.count() * 2 // 3, 40).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("O4", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC NULLS FIRST")
+def o4_auto_sorted(t: Tables) -> DataFrame:
+    return ranking.auto_sort(t.events.select("event_id", "ts", "event_type"))
 
 
 @query("O5", "SELECT * FROM events ORDER BY event_id DESC LIMIT 100")

@@ -91,12 +91,11 @@ def test_row_numbers_equal_window(spark):
 
 
 def test_row_numbers_split_the_hot_group(spark):
-    """No range holds much more than its share, though one group holds everything."""
+    """No range holds much more than its share, though one group holds everything; more data makes more ranges."""
     df = spark.range(10_000).select(F.lit(1).alias("k"), "id")
-    key = F.struct("k", "id")
-    bounds = ranking._range_bounds(df, key, 10)
-    ranges = df.groupBy(ranking._range_of(key, bounds, df.select(key.alias("k")).schema["k"].dataType).alias("r")).count()
-    assert sorted(r.r for r in ranges.collect()) == list(range(10)) and ranges.agg(F.max("count")).first()[0] < 2500
+    placed = df.repartitionByRange(10, "k", "id").groupBy(F.spark_partition_id()).count()
+    assert placed.count() == 10 and placed.agg(F.max("count")).first()[0] < 2500
+    assert ranking._ranges(df) == 4 and 4 < ranking._ranges(spark.range(10**9)) < 100
 
 
 @pytest.mark.parametrize("kind", ["double", "string", "timestamp", "timestamp_ntz", "decimal(20,4)", "date", "boolean", "binary"])
@@ -117,13 +116,13 @@ def test_row_numbers_of_nothing(spark):
     assert ranking.number_rows(spark.range(0), ["id"]).count() == 0
 
 
-def test_pages(spark, monkeypatch):
-    df = spark.range(500)
-    near = [r.id for r in ranking.page(df, ["id"], 40, 5).collect()]
-    monkeypatch.setattr(ranking, "DEEP_PAGE", 10)
-    deep = sorted(r.id for r in ranking.page(df, ["id"], 40, 5).collect())
-    assert near == deep == [40, 41, 42, 43, 44]
-    assert sorted(r.id for r in ranking.page(df, ["id"], 0, 2, descending=True).collect()) == [498, 499]
+def test_pages(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("v"))
+    for offset in (0, 40, 498, 600):
+        for descending in (False, True):
+            got = [r.id for r in ranking.page(df, ["v", "id"], offset, 5, descending).collect()]
+            want = sorted(((i % 3, i) for i in range(500)), reverse=descending)[offset : offset + 5]
+            assert got == [i for _, i in want]  # in order
 
 
 def test_auto_sort(rows):
@@ -132,6 +131,9 @@ def test_auto_sort(rows):
     assert ranking.auto_sort_column(rows("id int, x string", (1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03"))) == "x"
     assert ranking.auto_sort_column(rows("user_id int, name string", (1, "a"))) == "user_id"
     assert ranking.auto_sort_column(rows("name string", ("a",))) is None
+    assert ranking.auto_sort_column(rows("name string, x bigint", ("a", 1_700_000_000), ("b", 1_700_000_500))) == "x"
+    late = [("a", None)] * 40 + [("b", day(1))]  # dates beyond any prefix of the rows
+    assert ranking.auto_sort_column(rows("name string, x timestamp", *late)) == "x"
     assert [r.id for r in ranking.auto_sort(rows("id int", (1,), (3,), (2,))).collect()] == [3, 2, 1]
 
 
