@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import naming, paths, scalar
 from ledgerlake.operators.skew import join_aggregated
+from ledgerlake.session import materialize
 
 # Fixed values.
 SCRIPT_SUFFIXES = (".sql", ".sql.tmpl")
@@ -46,7 +47,7 @@ def filter_paths_by_rules(files: DataFrame, rules: DataFrame, path: str = "path"
     salt = F.pmod(F.xxhash64("__path"), F.lit(salts)).cast("int")
     expanded = (
         files.select(F.col(path).alias("__path")).distinct()
-        .select("__path", salt.alias("__salt"), F.explode(paths.ancestors(F.col("__path"))).alias("__prefix"))
+        .select("__path", salt.alias("__salt"), F.explode(paths.ancestors(paths.normalize(F.col("__path")))).alias("__prefix"))
     )
     repeated = rules.select(paths.normalize(F.col("prefix")).alias("__prefix"), "action").distinct()
     any_include = repeated.agg(F.coalesce(F.max(F.col("action") == "include"), F.lit(False)).alias("x"))
@@ -100,10 +101,15 @@ def manifest_paths(manifests: DataFrame, key: str = "manifest", content: str = "
 
 
 def manifest_errors(manifests: DataFrame, files: DataFrame, key: str = "manifest", content: str = "content") -> DataFrame:
-    """Manifests that list nothing, and references to files that do not exist."""
+    """Manifests that list nothing, and references to files that do not exist.
+
+    Each listed path is looked up once, however many manifests list it; only missing ones meet the manifests again, with an
+    exchange on both sides, which Spark splits.
+    """
     listed = manifest_paths(manifests, key, content)
     empty = manifests.select(key).join(listed.select(key).distinct(), key, "left_anti")
-    missing = listed.join(files.select("path").distinct(), "path", "left_anti")
+    unknown = listed.select("path").distinct().join(files.select("path").distinct(), "path", "left_anti")
+    missing = listed.join(materialize(unknown, "missing-paths"), "path", "left_semi")
     return empty.select(key, F.lit(None).cast("string").alias("path"), F.lit("empty").alias("error")).unionByName(
         missing.select(key, "path", F.lit("missing").alias("error"))
     )

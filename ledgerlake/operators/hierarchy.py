@@ -12,13 +12,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.guards import one_per_key
 from ledgerlake.session import materialize_counted
 
 
 def _links(nodes: DataFrame, key: str, parent: str) -> DataFrame:
-    """``id, up``: parents that do not exist count as no parent."""
-    known = nodes.select(F.col(key).alias("__known"))
-    links = nodes.select(F.col(key).alias("id"), F.col(parent).alias("up"))
+    """``id, up``: parents that do not exist count as no parent. A key that stands in two rows is an error."""
+    known = nodes.select(F.col(key).alias("__known")).distinct()
+    links = one_per_key(nodes.select(F.col(key).alias("id"), F.col(parent).alias("up")), ["id"])
     joined = links.join(known, links["up"] == known["__known"], "left")
     return joined.select("id", F.col("__known").alias("up"))
 

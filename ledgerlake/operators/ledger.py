@@ -9,15 +9,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from ledgerlake.operators.guards import one_per_key
 from ledgerlake.operators.skew import join_aggregated
 
 RESET_NAME = "__reset__"
-ERROR_LIMIT = 2000  # characters of an error message that are stored
-ARRAY_LIMIT = 1_000_000  # members of a group up to which its fingerprint is built inside the JVM
 
 
 def _none(column: str) -> Column:
@@ -277,35 +278,44 @@ def file_status_summary(decisions: DataFrame) -> DataFrame:
     )
 
 
-def combined_checksum(
-    members: DataFrame, keys: Sequence[str], checksum: str = "checksum", array_limit: int = ARRAY_LIMIT
-) -> DataFrame:
-    """Fingerprint of each group: SHA-256 over its sorted member hashes, joined without separator.
+def combined_checksum(members: DataFrame, keys: Sequence[str], checksum: str = "checksum") -> DataFrame:
+    """Fingerprint of each group: SHA-256 over its sorted member hashes, joined without separator; nulls are left out.
 
-    Groups up to ``array_limit`` members are joined inside the JVM. A larger group is sorted on disk by Spark and
-    hashed as a stream: SHA-256 is sequential, but no more than one Arrow batch of the group is in memory.
+    Every group, of any size and with any nulls in its keys, goes one way: Spark sorts the hashes, spilling to disk where it must,
+    and they are digested as a stream, one Arrow batch in memory. SHA-256 is sequential, so that a group's hashes (64 bytes each, no
+    other column) end in one task cannot be avoided.
     """
-    rows = members.select(*keys, F.col(checksum).alias("__h"))
-    oversized = rows.groupBy(*keys).agg(F.count("__h").alias("__n")).where(F.col("__n") > array_limit).drop("__n")
-    joined = F.array_join(F.array_sort(F.collect_list("__h")), "")
-    regular = join_aggregated(rows, oversized, keys, "left_anti").groupBy(*keys).agg(F.sha2(joined, 256).alias("checksum"))
-    large = join_aggregated(rows, oversized, keys, "left_semi").where(F.col("__h").isNotNull())
-    large = large.repartition(*keys).sortWithinPartitions(*keys, "__h")
-    return regular.unionByName(large.mapInPandas(_stream_hash(list(keys)), regular.schema))
-
-
-def _stream_hash(keys: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, digest = None, None
+    rows = members.select(*keys, F.col(checksum).alias("__h")).repartition(*keys).sortWithinPartitions(*keys, "__h")
+    schema = members.select(*keys, F.lit("").alias("checksum")).schema
+    return rows.mapInArrow(_stream_hash(len(keys), schema), schema)
+
+
+def _stream_hash(width: int, schema: StructType):
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, done = None, None, []
+
+        def full() -> pa.RecordBatch:
+            rows = [pa.array(c, f.type) for c, f in zip(zip(*done), kinds)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(rows, schema=kinds)
+
         for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                if key != current:
+            *key_columns, hashes = (column.to_pylist() for column in batch.columns)
+            for key, value in zip(zip(*key_columns) if width else [()] * len(hashes), hashes):
+                if digest is None or key != current:
                     if digest is not None:
-                        yield pd.DataFrame([(*current, digest.hexdigest())], columns=[*keys, "checksum"])
+                        done.append((*current, digest.hexdigest()))
                     current, digest = key, hashlib.sha256()
-                digest.update("".join(part["__h"]).encode())
+                    if len(done) >= 10_000:
+                        yield full()
+                if value is not None:
+                    digest.update(value.encode())
         if digest is not None:
-            yield pd.DataFrame([(*current, digest.hexdigest())], columns=[*keys, "checksum"])
+            done.append((*current, digest.hexdigest()))
+        if done:
+            yield full()
 
     return run
 
@@ -377,33 +387,34 @@ def count_to_mark_stale(operations: DataFrame, config: str) -> DataFrame:
 
 
 def mark_reverted(operations: DataFrame, names: DataFrame, config: str) -> DataFrame:
-    """Set the latest forward record of each named change to reverted."""
-    latest = (
-        _changes(operations, config)
-        .where(F.col("direction") == "change")
-        .join(names.select("name").distinct(), "name", "left_semi")
-        .groupBy("name")
-        .agg(F.max("id").alias("id"))
-        .select("id", F.lit(True).alias("__hit"))
-    )
+    """Set the latest forward record of each named change to reverted.
+
+    Records are grouped before the join, so a name with a third of them costs one row per task.
+    """
+    latest = _changes(operations, config).where(F.col("direction") == "change").groupBy("name").agg(F.max("id").alias("id"))
+    latest = latest.join(names.select("name").distinct(), "name", "left_semi").select("id", F.lit(True).alias("__hit"))
     joined = operations.join(latest, "id", "left")
     return _with_status(joined, F.col("__hit"), "reverted").select(*operations.columns)
 
 
-def finalize(operations: DataFrame, closings: DataFrame) -> DataFrame:
-    """Close operations (``id, status, checksum, duration_ms, error_message``; one closing per id)."""
-    new = closings.select(
+def finalize(operations: DataFrame, closings: DataFrame, error_limit: int | None = None) -> DataFrame:
+    """Close operations (``id, status, checksum, duration_ms, error_message``). A second closing of an id is an error.
+
+    The error text is kept whole, or cut to ``error_limit`` characters.
+    """
+    error = F.coalesce("error_message", F.lit(""))
+    fields = ("id", "status", "checksum", "duration_ms", "error_message")
+    new = one_per_key(closings.select(*fields), ["id"]).select(
         "id",
         F.lit(True).alias("__hit"),
         F.col("status").alias("__status"),
         F.coalesce("checksum", F.lit("")).alias("__checksum"),
         F.floor(F.col("duration_ms") + 0.5).alias("__duration_ms"),
-        F.substring(F.coalesce("error_message", F.lit("")), 1, ERROR_LIMIT).alias("__error_message"),
+        (error if error_limit is None else F.substring(error, 1, error_limit)).alias("__error_message"),
     )
-    fields = ("status", "checksum", "duration_ms", "error_message")
     return operations.join(new, "id", "left").select(
         *[
-            F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+            F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in fields[1:] else F.col(c)
             for c in operations.columns
         ]
     )

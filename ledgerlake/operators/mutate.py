@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.scalar import struct_json
 from ledgerlake.operators.hierarchy import mark_descendants
+from ledgerlake.operators.guards import one_per_key
 from ledgerlake.operators.ranking import number_rows
 from ledgerlake.operators.relational import next_position
 from ledgerlake.operators.skew import join_aggregated
@@ -77,12 +78,12 @@ def patch(
     touched: str = "updated_at",
 ) -> DataFrame:
     """``COALESCE(new, old)`` on active rows. Several patches of a row apply in ``seq`` order, so per column the last
-    value that is not null counts."""
+    value that is not null counts; without ``seq`` a second patch of a row is an error."""
     if seq:
         last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"__{c}") for c in columns]
         new = patches.groupBy(key).agg(*last)
     else:
-        new = patches.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+        new = one_per_key(patches.select(key, *columns), [key]).select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     joined = table.join(new.withColumn("__hit", F.lit(True)), key, "left")
     values = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in columns} | {touched: as_of}
     return _replace(joined, values, F.col("__hit") & F.col(deleted).isNull()).select(*table.columns)

@@ -93,7 +93,7 @@ def run_scripts(
     record = (
         operation_id, operation.name, operation.change_type, operation.direction, checksum.checksum if checksum else "",
         operation.executed_at, operation.executed_by, operation.config, operation.cli_version,
-        total.stored_status if total else "success", error_text[: ledger.ERROR_LIMIT] if aborted else "",
+        total.stored_status if total else "success", error_text if aborted else "",
         round((time.monotonic() - start) * 1000),
     )
     counts = (total.files_run, total.files_skipped, total.files_failed) if total else (0, 0, 0)

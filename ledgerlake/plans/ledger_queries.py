@@ -334,7 +334,7 @@ CLOSING_SQL = """
 SELECT o.id, CASE WHEN c.id IS NULL THEN o.status ELSE c.status END AS status,
        CASE WHEN c.id IS NULL THEN o.checksum ELSE c.checksum END AS checksum,
        CASE WHEN c.id IS NULL THEN o.duration_ms ELSE CAST(floor(c.duration_ms + 0.5) AS BIGINT) END AS duration_ms,
-       CASE WHEN c.id IS NULL THEN o.error_message ELSE left(coalesce(c.error_message, ''), 2000) END AS error_message
+       CASE WHEN c.id IS NULL THEN o.error_message ELSE coalesce(c.error_message, '') END AS error_message
 FROM operations o LEFT JOIN closings c ON c.id = o.id"""),
 )
 def m13_finalize_operations(t: Tables) -> DataFrame:

@@ -145,19 +145,37 @@ def test_abort_and_rollup(rows):
     ]
 
 
-def test_combined_checksum_in_both_ways(spark):
-    """Groups hashed inside the JVM and groups hashed as a stream give the same fingerprints."""
+def test_combined_checksum(spark):
+    """A group with a third of the rows under a null key, small groups, and hashes that are null."""
     df = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("k"),
         F.lit(1).alias("j"),
-        F.sha2(F.col("id").cast("string"), 256).alias("checksum"),
+        F.when((F.col("id") % 40 != 7) & (F.col("id") % 11 > 0), F.sha2(F.col("id").cast("string"), 256)).alias("checksum"),
     )
-    members: dict[str, list[str]] = {}
+    members: dict[str | None, list[str]] = {}
     for row in df.collect():
-        members.setdefault(row.k, []).append(row.checksum)
-    want = sorted((k, 1, hashlib.sha256("".join(sorted(v)).encode()).hexdigest()) for k, v in members.items())
-    for limit in (1_000_000, 100, 0):
-        assert cells(ledger.combined_checksum(df, ["k", "j"], array_limit=limit)) == want
+        members.setdefault(row.k, []).extend([row.checksum] if row.checksum else [])
+    want = {(k, 1, hashlib.sha256("".join(sorted(v)).encode()).hexdigest()) for k, v in members.items()}
+    got = [tuple(r) for r in ledger.combined_checksum(df, ["k", "j"]).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert ledger.combined_checksum(df.limit(0), ["k", "j"]).count() == 0
+
+
+def test_a_second_closing_or_patch_is_an_error(rows, operations):
+    from ledgerlake.operators import mutate
+    from pyspark.errors import PySparkException
+
+    ops = operations(op(1, "a", "pending"))
+    closings = rows("id bigint, status string, checksum string, duration_ms double, error_message string", (1, "success", "c", 1.0, "e" * 5000), (1, "failed", "c", 1.0, None))
+    with pytest.raises(PySparkException, match="more than one row"):
+        ledger.finalize(ops, closings).collect()
+    assert ledger.finalize(ops, closings.limit(1)).first().error_message == "e" * 5000
+    assert ledger.finalize(ops, closings.limit(1), error_limit=2000).first().error_message == "e" * 2000
+    table = rows("id bigint, v string, deleted_at timestamp, updated_at timestamp", (1, "x", None, None))
+    patches = rows("id bigint, v string, seq int", (1, "y", 1), (1, "z", 2))
+    with pytest.raises(PySparkException, match="more than one row"):
+        mutate.patch(table, patches, "id", ["v"], F.lit(None).cast("timestamp")).collect()
+    assert mutate.patch(table, patches, "id", ["v"], F.lit(None).cast("timestamp"), seq="seq").first().v == "z"
 
 
 def test_file_status_summary(rows):
@@ -194,7 +212,7 @@ def test_ledger_updates(operations, executions, rows):
     )
     closed = {r.id: r for r in ledger.finalize(ops, closings).collect()}
     assert len(closed) == 5 and (closed[1].status, closed[1].checksum, closed[1].duration_ms) == ("failed", "", 3)
-    assert len(closed[1].error_message) == 2000 and closed[2].status == "failed" and closed[2].checksum == "h1"
+    assert len(closed[1].error_message) == 3000 and closed[2].status == "failed" and closed[2].checksum == "h1"
     assert cells(ledger.unmatched_closings(ops, closings)) == [(99, "No operation record found with id 99")]
 
     runs = executions(ex(1, 1, "f", "success"), ex(2, 4, "f", "success"))
