@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,16 +130,31 @@ def _object_keys(value: Column) -> Column:
     return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
-def _summary(value: Column, longest: int, nested: bool) -> Column:
-    """A value shortened for a message: long strings cut, containers replaced by their size (or by ``[...]``)."""
+@dataclass(frozen=True)
+class Shown:
+    """How much of its data a message shows; ``None`` is all. The defaults are the display form readers expect."""
+
+    fields: int | None = 3
+    text: int | None = 50
+    error_text: int | None = 30
+    where: int | None = 100
+
+
+WHOLE = Shown(None, None, None, None)
+
+
+def _summary(value: Column, longest: int | None, nested: bool) -> Column:
+    """A value as a message shows it: strings cut to ``longest``, containers replaced by their size (or by ``[...]``)."""
     return let(_kind(value), lambda kind: _shortened(value, kind, longest, nested))
 
 
-def _shortened(value: Column, kind: Column, longest: int, nested: bool) -> Column:
+def _shortened(value: Column, kind: Column, longest: int | None, nested: bool) -> Column:
     text = _text(value)
-    cut = F.concat(F.lit('"'), F.substring(text, 1, longest - 3), F.lit('..."'))
     quoted = F.concat(F.lit('"'), text, F.lit('"'))
-    string = F.when(F.length(text) > longest, cut).otherwise(quoted)
+    string = quoted
+    if longest is not None:
+        cut = F.concat(F.lit('"'), F.substring(text, 1, longest - 3), F.lit('..."'))
+        string = F.when(F.length(text) > longest, cut).otherwise(quoted)
     array = F.concat(F.lit("["), _array_size(value).cast("string"), F.lit(" items]")) if nested else F.lit("[...]")
     obj = (
         F.concat(F.lit("{"), F.size(_object_keys(value)).cast("string"), F.lit(" keys}")) if nested else F.lit("[...]")
@@ -192,12 +208,12 @@ def _render(part: Column, fields: Column) -> Column:
     )
 
 
-def _first_entries(fields: Column, separator: str, show) -> Column:
-    entries = F.slice(F.map_entries(fields), 1, 3)
+def _first_entries(fields: Column, separator: str, count: int | None, show) -> Column:
+    entries = F.map_entries(fields) if count is None else F.slice(F.map_entries(fields), 1, count)
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(separator), show(e["value"]))), ", ")
 
 
-def _error_text(fields: Column) -> Column:
+def _error_text(fields: Column, shown: Shown) -> Column:
     """An error value: its message, a database error's code, or a summary of its first fields."""
     value = F.try_element_at(fields, F.lit("error"))
     inner = F.try_variant_get(value, "$", "map<string,variant>")
@@ -212,10 +228,11 @@ def _error_text(fields: Column) -> Column:
         part("code"),
         F.when(_truthy(inner, "routine"), F.concat(F.lit(" in "), part("routine"))).otherwise(F.lit("")),
         F.when(
-            _truthy(inner, "where"), F.concat(F.lit(" - "), F.substring(part("where"), 1, 100))
+            _truthy(inner, "where"),
+            F.concat(F.lit(" - "), part("where") if shown.where is None else F.substring(part("where"), 1, shown.where)),
         ).otherwise(F.lit("")),
     )
-    summary = F.concat(F.lit("{"), _first_entries(inner, ": ", lambda v: _summary(v, 30, nested=False)), F.lit("}"))
+    summary = F.concat(F.lit("{"), _first_entries(inner, ": ", shown.fields, lambda v: _summary(v, shown.error_text, nested=False)), F.lit("}"))
     return (
         F.when(value.isNull() | (_kind(value) == "VOID"), F.lit("Unknown error"))
         .when(_kind(message) == "STRING", message.cast("string"))
@@ -225,12 +242,13 @@ def _error_text(fields: Column) -> Column:
     )
 
 
-def event_message(event: Column, data: Column) -> Column:
-    """Message of an event: its template, else its name with the first three fields. The data is parsed once."""
-    return let(_fields(F.coalesce(data, F.lit("{}"))), lambda fields: _message(event, fields))
+def event_message(event: Column, data: Column, shown: Shown = Shown()) -> Column:
+    """Message of an event: its template, else its name with its first fields. The data is parsed once; it is not changed, so what
+    a message leaves out stays there."""
+    return let(_fields(F.coalesce(data, F.lit("{}"))), lambda fields: _message(event, fields, shown))
 
 
-def _message(event: Column, fields: Column) -> Column:
+def _message(event: Column, fields: Column, shown: Shown) -> Column:
     passed = F.lit(True)
     for name, field in SUCCESS_TESTS.items():
         success = F.try_element_at(fields, F.lit(field)).cast("string") == "success"
@@ -245,10 +263,10 @@ def _message(event: Column, fields: Column) -> Column:
     )
     source = F.concat(F.lit("Error in "), _field(fields, F.lit("source")), F.lit(": "))
     plain = F.replace(event, F.lit(":"), F.lit(" "))
-    listed = F.concat(plain, F.lit(": "), _first_entries(fields, "=", lambda v: _summary(v, 50, nested=True)))
+    listed = F.concat(plain, F.lit(": "), _first_entries(fields, "=", shown.fields, lambda v: _summary(v, shown.text, nested=True)))
     other = F.when(F.coalesce(F.size(fields), F.lit(0)) > 0, listed).otherwise(plain)
     return (
         F.when(event == "logger:error", F.concat(F.lit("Logger error: "), logger_error))
-        .when(event == "error", F.concat(source, _error_text(fields)))
+        .when(event == "error", F.concat(source, _error_text(fields, shown)))
         .otherwise(F.coalesce(from_template, other))
     )

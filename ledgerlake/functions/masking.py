@@ -20,12 +20,30 @@ from ledgerlake.functions.binding import let
 MASK_LENGTH = 12
 REVEAL_LENGTH = 4
 SECRET_FIELDS = (
-    "password pass secret token key credential api_key apikey access_key secret_key db_pass db_password redis_pass "
-    "client_secret private_key encryption_key auth_token bearer_token jwt_secret session_secret"
-).split()
+    "password",
+    "pass",
+    "secret",
+    "token",
+    "key",
+    "credential",
+    "api_key",
+    "apikey",
+    "access_key",
+    "secret_key",
+    "db_pass",
+    "db_password",
+    "redis_pass",
+    "client_secret",
+    "private_key",
+    "encryption_key",
+    "auth_token",
+    "bearer_token",
+    "jwt_secret",
+    "session_secret",
+)
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_PAIR = rf'"[^"\\]*+"\s*+:\s*+{_STRING}'
+_PAIR = rf'{_STRING}\s*+:\s*+{_STRING}'
 _CUT = rf'{_PAIR}|(?:[^"]++|(?!{_PAIR}){_STRING})++|"'
 
 
@@ -96,23 +114,27 @@ def _quoted(text: Column) -> Column:
 
 
 def redact_json(data: Column, keys: Iterable[str], verbose: bool = False) -> Column:
-    """JSON text with the string value of every secret key masked, at any depth."""
+    """JSON text with the string value of every secret key masked, at any depth. A key counts as a parser reads it, whatever
+    escapes it is written with. A text that names no secret key and has no escape is passed on as it is."""
     wanted = list(keys)
+    hit = "|".join([*(re.escape(k) for k in wanted), r"\\"])
 
     def replaced(text: Column, key: Column, literal: Column) -> Column:
         masked = mask_value(_unquoted(literal), key, verbose)
-        # Without revealed characters the mask has nothing to escape.
-        shown = _quoted(masked) if verbose else F.concat(F.lit('"'), masked, F.lit('"'))
+        # Without revealed characters the mask has nothing to escape, unless the key has.
+        shown = _quoted(masked)
         return F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(literal)), shown)
 
     def redact(text: Column) -> Column:
-        # Only a pair starts with a quote: behind the key there are a colon, perhaps blanks, and the literal.
-        key = F.substr(F.substring_index(text, '"', 2), F.lit(2))
-        literal = F.ltrim(F.substr(text, F.length(key) + 3), F.lit(": \t\r\n"))
+        # Only a pair starts with a quote and has a literal behind the colon.
+        written = F.regexp_extract(text, f"^{_STRING}", 0)
+        literal = F.regexp_replace(F.substr(text, F.length(written) + 1), r"^\s*+:\s*+", "")
+        pair = F.struct(_unquoted(written).alias("key"), literal.alias("literal"))
         masked = let(
-            F.struct(key.alias("key"), literal.alias("literal")),
-            lambda p: F.when(F.startswith(p["literal"], F.lit('"')), replaced(text, p["key"], p["literal"])).otherwise(text),
+            pair,
+            lambda p: F.when(F.startswith(p["literal"], F.lit('"')) & p["key"].isin(wanted), replaced(text, p["key"], p["literal"])).otherwise(text),
         )
-        return F.when(F.startswith(text, F.lit('"')) & key.isin(wanted), masked).otherwise(text)
+        return F.when(F.startswith(text, F.lit('"')), masked).otherwise(text)
 
-    return F.array_join(F.transform(F.regexp_extract_all(data, F.lit(_CUT), F.lit(0)), redact), "")
+    cut = F.array_join(F.transform(F.regexp_extract_all(data, F.lit(_CUT), F.lit(0)), redact), "")
+    return F.when(data.rlike(hit), cut).otherwise(data)

@@ -14,7 +14,7 @@ from ledgerlake.functions.binding import let
 
 # Fixed values.
 REQUIRED = ("time", "level", "type", "message")
-TAIL_LIMIT = 500
+BLANK = r"^\s*$"
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -40,14 +40,14 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def format_entries(
-    raw: DataFrame, verbose: bool = False, type_column: str = "type", data_column: str = "data"
+    raw: DataFrame, keep_data: bool = True, type_column: str = "type", data_column: str = "data", shown: events.Shown = events.Shown()
 ) -> DataFrame:
-    """Raw events (time, type, data) to entries with level and message; the data is kept only when verbose."""
+    """Raw events (time, type, data) to entries with level and message, and unless ``keep_data`` is off with their whole data."""
     status = F.get_json_object(F.col(data_column), "$.status")
     level = events.entry_level(F.col(type_column), status)
-    message = events.event_message(F.col(type_column), F.col(data_column))
+    message = events.event_message(F.col(type_column), F.col(data_column), shown)
     rest = [F.col(c) for c in raw.columns if c not in (type_column, data_column)]
-    kept = F.col(data_column) if verbose else F.lit(None).cast("string")
+    kept = F.col(data_column) if keep_data else F.lit(None).cast("string")
     return raw.select(
         *rest, F.col(type_column).alias("type"), level.alias("level"), message.alias("message"), kept.alias("data")
     )
@@ -65,11 +65,16 @@ def threshold(entries: DataFrame, level: str) -> DataFrame:
     return entries.where(events.should_log(F.col("type"), level))
 
 
-def tail(lines: DataFrame, limit: int = TAIL_LIMIT, column: str = "value") -> DataFrame:
-    """Newest ``limit`` entries, with the number of non-blank lines and whether there are more lines than the limit."""
-    total = lines.where(F.trim(F.col(column)) != "").agg(F.count(F.lit(1))).scalar()
-    newest = parse_lines(lines, column).orderBy(F.col("time").desc()).limit(limit)
-    return newest.select("*", total.alias("total_lines"), (total > limit).alias("has_more"))
+def tail(lines: DataFrame, limit: int | None, column: str = "value") -> DataFrame:
+    """Newest ``limit`` entries (``None``: all), with the number of non-blank lines and whether there are more of them than the
+    limit. Entries of one time are told apart by their other fields, so the same ones are kept in every run."""
+    total = lines.where(~F.col(column).rlike(BLANK)).agg(F.count(F.lit(1))).scalar()
+    entries = parse_lines(lines, column)
+    newest = entries.orderBy(F.col("time").desc(), *[F.col(c) for c in entries.columns if c != "time"])
+    if limit is not None:
+        newest = newest.limit(limit)
+    more = F.lit(False) if limit is None else total > limit
+    return newest.select("*", total.alias("total_lines"), more.alias("has_more"))
 
 
 def run_progress(log: DataFrame, run: str = "run_id") -> DataFrame:

@@ -171,6 +171,20 @@ def l3_generic_messages(t: Tables) -> DataFrame:
     return t.events.select("event_id", message.alias("message"))
 
 
+@query(
+    "L3",
+    f"""
+SELECT event_id, 'custom ' || event_type || ': user="' || repeat('u', CAST(n AS INTEGER)) || '", k=' || n || ', tags=[2 items], last="x"' AS message
+FROM (SELECT *, CAST({NUMBER_SQL} AS BIGINT) AS n FROM events)""",
+)
+def l3_whole_messages(t: Tables) -> DataFrame:
+    """The same with all fields and whole texts."""
+    number = F.get_json_object("props", "$.k").cast("int")
+    data = F.to_json(F.struct(F.repeat(F.lit("u"), number).alias("user"), number.alias("k"), F.array(F.lit(1), F.lit(2)).alias("tags"), F.lit("x").alias("last")))
+    message = events.event_message(F.concat(F.lit("custom:"), "event_type"), data, events.WHOLE)
+    return t.events.select("event_id", message.alias("message"))
+
+
 # --- redaction -------------------------------------------------------------------------------------------------------
 
 SECRET_SQL = f"repeat('s', CAST(CAST({NUMBER_SQL} AS INTEGER) % 20 AS INTEGER)) || CASE WHEN event_type = 'click' THEN '\"q' ELSE '' END"
@@ -219,6 +233,23 @@ def l4_redact_json(t: Tables) -> DataFrame:
     return eventlog.redact(raw, masking.secret_keys(extra=["dbPassword"]))
 
 
+@query(
+    "L4",
+    f"""
+SELECT event_id, '{{"pass\\u0077ord":"' || {MASK_SQL.format(label="Password", shown=STARS_SQL)} || '","list":[{{"api\\u005fkey" : "'
+         || {MASK_SQL.format(label="ApiKey", shown=STARS_SQL)} || '","open\\u0021":"' || event_type || '"}}]}}' AS data
+FROM (SELECT *, {SECRET_SQL} AS secret FROM events)""",
+)
+def l4_redact_escaped_keys(t: Tables) -> DataFrame:
+    """Keys that are secret only once their escapes are read, nested and in arrays."""
+    value = F.substr(F.to_json(F.struct(_secret().alias("v"))), F.lit(6))  # with its quotes and the closing brace
+    value = F.substr(value, F.lit(1), F.length(value) - 1)
+    data = F.concat(
+        F.lit('{"pass\\u0077ord":'), value, F.lit(',"list":[{"api\\u005fkey" : '), value, F.lit(',"open\\u0021":"'), F.col("event_type"), F.lit('"}]}')
+    )
+    return eventlog.redact(t.events.select("event_id", data.alias("data")), masking.secret_keys())
+
+
 # --- streaming -------------------------------------------------------------------------------------------------------
 
 

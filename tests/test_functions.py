@@ -189,6 +189,9 @@ def test_spellings():
         ('{"x":"\\"password\\":\\"v","keys":"k"}', '{"x":"\\"password\\":\\"v","keys":"k"}'),
         ('{"pass":"q\\"\\u00e9"}', '{"pass":"<Pass *** (3) />"}'),
         ('"password"', '"password"'),
+        ('{"pass\\u0077ord":"hunter2"}', '{"pass\\u0077ord":"<Password ******* (7) />"}'),
+        ('[{"a":[{"\\u0074oken" : "x\\\\"}]}]', '[{"a":[{"\\u0074oken" : "<Token ** (2) />"}]}]'),
+        ('{"\\u0070ath":"x"}', '{"\\u0070ath":"x"}'),
         ("{}", "{}"),
         (None, None),
     ],

@@ -36,7 +36,7 @@ def test_log_round_trip(spark, tmp_path):
     raw = spark.createDataFrame(
         [("t1", "file:after", '{"status":"success","filepath":"f","durationMs":1,"token":"abc"}'), ("t2", "x:start", "{}")], "time string, type string, data string"
     )
-    entries = eventlog.redact(eventlog.format_entries(raw, verbose=True))
+    entries = eventlog.redact(eventlog.format_entries(raw))
     logs.write_log(entries, path)
     read = logs.read_log(spark, path)
     assert cells(read, "time", "level", "message") == [("t1", "info", "Executed f (1ms)"), ("t2", "info", "x start")]
