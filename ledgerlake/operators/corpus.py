@@ -16,12 +16,12 @@ SCRIPT_SUFFIXES = (".sql", ".sql.tmpl")
 COMMENT = "#"
 
 
-def scripts(files: DataFrame, path: str = "path") -> DataFrame:
-    """Files with a script suffix, in path order."""
+def scripts(files: DataFrame, path: str = "path", suffixes: Sequence[str] = SCRIPT_SUFFIXES, ordered: bool = True) -> DataFrame:
+    """Files with a script suffix, in path order unless that is off."""
     test = F.lit(False)
-    for suffix in SCRIPT_SUFFIXES:
+    for suffix in suffixes:
         test = test | F.endswith(F.col(path), F.lit(suffix))
-    return files.where(test).orderBy(path)
+    return files.where(test).orderBy(path) if ordered else files.where(test)
 
 
 def fingerprinted(files: DataFrame, content: str = "content", name: str = "checksum") -> DataFrame:

@@ -128,20 +128,22 @@ def m5_delete_returning(t: Tables) -> DataFrame:
 
 
 @query(
-    "M6 A14",
+    "M6",
     with_todo("""
 , gone_users AS (SELECT id FROM users WHERE deleted_at IS NOT NULL)
 , gone_lists AS (SELECT id FROM lists WHERE user_id IN (SELECT id FROM gone_users))
-SELECT 'users' AS "table", count(*) AS "count" FROM users WHERE id NOT IN (SELECT id FROM gone_users)
-UNION ALL SELECT 'lists', count(*) FROM lists WHERE id NOT IN (SELECT id FROM gone_lists)
-UNION ALL SELECT 'items', count(*) FROM items WHERE list_id NOT IN (SELECT id FROM gone_lists)"""),
+SELECT 'users' AS "table", id, NULL AS part_id FROM users WHERE id NOT IN (SELECT id FROM gone_users)
+UNION ALL SELECT 'lists', id, NULL FROM lists WHERE id NOT IN (SELECT id FROM gone_lists)
+UNION ALL SELECT 'items', list_id, part_id FROM items WHERE list_id NOT IN (SELECT id FROM gone_lists)"""),
 )
 def m6_cascade_delete(t: Tables) -> DataFrame:
     tables = {"users": roles.users(t), "lists": roles.lists(t), "items": roles.items(t)}
     references = [mutate.Reference("lists", "user_id", "users"), mutate.Reference("items", "list_id", "lists")]
     removed = tables["users"].where(F.col("deleted_at").isNotNull()).select("id")
     kept = mutate.cascade_delete(tables, {"users": "id", "lists": "id", "items": "list_id"}, references, "users", removed)
-    return relational.table_counts(kept)
+    none = F.lit(None).cast("bigint").alias("part_id")
+    left = [kept[n].select(F.lit(n).alias("table"), "id", none) for n in ("users", "lists")]
+    return left[0].unionByName(left[1]).unionByName(kept["items"].select(F.lit("items").alias("table"), F.col("list_id").alias("id"), "part_id"))
 
 
 @query(

@@ -10,6 +10,7 @@ from ledgerlake.operators import hierarchy, ranking, relational
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.plans.roles import with_todo
+from ledgerlake.session import materialize
 
 # --- projection and filter -------------------------------------------------------------------------------------------
 
@@ -516,6 +517,15 @@ def f16_row_to_json(t: Tables) -> DataFrame:
     return rows.select("id", scalar.row_json(rows).alias("row_json"))
 
 
-@query("F17")
+@query("F17", "SELECT count(*) AS rows_seen, count(*) AS ids, count(*) AS well_formed, 1 AS times, true AS just_now FROM customer")
 def f17_uuid_and_now(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", scalar.new_uuid().alias("id"), scalar.iso_now().alias("created_at"))
+    """Facts of new ids and times: all ids differ and have their form, all rows have one time, which is now."""
+    made = materialize(t.customer.select(scalar.new_uuid().alias("id"), scalar.iso_now().alias("at")), "made")
+    age = F.unix_timestamp() - F.unix_timestamp(F.to_timestamp(F.min("at")))
+    return made.agg(
+        F.count(F.lit(1)).alias("rows_seen"),
+        F.count_distinct("id").alias("ids"),
+        F.count_if(F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("well_formed"),
+        F.count_distinct("at").cast("int").alias("times"),
+        age.between(0, 3600).alias("just_now"),
+    )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import routines
+from ledgerlake.operators import corpus
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.plans.roles import with_todo
 from ledgerlake.session import scratch_path
-from ledgerlake.sources import results, seeds
+from ledgerlake.sources import corpus_files, results, seeds
 
 
 @query(
@@ -30,18 +33,35 @@ def s1_csv_seed(t: Tables) -> DataFrame:
     )
     path = scratch_path(t.spark, "csv")
     rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return seeds.read_csv_seed(t.spark, path, multiline=False)
+    return seeds.read_csv_seed(t.spark, path)
 
 
 @query("S2", "SELECT event_id AS id, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, event_type || ', // not a comment' AS kind FROM events")
 def s2_json5_documents(t: Tables) -> DataFrame:
-    """Relaxed JSON: comments, unquoted keys, single quotes and trailing commas."""
+    """Relaxed JSON, a document a line, written as files and read as seeds: comments, unquoted keys, single quotes and trailing commas."""
     text = F.concat(
-        F.lit("// event\n{ id: "), F.col("event_id"), F.lit(", /* from props */\n 'k': "), F.get_json_object("props", "$.k"),
-        F.lit(",\n kind: '"), F.col("event_type"), F.lit(", // not a comment',\n}"),
+        F.lit("{ id: "), F.col("event_id"), F.lit(", /* from props */ 'k': "), F.get_json_object("props", "$.k"),
+        F.lit(", kind: '"), F.col("event_type"), F.lit(", // not a comment',}"),
     )
-    parsed = F.from_json(seeds.one_line_json(text), "id BIGINT, k INT, kind STRING", {k: str(v).lower() for k, v in seeds.RELAXED.items()})
-    return t.events.select(parsed.alias("r")).select("r.*")
+    path = scratch_path(t.spark, "json5")
+    t.events.select(text.alias("value")).write.text(path)
+    return seeds.read_json_seed(t.spark, path, "id BIGINT, k INT, kind STRING", per_line=True)
+
+
+@query(
+    "S4",
+    """
+SELECT n_nationkey AS nation, sha256(string_agg('INSERT INTO c VALUES (' || c_custkey || ');', chr(10) ORDER BY c_custkey) || chr(10)) AS checksum
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey""",
+)
+def s4_script_files(t: Tables) -> DataFrame:
+    """A script file per nation, written and read back whole; the writer's own suffix stands for that of scripts."""
+    path = scratch_path(t.spark, "scripts")
+    text = F.concat(F.lit("INSERT INTO c VALUES ("), F.col("c_custkey"), F.lit(");"))
+    rows = t.customer.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.select(text.alias("value"), F.col("c_nationkey").alias("nation")).write.partitionBy("nation").text(path)
+    files = corpus.fingerprinted(corpus_files.read_scripts(t.spark, path, suffixes=(".txt",)))
+    return files.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "checksum")
 
 
 @query("S6", "SELECT n_nationkey AS id, n_name AS name, '[\"read\",\"' || lower(r_name) || '\"]' AS permissions FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -50,8 +70,10 @@ def s6_seed_insert(t: Tables) -> DataFrame:
     regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.array(F.lit("read"), F.lower("r_name")).alias("permissions"))
     rows = t.nation.join(regions, "n_regionkey").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "permissions")
     path = scratch_path(t.spark, "roles")
-    seeds.with_json_text(rows).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    table = f"seed_{uuid.uuid4().hex}"
+    t.spark.sql(f"CREATE TABLE {table} (id INT, name STRING, permissions STRING) USING parquet LOCATION '{path}'")
+    seeds.append_rows(rows, table, ["id", "name", "permissions"])
+    return t.spark.table(table)
 
 
 @query("S7", with_todo("SELECT id, title, color, position, created_at FROM lists"))
@@ -61,14 +83,29 @@ def s7_saved_results(t: Tables) -> DataFrame:
     return results.load_result(t.spark, folder, "first")
 
 
-@query("S8 A15", "SELECT count(*) AS row_count, true AS success FROM orders WHERE o_totalprice > 1000")
+RECORDED = "SELECT o_orderkey, o_custkey FROM recorded_orders WHERE o_totalprice > :least"
+
+
+@query("S8", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000")
 def s8_recorded_query(t: Tables) -> DataFrame:
-    """A statement run, stored and entered in the history."""
+    """A statement run, stored and entered in the history; its rows are read from where the history says."""
     t.orders.createOrReplaceTempView("recorded_orders")
     history, folder = scratch_path(t.spark, "history"), scratch_path(t.spark, "results")
-    text = "SELECT o_orderkey, o_custkey FROM recorded_orders WHERE o_totalprice > :least"
-    results.record_sql(t.spark, text, history, folder, {"least": 1000})
-    return results.recent(t.spark, history).select("row_count", "success")
+    results.record_sql(t.spark, RECORDED, history, folder, {"least": 1000})
+    stored = results.recent(t.spark, history, 1).first()["results_path"]
+    return results.load_result(t.spark, *stored.rsplit("/", 1))
+
+
+@query("A15", "SELECT 3 AS entry_count, true AS stored, count(*) AS row_count FROM orders WHERE o_totalprice > 1000")
+def a15_history_stats(t: Tables) -> DataFrame:
+    """Three statements, one of which fails: entries and stored bytes, beside the largest recorded count."""
+    t.orders.createOrReplaceTempView("recorded_orders")
+    history, folder = scratch_path(t.spark, "history"), scratch_path(t.spark, "results")
+    for text in (RECORDED, "SELECT count(*) AS n FROM recorded_orders WHERE o_totalprice > :least", "SELECT nothing FROM recorded_orders"):
+        results.record_sql(t.spark, text, history, folder, {"least": 1000})
+    most = results.recent(t.spark, history).agg(F.max("row_count").alias("row_count"))
+    stats = results.history_stats(t.spark, history, folder)
+    return stats.select("entry_count", (F.col("results_size") > 0).alias("stored"), most.scalar().alias("row_count"))
 
 
 @query("S9", "SELECT o_orderpriority, count(*) AS orders FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
@@ -87,14 +124,35 @@ WITH RECURSIVE chain AS (
 SELECT level, count(*) AS employees FROM chain GROUP BY level""",
 )
 def u3_recursive_sql(t: Tables) -> DataFrame:
-    """The recursive statement itself, passed through as text; the row limit of recursion is lifted."""
+    """The recursive statement itself, passed through as text; the limits of recursion are lifted for the session."""
     t.customer.createOrReplaceTempView("employees")
     text = """
         WITH RECURSIVE chain(id, level) AS (
           SELECT c_custkey, 0 FROM employees WHERE c_custkey = 0
           UNION ALL SELECT c.c_custkey, level + 1 FROM employees c JOIN chain ON c.c_custkey div 8 = chain.id AND c.c_custkey > 0)
         SELECT level, count(*) AS employees FROM chain GROUP BY level"""
-    return results.run_sql(t.spark, text).rows
+    results.lift_recursion_limits(t.spark)
+    return t.spark.sql(text)
+
+
+@query(
+    "U3 S9",
+    """
+WITH RECURSIVE chain AS (
+  SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey % 160 = 1
+  UNION ALL SELECT p.p_partkey, level + 1 FROM part p JOIN chain ON p.p_partkey = chain.id + 1 AND p.p_partkey % 160 <> 1)
+SELECT level, count(*) AS parts, min(id) AS first_id FROM chain GROUP BY level""",
+)
+def u3_deep_recursive_sql(t: Tables) -> DataFrame:
+    """Chains of 160 levels, as text."""
+    t.part.createOrReplaceTempView("deep_parts")
+    text = """
+        WITH RECURSIVE chain(id, level) AS (
+          SELECT p_partkey, 0 FROM deep_parts WHERE p_partkey % 160 = 1
+          UNION ALL SELECT p.p_partkey, level + 1 FROM deep_parts p JOIN chain ON p.p_partkey = chain.id + 1 AND p.p_partkey % 160 <> 1)
+        SELECT level, count(*) AS parts, min(id) AS first_id FROM chain GROUP BY level"""
+    results.lift_recursion_limits(t.spark)
+    return t.spark.sql(text)
 
 
 @query(

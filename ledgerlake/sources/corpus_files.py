@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ def _whole_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(path.alias("path"), F.col("value").alias("content"))
 
 
-def read_scripts(spark: SparkSession, folder: str) -> DataFrame:
-    """``.sql`` and ``.sql.tmpl`` files below a folder, whole, sorted by path."""
-    return corpus.scripts(_whole_files(spark, folder))
+def read_scripts(spark: SparkSession, folder: str, suffixes: Sequence[str] = corpus.SCRIPT_SUFFIXES) -> DataFrame:
+    """Script files (by suffix) below a folder, whole and in no order: sort what is made of them, such as path and checksum."""
+    return corpus.scripts(_whole_files(spark, folder), suffixes=suffixes, ordered=False)
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:

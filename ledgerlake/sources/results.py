@@ -20,26 +20,46 @@ from ledgerlake.operators import eventlog
 
 @dataclass(frozen=True)
 class SqlResult:
-    """Outcome of a statement. A query's rows are not computed until ``rows`` is used."""
+    """Outcome of a statement that has run: the run's time, the rows it gives, and their number (a command: rows affected, where
+    the table format says so)."""
 
     success: bool
     duration_ms: float
     rows: DataFrame | None = None
     error_message: str | None = None
+    row_count: int | None = None
 
     @property
     def columns(self) -> list[str]:
         return self.rows.columns if self.rows is not None else []
 
 
+def lift_recursion_limits(spark: SparkSession) -> None:
+    """Recursive statements of the session may have any number of rows and levels."""
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(limit, -1)
+
+
 def run_sql(spark: SparkSession, text: str, args: dict[str, Any] | None = None) -> SqlResult:
-    """Run SQL text as it is, with bound parameters; errors become part of the result."""
+    """Run SQL text as it is, with bound parameters; errors of planning and of the run become part of the result.
+
+    A query is run to its end and counted; nothing is kept, so its rows, in their order, are computed again where they are used. To
+    keep them, use :func:`record_sql`.
+    """
+    lift_recursion_limits(spark)
     start = time.monotonic()
+    count = None
     try:
         rows = spark.sql(text, args=args or {})
+        if "num_affected_rows" in rows.columns:
+            count = rows.first()["num_affected_rows"]
+        elif rows.columns:
+            seen = Observation()
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+            count = seen.get["n"]
     except PySparkException as error:
         return SqlResult(False, (time.monotonic() - start) * 1000, error_message=str(error))
-    return SqlResult(True, (time.monotonic() - start) * 1000, rows)
+    return SqlResult(True, (time.monotonic() - start) * 1000, rows, row_count=count)
 
 
 def save_result(df: DataFrame, folder: str, result_id: str) -> None:
@@ -62,16 +82,18 @@ def record_sql(
     start = time.monotonic()
     executed_at = datetime.now(timezone.utc)
     result_id = str(uuid.uuid4())
-    result = run_sql(spark, text, args)
     count, stored = None, None
-    if result.success and result.columns:
-        seen = Observation(result_id)
-        try:
-            save_result(result.rows.observe(seen, F.count(F.lit(1)).alias("n")), results, result_id)
+    lift_recursion_limits(spark)
+    try:
+        rows = spark.sql(text, args=args or {})
+        if rows.columns:
+            seen = Observation(result_id)
+            save_result(rows.observe(seen, F.count(F.lit(1)).alias("n")), results, result_id)
             count, stored = seen.get["n"], f"{results}/{result_id}"
-            result = SqlResult(True, (time.monotonic() - start) * 1000, load_result(spark, results, result_id))
-        except PySparkException as error:
-            result = SqlResult(False, (time.monotonic() - start) * 1000, error_message=str(error))
+            rows = load_result(spark, results, result_id)
+        result = SqlResult(True, (time.monotonic() - start) * 1000, rows, row_count=count)
+    except PySparkException as error:
+        result = SqlResult(False, (time.monotonic() - start) * 1000, error_message=str(error))
     entry = (
         result_id, text, executed_at, result.duration_ms, result.success, result.error_message, count, stored,
     )
@@ -79,9 +101,16 @@ def record_sql(
     return result
 
 
-def recent(spark: SparkSession, history: str, limit: int = 50) -> DataFrame:
+def recent(spark: SparkSession, history: str, limit: int | None = None) -> DataFrame:
+    """Entries newest first: all, or the first ``limit``."""
+    rows = spark.read.schema(schemas.QUERY_HISTORY).parquet(history).orderBy(F.col("executed_at").desc(), "id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def compact(spark: SparkSession, history: str, compacted: str) -> None:
+    """Write the history, which grows by a file for each statement, to another folder in as few files as its size asks for."""
     rows = spark.read.schema(schemas.QUERY_HISTORY).parquet(history)
-    return rows.orderBy(F.col("executed_at").desc()).limit(limit)
+    rows.hint("rebalance").write.parquet(compacted)
 
 
 def prune(spark: SparkSession, history: str, pruned: str, as_of: Column, months: int) -> DataFrame:

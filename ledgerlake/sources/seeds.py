@@ -17,10 +17,10 @@ TRAILING_COMMA = _STRING + r"|,(?=\s*+[}\]])"
 RELAXED = {"allowUnquotedFieldNames": True, "allowSingleQuotes": True, "allowNonNumericNumbers": True}
 
 
-def read_csv_seed(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv_seed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with a header: trimmed, blank lines skipped, every column a string; an empty cell is ``''``.
 
-    A file whose cells hold no line breaks can be split among tasks: pass ``multiline=False``.
+    Files are split among tasks. Only a file whose cells hold line breaks must be read by one task: pass ``multiline=True``.
     """
     rows = spark.read.csv(
         path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
@@ -35,13 +35,23 @@ def one_line_json(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, TRAILING_COMMA, "$1"), r"\s*\n\s*", " ")
 
 
-def read_json_seed(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """JSON or JSON5 seed files, one document per file; an array document gives one row per element."""
-    lines = spark.read.text(path, wholetext=True).select(one_line_json(F.col("value")).alias("value"))
-    clean = scratch_path(spark, "seed")
-    lines.write.text(clean)
+def read_json_seed(spark: SparkSession, path: str, schema: StructType | str | None = None, per_line: bool = False) -> DataFrame:
+    """JSON or JSON5 seed files; an array document gives one row per element.
+
+    ``per_line``: every line is a document (or a comment), so that files are split among tasks and nothing is rewritten. Else a file is one
+    document, read by one task and limited to 2 GB. Without a schema it is inferred in a pass of its own.
+    """
     reader = spark.read.options(**RELAXED)
-    return (reader if schema is None else reader.schema(schema)).json(clean)
+    reader = reader if schema is None else reader.schema(schema)
+    if per_line:
+        lines = spark.read.text(path).select(one_line_json(F.col("value")).alias("value")).where(~F.col("value").rlike(r"^\s*$"))
+        kind = schema if schema is not None else reader.json(lines.rdd.map(lambda r: r[0])).schema
+        options = {k: str(v).lower() for k, v in RELAXED.items()}
+        return lines.select(F.from_json("value", kind, options).alias("r")).select("r.*")
+    whole = spark.read.text(path, wholetext=True).select(one_line_json(F.col("value")).alias("value"))
+    clean = scratch_path(spark, "seed")
+    whole.write.text(clean)
+    return reader.json(clean)
 
 
 def with_json_text(rows: DataFrame) -> DataFrame:

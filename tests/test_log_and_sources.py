@@ -89,7 +89,7 @@ def test_live_tail(spark, tmp_path):
 def test_csv_seed(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('name, email ,age\n\n  Ann , a@x , \n\nBo,"b,\n ""c""",3\n')
-    assert [tuple(r) for r in seeds.read_csv_seed(spark, str(path)).collect()] == [("Ann", "a@x", ""), ("Bo", 'b,\n "c"', "3")]
+    assert [tuple(r) for r in seeds.read_csv_seed(spark, str(path), multiline=True).collect()] == [("Ann", "a@x", ""), ("Bo", 'b,\n "c"', "3")]
 
 
 def test_json5_seed(spark, tmp_path):
@@ -101,6 +101,10 @@ def test_json5_seed(spark, tmp_path):
 ]""")
     got = [(r.name, r.url, r.tags) for r in seeds.read_json_seed(spark, str(path)).collect()]
     assert got == [("Ann", "http://x//y", ["a", "b"]), ("Bo, ]", "it's", None)]
+    lines = tmp_path / "lines.json5"
+    lines.write_text("// head\n{ a: 1, /* x */ 'b': 'x,}', }\n\n{ a: 2, b: null }\n")
+    for schema in (None, "a BIGINT, b STRING"):
+        assert cells(seeds.read_json_seed(spark, str(lines), schema, per_line=True), "a", "b") == [(1, "x,}"), (2, None)]
     one = tmp_path / "one.json"
     one.write_text('{"users": [{"a": 1}]}')
     assert seeds.read_json_seed(spark, str(one), "users ARRAY<STRUCT<a: INT>>").first().users[0].a == 1
@@ -135,6 +139,11 @@ def test_results_and_history(spark, rows, tmp_path):
     assert stats.entry_count == 3 and stats.results_size > 0
     gone = results.prune(spark, history, str(tmp_path / "pruned"), F.current_timestamp() + F.expr("INTERVAL 40 DAYS"), 1)
     assert gone.count() == 3 and results.recent(spark, str(tmp_path / "pruned")).count() == 0
+    results.compact(spark, history, str(tmp_path / "compacted"))
+    assert results.recent(spark, str(tmp_path / "compacted"), 2).count() == 2
+    late = results.run_sql(spark, "SELECT raise_error('late') FROM numbers")
+    assert not late.success and "late" in late.error_message and late.duration_ms > 0
+    assert results.run_sql(spark, "SELECT * FROM numbers").row_count == 2
     empty = results.run_sql(spark, "SELECT * FROM numbers WHERE false")
     assert empty.columns == ["a", "b"]
 
