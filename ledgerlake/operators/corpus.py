@@ -93,6 +93,41 @@ def matching_rules(rules: DataFrame, facts: dict) -> DataFrame:
     return rules.where(test)
 
 
+def effective_paths(files: DataFrame, rules: DataFrame, facts: dict, base: DataFrame, path: str = "path") -> DataFrame:
+    """Files that stay under the rules that match the facts, evaluated in order and laid over the base lists (``prefix, action``)."""
+    return filter_paths_by_rules(files, merge_base_rules(base, evaluate_rules(matching_rules(rules, facts))), path)
+
+
+def discover_changes(files: DataFrame, base: str = "changes", path: str = "path") -> DataFrame:
+    """Changes of a folder tree, from its file paths: ``name, date, description, change_files, revert_files, has_revert, has_changelog,
+    valid, error``.
+
+    A change is a folder below ``base``; its scripts and manifests lie in ``change`` and ``revert``. Without any it is not valid.
+    Paths are counted per task before the shuffle; files that lie elsewhere make a folder a change but count for nothing.
+    """
+    inner = paths.relative_to(F.col(path), base)
+    name, place = F.regexp_extract(inner, "^([^/]+)/", 1), F.regexp_extract(inner, "^[^/]+/(change|revert)/[^/]+$", 1)
+    script = F.col("file").rlike(naming.SCRIPT_SUFFIX)
+    found = files.select(name.alias("name"), place.alias("place"), inner.alias("file")).where(F.col("name") != "")
+    changes = found.groupBy("name").agg(
+        F.count_if(script & (F.col("place") == "change")).alias("change_files"),
+        F.count_if(script & (F.col("place") == "revert")).alias("revert_files"),
+        F.max(F.col("file") == F.concat("name", F.lit("/changelog.md"))).alias("has_changelog"),
+    )
+    valid = F.col("change_files") + F.col("revert_files") > 0
+    return changes.select(
+        "name",
+        naming.change_date(F.col("name")).alias("date"),
+        naming.change_description(F.col("name")).alias("description"),
+        "change_files",
+        "revert_files",
+        (F.col("revert_files") > 0).alias("has_revert"),
+        "has_changelog",
+        valid.alias("valid"),
+        F.when(~valid, "Must have at least change/ or revert/ folder with files").alias("error"),
+    )
+
+
 def manifest_paths(manifests: DataFrame, key: str = "manifest", content: str = "content") -> DataFrame:
     """Paths a manifest lists: one per line, comments and blank lines left out, sorted."""
     lines = manifests.select(key, F.explode(F.split(content, "\n")).alias("__line"))

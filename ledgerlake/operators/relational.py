@@ -76,14 +76,20 @@ def join_active(children: DataFrame, parents: DataFrame, child_key: str, parent_
     return kept.join(side, kept[child_key] == side["__key"], "inner").drop("__key")
 
 
-def with_match(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
-    """``key IN (SELECT other_key …)``: the other side is reduced to its keys before it moves."""
-    return join_aggregated(df, other.select(F.col(other_key).alias(key)).distinct(), [key], "left_semi").select(*df.columns)
+def with_match(df: DataFrame, other: DataFrame, key: str, other_key: str, unique: bool = False) -> DataFrame:
+    """``key IN (SELECT other_key …)``: the other side is reduced to its keys before it moves. ``unique``: no key of ``df`` is repeated,
+    so that none can be hot and the keys need not be salted."""
+    return _by_key(df, other.select(F.col(other_key).alias(key)).distinct(), key, "left_semi", unique)
 
 
-def without_match(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
-    """``NOT EXISTS`` a row of the other side with this key."""
-    return join_aggregated(df, other.select(F.col(other_key).alias(key)).distinct(), [key], "left_anti").select(*df.columns)
+def without_match(df: DataFrame, other: DataFrame, key: str, other_key: str, unique: bool = False) -> DataFrame:
+    """``NOT EXISTS`` a row of the other side with this key; ``unique`` as in :func:`with_match`."""
+    return _by_key(df, other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti", unique)
+
+
+def _by_key(df: DataFrame, keys: DataFrame, key: str, how: str, unique: bool) -> DataFrame:
+    joined = df.join(keys, key, how) if unique else join_aggregated(df, keys, [key], how)
+    return joined.select(*df.columns)
 
 
 def with_parent(df: DataFrame, key: str, parent: str, carry: Mapping[str, str]) -> DataFrame:

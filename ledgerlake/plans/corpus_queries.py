@@ -76,6 +76,68 @@ def p10_filter_by_rules(t: Tables) -> DataFrame:
     return corpus.filter_paths_by_rules(files, corpus.evaluate_rules(_rules(t)))
 
 
+MATCHED_SQL = RULES_SQL.replace("WHERE event_type <> 'view')", "WHERE event_type <> 'view' AND user_id % 3 <> 2 AND event_id % 5 <> 0)")
+
+
+@query(
+    "P10 P6",
+    with_corpus(
+        MATCHED_SQL
+        + """
+, base AS (SELECT 'src' || n_nationkey AS prefix, CASE WHEN n_nationkey % 4 = 3 THEN 'exclude' ELSE 'include' END AS action FROM nation WHERE n_nationkey < 12
+  UNION ALL SELECT 'src1/de', 'exclude')
+, merged AS (SELECT * FROM rules UNION ALL SELECT * FROM base WHERE prefix NOT IN (SELECT prefix FROM rules))
+SELECT c.doc_id, c.path FROM corpus c
+WHERE EXISTS (SELECT 1 FROM merged r WHERE r.action = 'include' AND starts_with(c.path, r.prefix || '/'))
+  AND NOT EXISTS (SELECT 1 FROM merged r WHERE r.action = 'exclude' AND starts_with(c.path, r.prefix || '/'))"""
+    ),
+)
+def p10_effective_paths(t: Tables) -> DataFrame:
+    """Rules from end to end: those that match, in order, over base lists, down to the paths that stay."""
+    conditions = {
+        "match_type": F.when(F.col("user_id") % 3 == 1, "local").when(F.col("user_id") % 3 == 2, "remote"),
+        "match_test": F.when(F.col("event_id") % 5 == 0, False).when(F.col("event_id") % 5 == 1, True),
+    }
+    facts = t.events.select(F.col("event_id").alias("seq"), *[test.alias(name) for name, test in conditions.items()])
+    rules = _rules(t).join(facts, "seq")
+    action = F.when(F.col("n_nationkey") % 4 == 3, "exclude").otherwise("include")
+    base = t.nation.where("n_nationkey < 12").select(F.concat(F.lit("src"), "n_nationkey").alias("prefix"), action.alias("action"))
+    base = base.unionByName(t.nation.where("n_nationkey = 0").select(F.lit("src1/de").alias("prefix"), F.lit("exclude").alias("action")))
+    files = roles.corpus(t).select("doc_id", "path")
+    return corpus.effective_paths(files, rules, {"type": "local", "test": True}, base)
+
+
+CHANGE_FILES_SQL = """
+WITH files AS (
+  SELECT 'changes/' || CASE o_orderkey % 7 WHEN 0 THEN 'loose' ELSE strftime(o_orderdate, '%Y-%m-%d') || '-' || lower(o_orderstatus) END || '/' ||
+         CASE WHEN o_orderkey % 11 = 0 THEN 'changelog.md' WHEN o_orderkey % 3 = 0 THEN 'revert/' || o_orderkey || '_x.sql'
+              WHEN o_orderkey % 5 = 0 THEN 'notes/' || o_orderkey || '.sql' WHEN o_orderkey % 5 = 1 THEN 'change/readme.md' ELSE 'change/' || o_orderkey || '_y.sql.tmpl' END AS path
+  FROM orders)
+, named AS (SELECT split_part(path, '/', 2) AS name, split_part(path, '/', 3) AS place, split_part(path, '/', 4) AS file FROM files)
+SELECT name, CASE WHEN name <> 'loose' THEN CAST(left(name, 10) AS DATE) END AS date, CASE WHEN name <> 'loose' THEN substr(name, 12) ELSE name END AS description,
+       count(*) FILTER (WHERE place = 'change' AND file <> 'readme.md') AS change_files, count(*) FILTER (WHERE place = 'revert') AS revert_files,
+       count(*) FILTER (WHERE place = 'revert') > 0 AS has_revert, bool_or(place = 'changelog.md') AS has_changelog,
+       count(*) FILTER (WHERE place = 'revert' OR place = 'change' AND file <> 'readme.md') > 0 AS valid,
+       CASE WHEN count(*) FILTER (WHERE place = 'revert' OR place = 'change' AND file <> 'readme.md') = 0
+            THEN 'Must have at least change/ or revert/ folder with files' END AS error
+FROM named GROUP BY name"""
+
+
+@query("J10", CHANGE_FILES_SQL)
+def j10_discover_changes(t: Tables) -> DataFrame:
+    """Changes found in a tree of files: names with and without a date, reverts, changelogs, folders without scripts."""
+    key = F.col("o_orderkey")
+    name = F.when(key % 7 == 0, "loose").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), F.lower("o_orderstatus")))
+    file = (
+        F.when(key % 11 == 0, "changelog.md")
+        .when(key % 3 == 0, F.concat(F.lit("revert/"), key, F.lit("_x.sql")))
+        .when(key % 5 == 0, F.concat(F.lit("notes/"), key, F.lit(".sql")))
+        .when(key % 5 == 1, "change/readme.md")
+        .otherwise(F.concat(F.lit("change/"), key, F.lit("_y.sql.tmpl")))
+    )
+    return corpus.discover_changes(t.orders.select(F.concat(F.lit("changes/"), name, F.lit("/"), file).alias("path")))
+
+
 MANIFESTS_SQL = """
 , manifests AS (
   SELECT page_id AS manifest, CASE WHEN page_id % 10 = 0 THEN chr(10) || '# nothing yet' || chr(10)

@@ -100,7 +100,7 @@ def j3_users_join_lists(t: Tables) -> DataFrame:
 )
 def j4_users_with_lists(t: Tables) -> DataFrame:
     red = roles.lists(t).where(F.col("color") == "#FF0000")
-    return relational.with_match(roles.users(t), red, "id", "user_id").select("username")
+    return relational.with_match(roles.users(t), red, "id", "user_id", unique=True).select("username")
 
 
 @query(
@@ -111,7 +111,7 @@ WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.list_id = l.id AND i.deleted_at
 )
 def j5_lists_without_items(t: Tables) -> DataFrame:
     live = relational.active(roles.items(t))
-    return relational.without_match(roles.lists(t), live, "id", "list_id").select("id", "title")
+    return relational.without_match(roles.lists(t), live, "id", "list_id", unique=True).select("id", "title")
 
 
 @query(
