@@ -34,15 +34,17 @@ OUTPUT_WORDS = 768
 ENDINGS = 4
 SUFFIXES = 64
 CLASSES = ENDINGS * SUFFIXES
-#: Words whose counts are broadcast: about 15 MB. All others are counted in and looked up from a table.
-HEAD_WORDS = 100_000
+#: Words whose counts are broadcast: about 10 MB. All others are counted in and looked up from a table.
+HEAD_WORDS = 60_000
 DISCOUNT = 0.75
 NOISE = 64
 BATCH = 2048
 ROUNDS = 2
-RATE = 0.15
+RATE = 0.1
 #: Distinct words a task counts before it sends them on.
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
+#: Rarer words whose class a task keeps.
+MOST_RARE = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -145,6 +147,7 @@ class LogBilinear:
         self.noise = shares
         self.context, self.target = small(outputs + 1, DIMENSION), small(outputs, DIMENSION)
         self.bias = np.log(shares).astype(np.float32)
+        self.normalisers: np.ndarray | None = None
         self.position = np.stack([np.eye(DIMENSION, dtype=np.float32)] * CONTEXT) / np.float32(CONTEXT)
 
     @property
@@ -159,6 +162,7 @@ class LogBilinear:
         for part in self.parts:
             part[...] = flat[at : at + part.size].reshape(part.shape)
             at += part.size
+        self.normalisers = None
         return self
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
@@ -168,24 +172,32 @@ class LogBilinear:
     def log_normaliser(self, before: np.ndarray) -> np.ndarray:
         """Log of the sum over all outputs for each row of contexts, by batched products."""
         out = np.empty(len(before), dtype=np.float64)
-        for i in range(0, len(before), 4096):
-            scores = self.predicted(before[i : i + 4096]) @ self.target.T
+        for i in range(0, len(before), 2048):
+            scores = self.predicted(before[i : i + 2048]) @ self.target.T
             scores += self.bias
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            out[i : i + 4096] = np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64)) + top
+            with np.errstate(over="ignore", divide="ignore"):
+                found = np.log(np.exp(scores).sum(axis=1, dtype=np.float64))
+            odd = np.flatnonzero(~np.isfinite(found))  # out of range: once more, less the largest
+            if len(odd):
+                top = scores[odd].max(axis=1)
+                found[odd] = np.log(np.exp(scores[odd] - top[:, None]).sum(axis=1, dtype=np.float64)) + top
+            out[i : i + 2048] = found
         return out
 
     def log_probability(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Normalised natural log probability of every token; equal contexts are normalised once."""
-        width = np.int64(len(self.context))
+        """Normalised natural log probability of every token. The normaliser of a context is computed once and kept: a table of all
+        contexts, 4 MB of 1,026 outputs and two places."""
+        width = len(self.context)
         key = before[:, 0].astype(np.int64)
         for i in range(1, CONTEXT):
             key = key * width + before[:, i]
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        vectors = self.predicted(before[first])
-        scores = np.einsum("ij,ij->i", vectors[back], self.target[token]) + self.bias[token]
-        return scores - self.log_normaliser(before[first])[back]
+        if self.normalisers is None:
+            self.normalisers = np.full(width**CONTEXT, np.nan, dtype=np.float32)
+        new, first = np.unique(key[np.isnan(self.normalisers[key])], return_index=True)
+        if len(new):
+            self.normalisers[new] = self.log_normaliser(before[np.isnan(self.normalisers[key])][first])
+        scores = np.einsum("ij,ij->i", self.predicted(before), self.target[token]) + self.bias[token]
+        return scores.astype(np.float64) - self.normalisers[key]
 
     def train(self, streams: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> int:
         """Noise-contrastive updates by Adagrad; noise words are drawn once for a batch. Returns the tokens seen."""
@@ -193,7 +205,7 @@ class LogBilinear:
         sums = [np.full(p.shape, 1e-6, dtype=np.float32) for p in self.parts]
         cumulative = np.cumsum(self.noise)
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        seen = 0
+        seen, self.normalisers = 0, None
         for before, token in streams:
             order = rng.permutation(len(token))
             for i in range(0, len(order), BATCH):
@@ -250,26 +262,32 @@ def _windows(lists: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarra
 
 
 class _Reader:
-    """Outputs of a text's tokens, with the shape classes of rare words kept."""
+    """Reads the words of texts as numbers: places in the head, and outputs. Shape classes of rarer words are kept."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.head = {w: o for w, (o, _) in vocabulary.head.items()}
+        self.place = {w: i for i, w in enumerate(vocabulary.head)}
+        self.output = np.array([o for o, _ in vocabulary.head.values()], dtype=np.int32)
         self.first_class = vocabulary.outputs - CLASSES
         self.rare: dict[bytes, int] = {}
 
-    def outputs(self, words: list[bytes]) -> np.ndarray:
-        found = [*map(self.head.get, words), 0]
-        if None in found:
-            if len(self.rare) > MOST_WORDS:
+    def class_of(self, word: bytes) -> int:
+        found = self.rare.get(word)
+        if found is None:
+            if len(self.rare) > MOST_RARE:
                 self.rare = {}
-            for i, o in enumerate(found):
-                if o is None:
-                    word = words[i]
-                    o = self.rare.get(word)
-                    if o is None:
-                        o = self.rare[word] = self.first_class + shape_class(word)
-                    found[i] = o
-        return np.array(found, dtype=np.int32)
+            found = self.rare[word] = self.first_class + shape_class(word)
+        return found
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Places (-1: not in the head) and outputs of the words and the end, and the words that are not in the head."""
+        get = self.place.get
+        places = np.array([*[get(w, -1) for w in words], self.place[END]], dtype=np.int32)
+        outputs = self.output[places]
+        missing = np.flatnonzero(places < 0)
+        rare = [words[i] for i in missing.tolist()]
+        if rare:
+            outputs[missing] = [self.class_of(w) for w in rare]
+        return places, outputs, rare
 
 
 def train_model(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
@@ -287,7 +305,7 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
 
             def streams():
                 for _, texts in chunks(batches, "text"):
-                    yield _windows([reader.outputs(words_of(t)) for t in texts], vocabulary.outputs)
+                    yield _windows([reader.read(words_of(t))[1] for t in texts], vocabulary.outputs)
 
             seen = local.train(streams(), seed=TaskContext.get().partitionId() * ROUNDS + turn)
             return np.append(local.flat().astype(np.float64) * seen, seen) if seen else None
@@ -321,40 +339,34 @@ def score_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id"
         fields, flat, noise = shared.value
         vocabulary = Vocabulary(**fields)
         model, reader = LogBilinear(vocabulary.outputs, noise).load(flat), _Reader(vocabulary)
-        first_class, head = vocabulary.outputs - CLASSES, vocabulary.head
-        base_of = {w: float(np.log10(n + 1)) for w, (_, n) in head.items()}
-        # END may be unseen when there is no training row
-        share_of = {w: float(np.log10((n - DISCOUNT) / vocabulary.counts[o])) if o >= first_class else 0.0 for w, (o, n) in head.items()}
-        known_end = int(head[END][1] > 0)
+        counts = np.array([n for _, n in vocabulary.head.values()], dtype=np.int64)
+        in_class = reader.output >= reader.first_class
+        # by place in the head, 0 for other words: known, log10 of count plus one, log10 of the share in the class
+        known_at = np.append((counts > 0).astype(np.int64), 0)
+        base_at = np.append(np.log10(counts + 1.0), 0.0)
+        share_at = np.zeros(len(counts) + 1)
+        share_at[:-1][in_class] = np.log10((counts[in_class] - DISCOUNT) / vocabulary.counts[reader.output[in_class]])
         for batch, texts in chunks(batches, "text"):
-            lists = [words_of(t) for t in texts]
-            outputs = [reader.outputs(words) for words in lists]
-            before, token = _windows(outputs, vocabulary.outputs)
-            logs = model.log_probability(before, token) / np.log(10)
-            ends = np.cumsum([len(o) for o in outputs])
-            scores = np.add.reduceat(logs, np.concatenate(([0], ends[:-1])))
-            known, base, share, rare, classes, times, offsets = [], [], [], [], [], [], [0]
-            for words in lists:
+            read = [reader.read(words_of(t)) for t in texts]
+            outputs = [o for _, o, _ in read]
+            places = np.concatenate([p for p, _, _ in read])
+            starts = np.concatenate(([0], np.cumsum([len(o) for o in outputs])[:-1]))
+            logs = model.log_probability(*_windows(outputs, vocabulary.outputs)) / np.log(10) + share_at[places]
+            scores, base, known = (np.add.reduceat(v, starts) for v in (logs, base_at[places], known_at[places]))
+            rare, times, offsets = [], [], [0]
+            for _, _, words in read:
                 tally = Counter(words)
-                some = [(w, n) for w, n in tally.items() if w in head]
-                known.append(sum(n for _, n in some) + known_end)
-                base.append(sum(base_of[w] * n for w, n in some) + base_of[END])
-                share.append(sum(share_of[w] * n for w, n in some))
-                if len(some) < len(tally):
-                    for w, n in tally.items():
-                        if w not in head:
-                            rare.append(w)
-                            times.append(n)
-                            classes.append(reader.rare.get(w, -1))
+                rare.extend(tally)
+                times.extend(tally.values())
                 offsets.append(len(rare))
-            classes = [c if c >= 0 else first_class + shape_class(w) for c, w in zip(classes, rare)]
+            classes = [reader.class_of(w) for w in rare]
             items = pa.StructArray.from_arrays(
                 [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(classes, pa.int32()), pa.array(times, pa.int64())], names=["word", "o", "n"]
             )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), batch.column(2), pa.array([len(o) for o in outputs], pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(scores + np.array(share), pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
+                    pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
                 ],
                 names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"],
             )
