@@ -14,18 +14,25 @@ def progress_stream(log: DataFrame, run: str = "run_id") -> DataFrame:
     return eventlog.run_progress(log, run)
 
 
-def start_progress(progress: DataFrame, output: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write the rows each batch changed to ``output/batch=<id>``; rerun batches overwrite their own folder."""
+def start_progress(progress: DataFrame, output: str, checkpoint: str, run: str = "run_id", once: bool = False) -> StreamingQuery:
+    """Keep one row per run below ``output``, in two snapshots that take turns.
+
+    Each batch writes the rows it changed, and those it did not from the snapshot before, over the older snapshot; so the output stays
+    as large as two snapshots however long the stream runs, and a batch that is rerun finds what it found the first time.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        rows = batch.withColumn("__batch", F.lit(batch_id))
+        if batch_id:
+            before = batch.sparkSession.read.schema(rows.schema).parquet(f"{output}/slot={(batch_id - 1) % 2}")
+            rows = rows.unionByName(before.join(batch.select(run), run, "left_anti").withColumn("__batch", F.lit(batch_id)).select(*rows.columns))
+        rows.write.mode("overwrite").parquet(f"{output}/slot={batch_id % 2}")
 
     writer = progress.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
 
 
-def current_progress(spark: SparkSession, output: str, run: str = "run_id") -> DataFrame:
-    """Latest row of each run."""
+def current_progress(spark: SparkSession, output: str) -> DataFrame:
+    """Latest row of each run: the younger of the two snapshots."""
     rows = spark.read.parquet(output)
-    fields = [c for c in rows.columns if c not in (run, "batch")]
-    return rows.groupBy(run).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(run, "r.*")
+    return rows.where(F.col("__batch") == rows.agg(F.max("__batch")).scalar()).drop("__batch", "slot")

@@ -68,11 +68,12 @@ def test_progress(rows):
 
 def test_progress_stream_over_several_batches(spark, tmp_path):
     folder, output, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for part in (RUN[:4], RUN[4:]):
+    for part in (RUN[:4], RUN[4:7], RUN[7:8], RUN[8:]):
         spark.createDataFrame(part, RUN_DDL).coalesce(1).write.mode("append").parquet(folder)
         log = spark.readStream.schema(RUN_DDL).parquet(folder)
         progress.start_progress(progress.progress_stream(log), output, state, once=True).awaitTermination()
     assert cells(progress.current_progress(spark, output)) == PROGRESS
+    assert spark.read.parquet(output).select("slot").distinct().count() == 2  # bounded, however many batches
 
 
 def test_live_tail(spark, tmp_path):
