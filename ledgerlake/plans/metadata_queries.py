@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ledgerlake.functions.scalar import label_of
 from ledgerlake.operators import metadata, teardown
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
+from ledgerlake.session import materialize
 
 PREFIX = teardown.INTERNAL_PREFIX
 TYPE_INDEX = {"STANDARD": 0, "PROMO": 1, "MEDIUM": 2, "ECONOMY": 3, "LARGE": 4, "SMALL": 5}
@@ -35,11 +38,24 @@ def tables(t: Tables) -> DataFrame:
     )
 
 
+def _once(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several parts of a query use: written the first time, read by all."""
+    held = t.__dict__.setdefault("written", {})
+    if name not in held:
+        held[name] = materialize(make(), name)
+    return held[name]
+
+
 def _members(t: Tables) -> DataFrame:
-    """Supplier, part brand and part type of every lineitem, as far as they differ per line number."""
-    part = t.part.select("p_partkey", "p_brand", "p_type")
-    used = t.lineitem.select("l_suppkey", "l_partkey", "l_linenumber").distinct()
-    return used.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    """Supplier, line number, part brand and part type that occur together."""
+
+    def make() -> DataFrame:
+        part = t.part.select("p_partkey", "p_brand", "p_type")
+        used = t.lineitem.select("l_suppkey", "l_partkey", "l_linenumber").distinct()
+        joined = used.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        return joined.select("l_suppkey", "l_linenumber", "p_brand", "p_type").distinct()
+
+    return _once(t, "members", make)
 
 
 def columns(t: Tables) -> DataFrame:
