@@ -14,6 +14,7 @@ from ledgerlake import plans
 from ledgerlake.plans import all_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+LARGER = "/root/testdata/sf0.01"
 QUERIES = all_queries()
 SURVEY_ROWS = {
     "S": 9, "P": 10, "J": 13, "A": 15, "W": 9, "O": 7, "U": 3, "F": 17, "L": 9, "M": 13, "C": 3, "X": 8, "D": 3,
@@ -29,6 +30,8 @@ def duck():
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_equals_sql(spark, duck, name):
     message = difference(spark, duck, QUERIES[name], FOLDER)
+    if message == "no rows":  # equal, but too few rows to tell anything
+        message = difference(spark, connect(LARGER), QUERIES[name], LARGER)
     assert message is None, message
 
 
