@@ -20,8 +20,8 @@ from ledgerlake.session import materialize, scratch_path
 __all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "read_table", "ascii_lower", "ROW_CHUNK", "chunks", "ship_package", "sum_arrays"]
 
 #: Rows handled together inside a task; long texts make the chunk end earlier (see :func:`chunks`).
-ROW_CHUNK = 2000
-CHUNK_CHARS = 4_000_000
+ROW_CHUNK = 1000
+CHUNK_CHARS = 2_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

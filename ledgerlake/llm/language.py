@@ -32,7 +32,7 @@ EXHAUSTIVE = 6
 AMBIGUOUS_GAP = 0.05
 #: N-grams of a text overlap, so their log odds are scaled before the loss.
 TEMPERATURE = 3.0
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 LONG_WORD = 48
 
 _words = re.compile(r"[^\W\d_]+").findall

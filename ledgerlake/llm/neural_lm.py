@@ -42,9 +42,9 @@ BATCH = 2048
 ROUNDS = 2
 RATE = 0.1
 #: Distinct words a task counts before it sends them on.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 #: Rarer words whose class a task keeps.
-MOST_RARE = 200_000
+MOST_RARE = 100_000
 
 
 def words_of(text: str) -> list[bytes]:

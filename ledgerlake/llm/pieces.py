@@ -11,20 +11,21 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ledgerlake.llm.common import ROW_CHUNK, chunks, has_columns, map_batches, ship_package
+from ledgerlake.llm.common import chunks, has_columns, map_batches
 
 SPACE = "▁"
 NONE = np.int64(2**31 - 1)
 
 #: Parts kept per task; beyond it the store starts anew (about 300 bytes each).
-MOST_KEPT = 600_000
+MOST_KEPT = 300_000
 #: Longer parts (runs of blanks, base64) are merged by a heap, as a round each per merge would cost the square of their length.
 LONG_PART = 128
 #: Parts merged together: their arrays stay in the processor's cache.
@@ -309,24 +310,36 @@ def piece_digests(df: DataFrame, model_path: str, text: str = "text", id_column:
 def encode_pieces(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """All columns of ``df`` with ``ids`` (array of int, end id last) and ``decoded`` (string); such columns are replaced.
 
-    Rows stay as they are; a null or empty text gives the end id alone and an empty decoded text.
+    Rows stay as they are; a null or empty text gives the end id alone and an empty decoded text. A task holds the ids of one chunk of
+    texts, as flat arrays.
     """
-    ship_package(df.sparkSession)
+    has_columns(df, text)
     tables = df.sparkSession.sparkContext.broadcast(PieceTables.load(model_path))
+    kept = [f for f in df.schema.fields if f.name.lower() not in ("ids", "decoded")]
+    names = [f"c{i}" for i in range(len(kept))]
+    at = [f.name for f in kept].index(text)
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def coded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = PieceCoder(tables.value)
-        for series in parts:
-            texts, ids = series.tolist(), []
-            for i in range(0, len(texts), ROW_CHUNK):
-                all_parts = [coder.parts(t or "") for t in texts[i : i + ROW_CHUNK]]
-                coder.learn(all_parts)
-                ids.extend([i for p in parts for i in coder.kept[p]] + [coder.t.end_id] for parts in all_parts)
-            yield pd.DataFrame({"ids": ids, "decoded": [coder.decode(i) for i in ids]})
-
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("ids", "decoded")]
-    return df.withColumn("_coded", coded(F.col(f"`{text}`"))).select(*kept, F.col("_coded.ids"), F.col("_coded.decoded"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = PieceCoder(tables.value, lambda ids: (ids, coder.decode_part(ids)))
+        end = (coder.t.end_id,)
+        for batch, texts in chunks(batches, names[at]):
+            all_parts = [coder.parts(t) for t in texts]
+            coder.learn(all_parts)
+            flat, ends, decoded = [], [0], []
+            for parts in all_parts:
+                rows = [coder.kept[p] for p in parts]
+                ids = np.fromiter(chain.from_iterable([*[r[0] for r in rows], end]), dtype=np.int32)
+                flat.append(ids)
+                ends.append(ends[-1] + len(ids))
+                back = "".join([r[1] for r in rows])
+                decoded.append(back[1:] if back.startswith(" ") else back)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
+
+    plain = df.select(*[F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)])
+    schema = StructType([*[StructField(n, f.dataType) for f, n in zip(kept, names)], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    made = map_batches(plain, run, schema)
+    return made.select(*[F.col(n).alias(f.name) for f, n in zip(kept, names)], "ids", "decoded")
 
 
 def piece_lengths(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
