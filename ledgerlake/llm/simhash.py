@@ -126,8 +126,8 @@ def near_duplicate_classes(df: DataFrame, text: str = "text", id_column: str = "
 def keep_first_of_groups(df: DataFrame, text: str = "text", id_column: str = "doc_id", distance: int = 2) -> DataFrame:
     """The rows of ``df`` that have the smallest id of their component, with the columns of ``df``; one row for each component.
 
-    Of repeated rows with that id (or of rows without any id, if the component has no other) one stays. Texts move only for
-    the rows that are compared in that way; all others are filtered where they are read.
+    Of repeated rows with that id (or of rows without any id, if the component has no other) one stays. Texts are shuffled once, to
+    meet the kept ids.
     """
     prints = materialize(fingerprints(df, text, id_column), "simhash")
     classes = _first_of_fingerprints(prints, distance, id_column)
@@ -137,7 +137,8 @@ def keep_first_of_groups(df: DataFrame, text: str = "text", id_column: str = "do
     once = kept.groupBy("_id").agg(F.sum("_n").alias("_rows")).where("_rows = 1 AND _id IS NOT NULL")
     rows = prints.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_all"))
     alone = materialize(once.join(rows, "_id").where("_all = 1").select("_id"), "kept-ids")
-    plain = df.join(alone, F.col(f"`{id_column}`") == F.col("_id"), "left_semi")
+    # texts move once at every size: the kept ids grow with the documents and are never broadcast
+    plain = df.join(alone.hint("merge"), F.col(f"`{id_column}`") == F.col("_id"), "left_semi")
     # the rest: ids that several rows carry, and rows without an id; these few are told apart by their fingerprint
     rest = materialize(kept.join(alone, kept["_id"].eqNullSafe(alone["_id"]), "left_anti").select("_id", "component_fp"), "kept-repeated")
     if rest.isEmpty():
