@@ -1,8 +1,10 @@
 """Benchmark passages in documents, exact or reworded, by latent semantic retrieval.
 
-The TF-IDF matrix of the benchmark's passages is reduced by a distributed randomised SVD; its weights count all documents. Every
-passage of every document is projected and compared with all passages of the benchmark by cosine. What is near enough is checked
-word by word: the longest common subsequence with the item, and whether the item's answer stands there too.
+The TF-IDF matrix of the benchmark's passages is reduced by a distributed randomised SVD; its weights count all documents. A block
+with many passages gets several latent spaces, so that the rank follows their number. Every passage of every document is projected
+and compared with all passages of the benchmark by cosine. Beside that, every run of ``GRAM`` words that an item has too makes a
+candidate, so that no exact passage depends on the cosine. Candidates are checked word by word: the longest common subsequence with
+the item, and whether the item's answer stands there too.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,10 @@ from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize,
 HALF = 16
 RANK = 128
 OVERSAMPLE = 8
+#: Passages of one latent space on average, at most: as many as ``RANK`` was measured with.
+SPACE_PASSAGES = 400
+#: Words of the runs that make a candidate without the cosine; a shorter item is a run itself.
+GRAM = 3
 #: Least cosine of a candidate.
 NEAR = 0.6
 #: Least share of the item's words in common order: alone, and together with the answer.
@@ -99,15 +106,67 @@ class Checker:
         return best / self.n, answered
 
 
+@dataclass
+class Part:
+    """One latent space of a block: the vectors of its words, and its passages as unit vectors."""
+
+    row: np.ndarray  # of each word of the block: its row in ``vectors``; the last row is zero and stands for words of other parts
+    vectors: np.ndarray  # row x rank, weighted
+    passages: np.ndarray  # passage x rank
+    owner: np.ndarray  # item of each passage
+
+
+@dataclass
+class Grams:
+    """All runs of ``GRAM`` words of a block's items, sorted by key."""
+
+    keys: np.ndarray  # distinct
+    first: np.ndarray  # where each key's places begin, and their end
+    item: np.ndarray
+    place: np.ndarray  # of the run within the item
+
+    @classmethod
+    def of(cls, items: list[Item], vocabulary: dict[str, int]) -> Grams:
+        keys, owner, place = [], [], []
+        for n, item in enumerate(items):
+            found = gram_keys(np.array([vocabulary[w] for w in item.words], dtype=np.int64), min(GRAM, len(item.words)), len(vocabulary))
+            keys.append(found)
+            owner.append(np.full(len(found), n))
+            place.append(np.arange(len(found)))
+        keys, owner, place = (np.concatenate(a) for a in (keys, owner, place))
+        order = np.argsort(keys, kind="stable")
+        distinct, first = np.unique(keys[order], return_index=True)
+        return cls(distinct, np.append(first, len(keys)), owner[order], place[order])
+
+    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every run that an item has: where it stands in ``keys``, the item, the run's place in the item."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = np.flatnonzero(self.keys[at] == keys)
+        begin, end = self.first[at[here]], self.first[at[here] + 1]
+        many = end - begin
+        flat = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+        return np.repeat(here, many), self.item[flat], self.place[flat]
+
+
+def gram_keys(ids: np.ndarray, width: int, size: int) -> np.ndarray:
+    """One number for each run of ``width`` word ids, different for every run and width; -1 where a word is unknown (id -1)."""
+    count = max(0, len(ids) - width + 1)
+    keys, known = np.zeros(count, dtype=np.int64), np.ones(count, dtype=bool)
+    for i in range(width):
+        part = ids[i : i + count]
+        keys = keys * (size + 1) + part + 1
+        known &= part >= 0
+    return np.where(known, keys, -1)
+
+
 @dataclass
 class LatentSpace:
-    """One block of the benchmark: its words, their weights, their vectors, and its passages as unit vectors."""
+    """One block of the benchmark: its words, its latent spaces, and its runs of words."""
 
     items: list[Item]
     vocabulary: dict[str, int]
-    vectors: np.ndarray  # word x rank, weighted
-    passages: np.ndarray  # passage x rank
-    owner: np.ndarray  # item of each passage
+    parts: list[Part]
+    grams: Grams
 
 
 def _blocks(benchmark: DataFrame, text: str, item: str, answer: str | None) -> tuple[DataFrame, int]:
@@ -144,8 +203,8 @@ def _weights(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
 def latent_space(items: DataFrame, docs: DataFrame) -> LatentSpace | None:
     """Of one block of items (``item_id, text, answer``); None if it has no word.
 
-    The sketch is ``A'(A X)`` for a random ``X``, refined by one power iteration; Spark sums it over the passages, and only arrays of
-    words times rank reach the driver.
+    Passages are dealt by a hash of their words to spaces of about ``SPACE_PASSAGES``. The sketch of each is ``A'(A X)`` for a random
+    ``X``, refined by one power iteration; Spark sums it over the passages, and only arrays of words times rank reach the driver.
     """
     rows = [Item(r["item_id"], words_of(r["text"]), words_of(r["answer"] or answer_of(r["text"]))) for r in items.select("item_id", "text", "answer").collect()]
     rows = sorted((i for i in rows if i.words), key=lambda i: (str(i.item_id), i.words))
@@ -153,25 +212,43 @@ def latent_space(items: DataFrame, docs: DataFrame) -> LatentSpace | None:
         return None
     vocabulary = {w: n for n, w in enumerate(sorted({w for i in rows for w in i.words}))}
     weights = _weights(docs, vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
+    count = -(-sum(1 for i in rows for _ in passages(i.words)) // SPACE_PASSAGES)
+    held: list[list[tuple[int, list[str]]]] = [[] for _ in range(count)]
+    for n, item in enumerate(rows):
+        for words in passages(item.words):
+            held[_part_of(words, count)].append((n, words))
+    parts = [_part(items, some, number, count, vocabulary, weights) for number, some in enumerate(held) if some]
+    return LatentSpace(rows, vocabulary, parts, Grams.of(rows, vocabulary))
+
 
-    def matrix(words: list[str], vocabulary, weights) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([vocabulary[w] for w in words], dtype=np.int64)
+def _part_of(words: list[str], count: int) -> int:
+    return crc32(" ".join(words).encode("utf-8", "surrogatepass")) % count
+
+
+def _part(items: DataFrame, held: list[tuple[int, list[str]]], number: int, count: int, vocabulary: dict[str, int], weights: np.ndarray) -> Part:
+    """The latent space of the passages ``held`` (item and words), which are those of ``items`` that are dealt to ``number``."""
+    context = items.sparkSession.sparkContext
+    own = {w: n for n, w in enumerate(sorted({w for _, words in held for w in words}))}
+    worth = weights[[vocabulary[w] for w in own]]
+    shared = context.broadcast((own, worth))
+
+    def matrix(words: list[str], known, weights) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([known[w] for w in words], dtype=np.int64)
         values = weights[at]
         _, back = np.unique(at, return_inverse=True)
         return at, values / np.sqrt((np.bincount(back, values) ** 2).sum())
 
     def multiply(basis: np.ndarray, function) -> np.ndarray:
-        given = docs.sparkSession.sparkContext.broadcast(basis)
+        given = context.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            vocabulary, weights = shared.value
+            known, weights = shared.value
             total = None
             for _, texts in chunks(batches, "text"):
                 for text in texts:
                     for words in passages(words_of(text)):
-                        if words:
-                            at, values = matrix(words, vocabulary, weights)
+                        if words and _part_of(words, count) == number:
+                            at, values = matrix(words, known, weights)
                             total = function(total, at, values, values @ given.value[at])
             return None if total is None else total.ravel()
 
@@ -185,7 +262,7 @@ def latent_space(items: DataFrame, docs: DataFrame) -> LatentSpace | None:
     def gram(total, at, values, row):
         return np.outer(row, row) + (0 if total is None else total)
 
-    size = len(vocabulary)
+    size = len(own)
     width = min(size, RANK + OVERSAMPLE)
     basis = np.random.default_rng(11).normal(size=(size, width))
     for _ in range(2):
@@ -193,15 +270,12 @@ def latent_space(items: DataFrame, docs: DataFrame) -> LatentSpace | None:
     values, turn = np.linalg.eigh(multiply(basis, gram).reshape(width, width))
     order = np.argsort(values)[::-1][:RANK]
     order = order[values[order] > 1e-9 * max(values.max(), 1e-12)]
-    vectors = (weights[:, None] * (basis @ turn[:, order])).astype(np.float32)
-    points, owner = [], []
-    for n, item in enumerate(rows):
-        for words in passages(item.words):
-            points.append(vectors[[vocabulary[w] for w in words]].sum(axis=0))
-            owner.append(n)
-    points = np.array(points)
+    vectors = (worth[:, None] * (basis @ turn[:, order])).astype(np.float32)
+    points = np.array([vectors[[own[w] for w in words]].sum(axis=0) for _, words in held])
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
-    return LatentSpace(rows, vocabulary, vectors, points.astype(np.float32), np.array(owner))
+    row = np.full(len(vocabulary), size, dtype=np.int32)
+    row[[vocabulary[w] for w in own]] = np.arange(size)
+    return Part(row, np.concatenate((vectors, np.zeros_like(vectors[:1]))), points.astype(np.float32), np.array([n for n, _ in held]))
 
 
 class Finder:
@@ -210,49 +284,76 @@ class Finder:
     def __init__(self, space: LatentSpace):
         self.space = space
         self.checkers = [Checker(i) for i in space.items]
+        self.widths = sorted({min(GRAM, c.n) for c in self.checkers})
 
-    def _halves(self, words: list[str]) -> np.ndarray:
-        """Sum of the vectors of each run of ``HALF`` words; unknown words add nothing."""
-        out = np.zeros((-(-len(words) // HALF), self.space.vectors.shape[1]), dtype=np.float32)
+    def _ids(self, words: list[str]) -> np.ndarray:
         get = self.space.vocabulary.get
-        for start in range(0, len(words), SEGMENT):
-            ids = np.array([get(w, -1) for w in words[start : start + SEGMENT]], dtype=np.int64)
-            at = np.flatnonzero(ids >= 0)
+        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+
+    def _halves(self, ids: np.ndarray, part: Part) -> np.ndarray:
+        """Sum of the vectors of each run of ``HALF`` words; words that are not of the part add nothing."""
+        size = len(part.vectors) - 1
+        out = np.zeros((-(-len(ids) // HALF), part.vectors.shape[1]), dtype=np.float32)
+        for start in range(0, len(ids), SEGMENT):
+            some = ids[start : start + SEGMENT]
+            rows = np.where(some >= 0, part.row[some], size)
+            at = np.flatnonzero(rows < size)
             if not len(at):
                 continue
             half = (at + start) // HALF
             first = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1])))
-            out[half[first]] = np.add.reduceat(self.space.vectors[ids[at]], first, axis=0)
+            out[half[first]] = np.add.reduceat(part.vectors[rows[at]], first, axis=0)
         return out
 
     def find(self, texts: list[str]) -> list[dict[int, tuple[float, float, bool]]]:
-        """For each text, of every item found: share in common order, cosine, whether the answer is there."""
+        """For each text, of every item found: share in common order, cosine (0 if found by a run of words), whether the answer is there."""
         lists = [words_of(t) for t in texts]
-        halves = [self._halves(w) for w in lists]
+        ids = [self._ids(w) for w in lists]
+        out: list[dict[int, tuple[float, float, bool]]] = [{} for _ in texts]
+        for part in self.space.parts:
+            self._by_cosine(part, lists, ids, out)
+        for t, some in enumerate(ids):
+            self._by_runs(t, lists[t], some, out)
+        return out
+
+    def _check(self, out: list[dict[int, tuple[float, float, bool]]], t: int, item: int, words: list[str], start: int, end: int, cosine: float) -> None:
+        known = out[t].get(item)
+        if known and known[0] == 1.0:
+            return
+        share, answered = self.checkers[item].check(words, start, min(len(words), end))
+        if (share >= SAME or share >= REWORDED and answered) and (not known or share > known[0]):
+            out[t][item] = (share, cosine, answered)
+
+    def _by_cosine(self, part: Part, lists: list[list[str]], ids: list[np.ndarray], out: list[dict[int, tuple[float, float, bool]]]) -> None:
+        halves = [self._halves(w, part) for w in ids]
         windows = np.concatenate([h[:-1] + h[1:] if len(h) > 1 else h for h in halves])
         counts = np.array([max(1, len(h) - 1) if len(h) else 0 for h in halves])
-        text_of = np.repeat(np.arange(len(texts)), counts)
+        text_of = np.repeat(np.arange(len(lists)), counts)
         first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        out: list[dict[int, tuple[float, float, bool]]] = [{} for _ in texts]
         for i in range(0, len(windows), 4096):
             block = windows[i : i + 4096]
             block = block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
-            cosine = block @ self.space.passages.T
+            cosine = block @ part.passages.T
             done = set()
             for row, passage in zip(*(a.tolist() for a in np.nonzero(cosine >= NEAR))):
-                item = int(self.space.owner[passage])
+                item = int(part.owner[passage])
                 if (row, item) in done:
                     continue
                 done.add((row, item))
                 t = int(text_of[i + row])
-                known = out[t].get(item)
-                if known and known[0] == 1.0:
-                    continue
                 start = (i + row - int(first[t])) * HALF
-                share, answered = self.checkers[item].check(lists[t], start, min(len(lists[t]), start + 2 * HALF))
-                if (share >= SAME or share >= REWORDED and answered) and (not known or share > known[0]):
-                    out[t][item] = (share, float(cosine[row, passage]), answered)
-        return out
+                self._check(out, t, item, lists[t], start, start + 2 * HALF, float(cosine[row, passage]))
+
+    def _by_runs(self, t: int, words: list[str], ids: np.ndarray, out: list[dict[int, tuple[float, float, bool]]]) -> None:
+        """Where the text has a run of ``GRAM`` words of an item, or a whole shorter item; each place of an item once."""
+        done = set()
+        for width in self.widths:
+            for at, item, place in zip(*(a.tolist() for a in self.space.grams.hits(gram_keys(ids, width, len(self.space.vocabulary))))):
+                n = self.checkers[item].n
+                start = max(0, at - place)
+                if (item, start // n) not in done:
+                    done.add((item, start // n))
+                    self._check(out, t, item, words, start, start + n, 0.0)
 
 
 def _spaces(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item: str, answer: str | None) -> Iterator[LatentSpace]:
@@ -301,11 +402,11 @@ def contaminated(
 
 
 def _plain(space: LatentSpace) -> tuple:
-    return [(i.item_id, i.words, i.answer) for i in space.items], space.vocabulary, space.vectors, space.passages, space.owner
+    return [(i.item_id, i.words, i.answer) for i in space.items], space.vocabulary, [p.__dict__ for p in space.parts], space.grams.__dict__
 
 
 def _space(plain: tuple) -> LatentSpace:
-    return LatentSpace([Item(*i) for i in plain[0]], *plain[1:])
+    return LatentSpace([Item(*i) for i in plain[0]], plain[1], [Part(**p) for p in plain[2]], Grams(**plain[3]))
 
 
 def _holds(docs: DataFrame, space: LatentSpace, text: str) -> Column:

@@ -93,3 +93,25 @@ def test_blocks_of_items_and_odd_rows(rows, tables, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
     assert clean_documents(documents, benchmark.limit(0)).count() == 7
     assert contaminated(documents.limit(0), benchmark).count() == 0 and contaminated(documents, benchmark.limit(0)).count() == 0
+
+
+def test_exact_passages_of_a_full_block(rows, tables):
+    """2,000 items of 10 words in one block: each is found between words of other items."""
+    rng = random.Random(3)
+    words = [f"w{n}" for n in range(3000)]
+    items = [[rng.choice(words) for _ in range(10)] for _ in range(2000)]
+    benchmark = rows("item_id LONG, text STRING, answer STRING", *((n, " ".join(w), None) for n, w in enumerate(items)))
+    space = latent_space(benchmark, tables[0].select("text").limit(50))
+    at = {tuple(i.words): n for n, i in enumerate(space.items)}
+    texts = [" ".join([rng.choice(words) for _ in range(41)] + w + [rng.choice(words) for _ in range(43)]) for w in items[:300]]
+    found = Finder(space).find(texts)
+    assert all(f.get(at[tuple(w)], (0,))[0] == 1.0 for f, w in zip(found, items))
+    assert len(space.parts) > 1 and sum(len(p.passages) for p in space.parts) == 2000
+
+
+def test_runs_of_short_items(rows, tables):
+    items = [["alpha"], ["beta", "gamma"], ["delta", "delta", "delta", "delta"], ["beta", "gamma", "alpha"]]
+    space = latent_space(rows("item_id LONG, text STRING, answer STRING", *((n, " ".join(w), None) for n, w in enumerate(items))), tables[0].select("text").limit(50))
+    at = {tuple(i.words): n for n, i in enumerate(space.items)}
+    found = Finder(space).find(["x " * 40 + " ".join(w) + " x" * 40 for w in items] + [""])
+    assert all(f[at[tuple(w)]][0] == 1.0 for f, w in zip(found, items)) and found[-1] == {}
