@@ -32,8 +32,10 @@ SPACE_PASSAGES = 400
 GRAM = 3
 #: Least cosine of a candidate.
 NEAR = 0.6
-#: Least share of the item's words in common order: alone, and together with the answer.
+#: Least share of the item's words in common order: of items with an answer of their own and of short ones, and together with the answer.
 SAME, REWORDED, ANSWER = 0.8, 0.6, 0.8
+#: From so many words on, an item without an answer of its own is found by the share ``REWORDED`` alone; clean texts come near it below.
+LONG_ITEM = 12
 #: Items and bytes of benchmark text that are broadcast and searched in one pass; a larger benchmark takes several passes.
 BLOCK_ITEMS = 2000
 BLOCK_BYTES = 1 << 20
@@ -59,6 +61,7 @@ class Item:
     item_id: object
     words: list[str]
     answer: list[str]
+    told: bool = False  # whether the answer is the benchmark's own
 
 
 def passages(words: list[str]) -> Iterator[list[str]]:
@@ -90,11 +93,15 @@ class Checker:
         self.masks, self.answer = word_masks(item.words), word_masks(item.answer)
         self.distinct = frozenset(item.words)
         self.n, self.n_answer = len(item.words), len(item.answer)
+        self.alone = REWORDED if self.n >= LONG_ITEM and not item.told else SAME
+
+    def accepts(self, share: float, answered: bool) -> bool:
+        return share >= self.alone or share >= REWORDED and answered
 
     def check(self, words: list[str], start: int, end: int) -> tuple[float, bool]:
         """Best share in common order of a span a little longer than the item around ``[start, end)``, and whether the answer is there."""
         low, high = max(0, start - self.n), min(len(words), end + self.n)
-        if len(self.distinct.intersection(words[low:high])) < REWORDED * len(self.distinct):
+        if len(self.distinct.intersection(words[low:high])) < len(self.distinct) - (1 - REWORDED) * self.n - 1e-9:
             return 0.0, False
         width, best, at = self.n + self.n // 4 + 1, 0, low
         for i in range(low, max(low + 1, high - width + max(1, self.n // 8)), max(1, self.n // 8)):
@@ -206,7 +213,10 @@ def latent_space(items: DataFrame, docs: DataFrame) -> LatentSpace | None:
     Passages are dealt by a hash of their words to spaces of about ``SPACE_PASSAGES``. The sketch of each is ``A'(A X)`` for a random
     ``X``, refined by one power iteration; Spark sums it over the passages, and only arrays of words times rank reach the driver.
     """
-    rows = [Item(r["item_id"], words_of(r["text"]), words_of(r["answer"] or answer_of(r["text"]))) for r in items.select("item_id", "text", "answer").collect()]
+    rows = []
+    for r in items.select("item_id", "text", "answer").collect():
+        own = words_of(r["answer"] or "")
+        rows.append(Item(r["item_id"], words_of(r["text"]), own or words_of(answer_of(r["text"])), bool(own)))
     rows = sorted((i for i in rows if i.words), key=lambda i: (str(i.item_id), i.words))
     if not rows:
         return None
@@ -321,7 +331,7 @@ class Finder:
         if known and known[0] == 1.0:
             return
         share, answered = self.checkers[item].check(words, start, min(len(words), end))
-        if (share >= SAME or share >= REWORDED and answered) and (not known or share > known[0]):
+        if self.checkers[item].accepts(share, answered) and (not known or share > known[0]):
             out[t][item] = (share, cosine, answered)
 
     def _by_cosine(self, part: Part, lists: list[list[str]], ids: list[np.ndarray], out: list[dict[int, tuple[float, float, bool]]]) -> None:
@@ -402,7 +412,7 @@ def contaminated(
 
 
 def _plain(space: LatentSpace) -> tuple:
-    return [(i.item_id, i.words, i.answer) for i in space.items], space.vocabulary, [p.__dict__ for p in space.parts], space.grams.__dict__
+    return [(i.item_id, i.words, i.answer, i.told) for i in space.items], space.vocabulary, [p.__dict__ for p in space.parts], space.grams.__dict__
 
 
 def _space(plain: tuple) -> LatentSpace:

@@ -115,3 +115,27 @@ def test_runs_of_short_items(rows, tables):
     at = {tuple(i.words): n for n, i in enumerate(space.items)}
     found = Finder(space).find(["x " * 40 + " ".join(w) + " x" * 40 for w in items] + [""])
     assert all(f[at[tuple(w)]][0] == 1.0 for f, w in zip(found, items)) and found[-1] == {}
+
+
+def test_reworded_items_need_no_last_sentence():
+    words = [f"w{n}" for n in range(20)]
+    changed = [w if n % 10 < 7 else "other" for n, w in enumerate(words)]  # the last sentence, too
+    found = []
+    for item in (Item(1, words, words[17:]), Item(1, words, words[17:], told=True), Item(1, words[:10], words[7:10])):
+        checker = Checker(item)
+        share, answered = checker.check(changed, 0, 20)
+        assert share == 0.7 and not answered
+        found.append(checker.accepts(share, answered))
+    assert found == [True, False, False]
+
+
+def test_many_changed_words(tables):
+    """Nearly all items are found with 20 % of the words replaced, most with 30 %."""
+    documents, benchmark = tables
+    finder = Finder(latent_space(decontam._blocks(benchmark, "text", "item_id", None)[0], documents.select("text")))
+    rng = random.Random(11)
+    for share, least in ((0.2, 0.95), (0.3, 0.8)):
+        texts = [" ".join(["x"] * 45 + [f"new{n}" if rng.random() < share else w for n, w in enumerate(i.words)] + ["x"] * 45) for i in finder.space.items]
+        found = finder.find(texts)
+        assert sum(n in f for n, f in enumerate(found)) >= least * len(texts)
+        assert sum(len(f) - (n in f) for n, f in enumerate(found)) == 0
