@@ -178,7 +178,7 @@ class LatentSpace:
 
 def _blocks(benchmark: DataFrame, text: str, item: str, answer: str | None) -> tuple[DataFrame, int]:
     told = F.col(f"`{answer}`") if answer else F.lit(None).cast("string")
-    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{text}`").alias("text"), told.alias("answer")).where("text IS NOT NULL")
+    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{text}`").alias("text"), told.alias("answer")).where("text IS NOT NULL").distinct()
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     count = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     # half as many again, as hashing fills blocks unevenly
@@ -383,8 +383,8 @@ def contaminated(
     """One row for every document and item found in it: id, item id, ``share`` of the item's words in common order, ``cosine``, ``answered``.
 
     All passages of all documents are searched for all items, in blocks of the benchmark. Nothing of the documents is shuffled. Null and
-    empty texts and items without a word match nothing; repeated rows are reported for each; repeated items by their id. An empty table
-    on either side gives an empty result.
+    empty texts and items without a word match nothing; repeated documents are reported for each, repeated rows of the benchmark once,
+    equal texts under several item ids by each id. An empty table on either side gives an empty result.
     """
     has_columns(docs, id_column, text)
     has_columns(benchmark, item, item_text)

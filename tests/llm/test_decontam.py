@@ -139,3 +139,13 @@ def test_many_changed_words(tables):
         found = finder.find(texts)
         assert sum(n in f for n, f in enumerate(found)) >= least * len(texts)
         assert sum(len(f) - (n in f) for n, f in enumerate(found)) == 0
+
+
+def test_repeated_items_are_one(rows, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 10)
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    benchmark = rows("item_id LONG, text STRING", *[(1, text)] * 40, (2, text), (3, "other words"))
+    items, count = decontam._blocks(benchmark, "text", "item_id", None)
+    assert count == 1 and items.count() == 3
+    got = contaminated(rows("doc_id LONG, text STRING", (7, text)), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(7, 1), (7, 2)]
