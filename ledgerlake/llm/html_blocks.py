@@ -8,6 +8,7 @@ of other kinds mixed in and the tell-tale names of the article varied, so that p
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import chunks, has_columns, map_batches
 
-#: Bound of the training sample: pages, and characters of a page in it.
+#: Bound of the training sample: about so many pages, and blocks and about the characters of a page that are used. Pages of any length are sampled.
 FIT_PAGES = 1000
+FIT_BLOCKS = 400
 FIT_CHARS = 60_000
 VARIANTS = 2
 EPOCHS = 8
@@ -427,27 +429,66 @@ class BlockLabeller:
         return {k: v * min(1.0, 5.0 / (norm + 1e-9)) for k, v in gradient.items()}
 
 
-def train_labeller(pages: list[str]) -> BlockLabeller:
-    """From the html of sample pages: each as it is and in variants. At least 400 sequences, by more variants of few pages."""
+def train_labeller(pages: list[str | tuple[list[Block], list[int]]]) -> BlockLabeller:
+    """From sample pages, html or blocks with labels: each as it is and in variants. At least 400 sequences, by more variants of few pages.
+
+    Raises an error if no page has a block, as there is nothing to learn from.
+    """
     rng = np.random.default_rng(23)
-    parsed = [b for b in map(blocks_of, pages) if b]
+    parsed = [p for p in (labelled(p) if isinstance(p, str) else p for p in pages) if p[0]]
+    if not parsed:
+        raise ValueError("no sample page has a block; the labeller cannot be trained")
     sequences, labels = [], []
-    variants = max(VARIANTS, -(-400 // max(1, len(parsed))))
-    for blocks in parsed:
-        told = structure_labels(blocks)
+    variants = max(VARIANTS, -(-400 // len(parsed)))
+    for blocks, told in parsed:
         for n in range(variants + 1):
             some, said = varied(blocks, told, rng) if n else (blocks, told)
             sequences.append(features(some))
             labels.append(np.array(said, dtype=np.float32))
-    return BlockLabeller().fit(sequences, labels) if sequences else BlockLabeller()
+    return BlockLabeller().fit(sequences, labels)
+
+
+def labelled(html: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page and what its structure says of each."""
+    blocks = blocks_of(html)
+    return blocks, structure_labels(blocks)
+
+
+def shortened(blocks: list[Block], labels: list[int]) -> tuple[list[Block], list[int]]:
+    """At most ``FIT_BLOCKS`` blocks with about ``FIT_CHARS`` characters: long runs of one label lose their middle, long texts their rest."""
+    if len(blocks) > FIT_BLOCKS:
+        edges = [0, *(i for i in range(1, len(labels)) if labels[i] != labels[i - 1]), len(labels)]
+        side = max(1, FIT_BLOCKS // (2 * (len(edges) - 1)))
+        keep = [i for a, b in zip(edges, edges[1:]) for i in range(a, b) if i < a + side or i >= b - side][:FIT_BLOCKS]
+        blocks, labels = [blocks[i] for i in keep], [labels[i] for i in keep]
+    if sum(len(b.text) for b in blocks) > FIT_CHARS:
+        most = FIT_CHARS // len(blocks)
+        blocks = [b if len(b.text) <= most else Block(b.path, b.text[: most - 1] + b.text[-1], b.linked) for b in blocks]
+    return blocks, labels
 
 
-def sample_pages(df: DataFrame, html: str) -> list[str]:
-    """At most about ``FIT_PAGES`` pages of at most ``FIT_CHARS`` characters, chosen by a hash of their html."""
-    fit = df.select(F.col(f"`{html}`").alias("html")).where((F.length("html") > 0) & (F.length("html") <= FIT_CHARS))
-    every = max(1, df.count() // FIT_PAGES)
-    rows = fit.where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0).limit(2 * FIT_PAGES).collect()
-    return sorted({r["html"] for r in rows})
+def sample_pages(df: DataFrame, html: str) -> list[tuple[list[Block], list[int]]]:
+    """Blocks and labels of about ``FIT_PAGES`` distinct pages of any length, chosen by a hash of their html.
+
+    Tasks parse the sampled pages; of each only a bounded part (:func:`shortened`) reaches the driver.
+    """
+    fit = df.select(F.col(f"`{html}`").alias("html")).where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+    every = max(1, fit.agg(F.approx_count_distinct("h", 0.02)).first()[0] // FIT_PAGES)
+    rows = fit.select("h").where(F.pmod("h", F.lit(every)) == 0).distinct().orderBy("h").limit(2 * FIT_PAGES).collect()
+    chosen = [r["h"] for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch, pages in chunks(batches, "html"):
+            for key, page in zip(batch.column(1).to_pylist(), pages):
+                if key not in seen:
+                    seen.add(key)
+                    made = json.dumps([(b.path, b.text, b.linked, said) for b, said in zip(*shortened(*labelled(page)))])
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([made], pa.string())], names=["h", "page"])
+
+    made = map_batches(fit.where(F.col("h").isin(chosen)), run, "h long, page string").dropDuplicates(["h"]).collect() if chosen else []
+    pages = [json.loads(r["page"]) for r in sorted(made, key=lambda r: r["h"])]
+    return [([Block(tuple(path), text, linked) for path, text, linked, _ in page], [said for *_, said in page]) for page in pages]
 
 
 def extract_main_text(df: DataFrame, html: str = "html", labeller: BlockLabeller | None = None) -> DataFrame:
@@ -455,19 +496,25 @@ def extract_main_text(df: DataFrame, html: str = "html", labeller: BlockLabeller
 
     Each page is read whole and alone, nothing is shuffled. Blocks of the article are joined by line ends. Null and empty html and pages
     without an article give the empty text. Repeated rows stay; an empty table gives an empty result. Without a given labeller one is
-    trained on a bounded sample of the pages.
+    trained on a bounded sample of the pages; if none of these has a block and a page has, an error is raised.
     """
     has_columns(df, html)
-    model = labeller or train_labeller(sample_pages(df, html))
-    shared = df.sparkSession.sparkContext.broadcast(model.p)
+    pages = [] if labeller else sample_pages(df, html)
+    model = labeller or (train_labeller(pages) if any(blocks for blocks, _ in pages) else None)
+    shared = df.sparkSession.sparkContext.broadcast(model.p if model else None)
     kept = [f for f in df.schema.fields if f.name != html and f.name.lower() not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = BlockLabeller(shared.value)
+        model = BlockLabeller(shared.value) if shared.value else None
         for batch, pages in chunks(batches, "_html"):
             texts = []
             for i in range(0, len(pages), 256):
                 parsed = [blocks_of(p) if p else [] for p in pages[i : i + 256]]
+                if model is None:
+                    if any(parsed):
+                        raise ValueError("no sample page has a block; the labeller cannot be trained")
+                    texts.extend("" for _ in parsed)
+                    continue
                 for blocks, said in zip(parsed, model.probabilities([features(b) for b in parsed])):
                     texts.append("\n".join(b.text for b, p in zip(blocks, said.tolist()) if p > 0.5))
             columns = [batch.column(n) for n in range(len(kept))]

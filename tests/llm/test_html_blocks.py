@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from ledgerlake.llm import html_blocks
 from ledgerlake.llm.html_blocks import BlockLabeller, WIDTH, blocks_of, extract_main_text, features, sample_pages, train_labeller
 
 FOLDER = "/root/testdata/sf0.01"
@@ -104,3 +105,21 @@ def test_odd_rows(rows, pages, labeller):
     assert got[5].count("Many words stand here") == 3000
     assert extract_main_text(frame.limit(0)).count() == 0
     assert {r["text"] for r in extract_main_text(frame.where("page_id = 3")).collect()} == {""}
+
+
+def test_sample_of_long_pages_and_copies(rows, pages, monkeypatch):
+    every = [r["html"] for r in pages.orderBy("page_id").limit(40).collect()]
+    long = [p.replace("<article>", "<article>" + "<p>Many words stand here in one more paragraph.</p>" * 1500) for p in every]
+    frame = rows("page_id INT, html STRING", *enumerate(long))
+    sample = sample_pages(frame, "html")
+    assert len(sample) == 40 and all(0 < len(blocks) <= html_blocks.FIT_BLOCKS and {0, 1} == set(said) for blocks, said in sample)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(frame).collect()}
+    assert np.mean([got[n] == article_of(p) for n, p in enumerate(long)]) >= 0.9
+    monkeypatch.setattr(html_blocks, "FIT_PAGES", 10)
+    copies = rows("page_id INT, html STRING", *((n, every[0]) for n in range(300)), *enumerate(every))
+    assert len(sample_pages(copies, "html")) >= 5
+
+
+def test_nothing_to_learn_from():
+    with pytest.raises(ValueError, match="cannot be trained"):
+        train_labeller(["<script>x</script>"])
