@@ -17,6 +17,13 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_level_path() -> str:
+    """The byte-level vocabulary that is aligned with the pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.sharding import shard_documents
 
@@ -78,6 +85,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.alignment import align_tokenizers
+
+    return align_tokenizers(read_table(spark, folder, "documents"), byte_level_path(), model_path())
+
+
 OP9_SQL = """
 WITH cut AS (
   SELECT page_id,
@@ -110,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
