@@ -85,6 +85,13 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.whitening import whiten
+
+    made = whiten(read_table(spark, folder, "embeddings"))
+    return made.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))  # null where it does not fit
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.alignment import align_tokenizers
 
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op12_whitening": op12_whitening,
     "op13_alignment": op13_alignment,
 }
 
