@@ -85,6 +85,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from ledgerlake.llm.secrets import secret_digests
+
+    return secret_digests(read_table(spark, folder, "documents"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     from ledgerlake.llm.whitening import whiten
 
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_secrets": op11_secrets,
     "op12_whitening": op12_whitening,
     "op13_alignment": op13_alignment,
 }
