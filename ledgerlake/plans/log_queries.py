@@ -11,6 +11,7 @@ from ledgerlake.operators.relational import search_log
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.session import scratch_path
+from ledgerlake.sources import growing
 from ledgerlake.streaming import progress, tail
 
 # Event name of each event type in the log.
@@ -54,7 +55,7 @@ def _log(t: Tables) -> DataFrame:
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
-def _lines(t: Tables) -> DataFrame:
+def _lines(t: Tables, *more: str) -> DataFrame:
     """JSON lines. Clicks are cut off, views lack a field, signups have a number where a string is due."""
     head = F.concat(
         F.lit('{"time":"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('","level":"info","type":"'), _name(), F.lit('"')
@@ -66,7 +67,7 @@ def _lines(t: Tables) -> DataFrame:
         .when(kind == "signup", F.concat(head, F.lit(',"message":5}')))
         .otherwise(F.concat(head, F.lit(',"message":"event '), "event_id", F.lit('","data":'), "props", F.lit("}")))
     )
-    return t.events.select(line.alias("value"))
+    return t.events.select(*more, line.alias("value"))
 
 
 ENTRIES_SQL = f"""
@@ -266,6 +267,37 @@ def l6_live_tail(t: Tables) -> DataFrame:
     return spark.read.parquet(output).select("time", "level", "type", "message", "data")
 
 
+@query(
+    "L6",
+    f"WITH {ENTRIES_SQL} SELECT time, level, type, message, data FROM entries",
+)
+def l6_growing_log(t: Tables) -> DataFrame:
+    """The same lines in files that grow: after a first run half of the lines are appended and one file is rotated.
+
+    The newest line is cut in two by the end of the first run.
+    """
+    spark = t.spark
+    folder, output, checkpoint = (scratch_path(spark, part) for part in ("growing", "tail", "tail-state"))
+    number = F.col("event_id")
+    lines = _lines(t, "event_id").select("event_id", F.concat("value", F.lit("\n")).alias("text"))
+    newest = lines.agg(F.max("event_id")).scalar()
+    lines = lines.withColumn("file", F.concat(F.lit("app-"), F.pmod(F.xxhash64("event_id"), F.lit(8)), F.lit(".log")))
+    cut = lines.where(number == newest)
+    first = lines.where((number % 2 == 0) & (number < newest)).unionByName(cut.withColumn("text", F.substr("text", F.lit(1), F.lit(30))))
+    later = lines.where((number % 2 == 1) & (number < newest)).unionByName(cut.select(F.lit(-1).alias("event_id"), F.substr("text", F.lit(31)).alias("text"), "file"))
+
+    def run() -> None:
+        tail.start_tail(tail.tail_stream(spark, folder), output, checkpoint, once=True).awaitTermination()
+
+    growing.append_texts(first, folder, order="event_id")
+    run()
+    growing.append_texts(later.where("event_id < 0 OR event_id % 4 = 1"), folder, order="event_id")
+    growing.rotate(folder, "app-3.log", "app-3.log.1")
+    growing.append_texts(later.where("event_id % 4 = 3"), folder, order="event_id")
+    run()
+    return spark.read.parquet(output).select("time", "level", "type", "message", "data")
+
+
 RUN_NAMES = {"view": "file:before", "click": "file:after", "signup": "file:skip", "error": "file:dry-run"}
 
 
