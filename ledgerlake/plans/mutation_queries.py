@@ -10,6 +10,8 @@ from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.plans.relational_queries import TREE_SQL, _tree
 from ledgerlake.plans.roles import AS_OF, with_todo
+from ledgerlake.session import scratch_path
+from ledgerlake.sources.versions import VersionedTable
 
 STAMP = f"TIMESTAMP '{AS_OF}'"
 SHIFT = 1_000_000_000_000  # keeps the keys of new rows apart from those of the table
@@ -231,18 +233,63 @@ def j12_matched_images(t: Tables) -> DataFrame:
     return mutate.matched_images(*_snapshots(t), "id")
 
 
-@query(
-    "M9",
+AUDIT_SQL = (
     IMAGES_SQL
     + f"""
 SELECT 'users' AS table_name, CASE WHEN old_data IS NULL THEN 'INSERT' WHEN new_data IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation,
        row_id, old_data, new_data, {STAMP} AS changed_at
-FROM images WHERE old_data IS DISTINCT FROM new_data""",
+FROM images WHERE old_data IS DISTINCT FROM new_data"""
 )
+
+
+@query("M9", AUDIT_SQL)
 def m9_audit_changes(t: Tables) -> DataFrame:
     return mutate.audit(*_snapshots(t), "id", "users", roles.as_of())
 
 
+# --- versions --------------------------------------------------------------------------------------------------------
+
+
+@query("M9 M5 M1", AUDIT_SQL)
+def m9_audit_between_versions(t: Tables) -> DataFrame:
+    """The same steps as commits of a stored table; the audit compares the first version with the last before a later change."""
+    table = VersionedTable(t.spark, scratch_path(t.spark, "users"))
+    first, last = _snapshots(t)
+    table.append(first.where("id % 2 = 0"))
+    created = table.append(first.where("id % 2 = 1 OR id IS NULL"))
+    changed = table.replace(last, created, "change users")
+    table.update(lambda users: mutate.delete_where(users, F.lit(True))[0], "clear users")
+    return table.changes(created.number, changed.number, "id", "users", roles.as_of())
+
+
+@query(
+    "M2 M3",
+    with_todo(f"""
+, patches AS (
+  SELECT user_id AS id, arg_max(CASE WHEN event_type = 'click' THEN 'T' || event_id END, event_id) AS title FROM events WHERE event_type <> 'view' GROUP BY user_id)
+, patched AS (
+  SELECT l.id, CASE WHEN l.deleted_at IS NULL THEN coalesce(p.title, l.title) ELSE l.title END AS title, l.deleted_at,
+         CASE WHEN l.deleted_at IS NULL AND p.id IS NOT NULL THEN {STAMP} ELSE l.updated_at END AS updated_at
+  FROM lists l LEFT JOIN patches p ON p.id = l.id)
+, gone AS (SELECT *, deleted_at IS NULL AND id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS hit FROM patched)
+SELECT 1 AS version, 'patch' AS operation, id, title, updated_at, deleted_at FROM patched
+UNION ALL SELECT 2, 'soft delete', id, title, CASE WHEN hit THEN {STAMP} ELSE updated_at END, CASE WHEN hit THEN {STAMP} ELSE deleted_at END FROM gone"""),
+)
+def m2_versions_of_lists(t: Tables) -> DataFrame:
+    """Two mutations of a stored table, each a commit; both versions are read afterwards."""
+    table = VersionedTable(t.spark, scratch_path(t.spark, "lists"))
+    table.append(roles.lists(t).select("id", "title", "updated_at", "deleted_at"))
+    table.update(lambda lists: mutate.patch(lists, _patches(t), "id", ["title"], roles.as_of(), seq="seq"), "patch")
+    keys = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("id"))
+    table.update(lambda lists: mutate.soft_delete(lists, keys, "id", roles.as_of()), "soft delete")
+
+    def read(number: int) -> DataFrame:
+        version = table.version(number)
+        return table.read(number).select(F.lit(version.number).alias("version"), F.lit(version.operation).alias("operation"), "id", "title", "updated_at", "deleted_at")
+
+    return read(1).unionByName(read(2))
+
+
 # --- constraints -----------------------------------------------------------------------------------------------------
 
 
