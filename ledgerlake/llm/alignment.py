@@ -26,6 +26,8 @@ from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 SPACE = "▁"
+#: Characters of the texts aligned together, about.
+BLOCK_CHARS = 1_000_000
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -164,7 +166,7 @@ _BLOCKS = (
 def align_tokenizers(df: DataFrame, a_path: str, b_path: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``.
 
-    A pair's count is the number of rows that hold it linked. Texts are encoded once, in blocks of about 2 million characters; the blocks are
+    A pair's count is the number of rows that hold it linked. Texts are encoded once, in blocks of about a million characters; the blocks are
     written under the shared folder with the distinct pairs of each row. Counts of same-bytes pairs and the highest count of each A id
     (both vectors of at most A's vocabulary) go through the driver; counts of the other pairs stay in tables and come back to a block by a
     join on the pair, one row per block and pair.
@@ -180,7 +182,7 @@ def align_tokenizers(df: DataFrame, a_path: str, b_path: str, text: str = "text"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabularies(*files.value)
-        for number, (batch, texts) in enumerate(chunks(batches, "text")):
+        for number, (batch, texts) in enumerate(chunks(batches, "text", BLOCK_CHARS)):
             made = align(v, texts)
             a, b = made.codes // v.width, made.codes % v.width
             same = v.same[a] == b

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ledgerlake.session import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "read_table", "ascii_lower", "ROW_CHUNK", "chunks", "ship_package", "sum_arrays"]
+__all__ = ["materialize", "scratch_path", "map_batches", "has_columns", "fresh", "read_table", "ascii_lower", "ROW_CHUNK", "chunks", "slices", "ship_package", "sum_arrays"]
 
 #: Rows handled together inside a task; long texts make the chunk end earlier (see :func:`chunks`).
 ROW_CHUNK = 1000
 CHUNK_CHARS = 2_000_000
+#: So many tasks' arrays are added by the driver, one after another.
+FEW_TASKS = 4
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,6 +43,14 @@ def has_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package's source to all Python workers, once per context: they need not have it installed."""
     context = spark.sparkContext
@@ -61,27 +71,34 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (null: empty), at most ``ROW_CHUNK`` rows and about ``CHUNK_CHARS`` characters each."""
+def slices(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most ``ROW_CHUNK`` texts and about ``chars`` characters; a longer text is a run of its own."""
+    start = size = 0
+    for i, value in enumerate(texts):
+        if i > start and (size + len(value) > chars or i - start >= ROW_CHUNK):
+            yield start, i
+            start, size = i, 0
+        size += len(value)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts (null: empty), bounded as in :func:`slices`."""
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        start = size = 0
-        for i, value in enumerate(texts):
-            if i > start and (size + len(value) > CHUNK_CHARS or i - start >= ROW_CHUNK):
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(value)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        for start, end in slices(texts, chars):
+            yield batch.slice(start, end - start), texts[start:end]
 
 
 def sum_arrays(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
     """Sum of one float64 array per task, or None if no task has one.
 
     The tasks' arrays meet in about the square root of their number of groups first, so neither a group nor the driver holds more
-    than that many arrays.
+    than that many arrays. A few go to the driver as they are.
     """
-    groups = max(1, int(df.rdd.getNumPartitions() ** 0.5))
+    tasks = df.rdd.getNumPartitions()
+    groups = max(1, int(tasks**0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = function(batches)
@@ -92,5 +109,12 @@ def sum_arrays(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], np.
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"sums": [sum(np.frombuffer(b) for b in rows["sums"]).tobytes()]})
 
-    parts = map_batches(df, run, "g int, sums binary").groupBy("g").applyInPandas(added, "sums binary").collect()
+    made = map_batches(df, run, "g int, sums binary")
+    if tasks <= FEW_TASKS:
+        total = None
+        for row in made.toLocalIterator():
+            part = np.frombuffer(row["sums"])
+            total = part.copy() if total is None else np.add(total, part, out=total)
+        return total
+    parts = made.groupBy("g").applyInPandas(added, "sums binary").collect()
     return sum(np.frombuffer(r["sums"]) for r in parts) if parts else None

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize, ship_package, sum_arrays
+from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize, ship_package, slices, sum_arrays
 
 #: Words in half a passage; passages are two neighbouring halves, so every span of 17 words lies within one.
 HALF = 16
@@ -202,6 +202,7 @@ def _weights(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
         return counts
 
     counts = sum_arrays(docs, run)
+    shared.destroy()
     if counts is None:
         counts = np.zeros(len(vocabulary) + 1)
     return np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1e-3
@@ -262,7 +263,9 @@ def _part(items: DataFrame, held: list[tuple[int, list[str]]], number: int, coun
                             total = function(total, at, values, values @ given.value[at])
             return None if total is None else total.ravel()
 
-        return sum_arrays(items.select("text"), run)
+        made = sum_arrays(items.select("text").coalesce(1), run)  # a block has a bounded size: one array instead of one a task
+        given.destroy()
+        return made
 
     def back(total, at, values, row):
         total = np.zeros((size, width)) if total is None else total
@@ -279,6 +282,7 @@ def _part(items: DataFrame, held: list[tuple[int, list[str]]], number: int, coun
         basis, _ = np.linalg.qr(multiply(basis, back).reshape(size, width))
     values, turn = np.linalg.eigh(multiply(basis, gram).reshape(width, width))
     order = np.argsort(values)[::-1][:RANK]
+    shared.destroy()
     order = order[values[order] > 1e-9 * max(values.max(), 1e-12)]
     vectors = (worth[:, None] * (basis @ turn[:, order])).astype(np.float32)
     points = np.array([vectors[[own[w] for w in words]].sum(axis=0) for _, words in held])
@@ -429,8 +433,8 @@ def _holds(docs: DataFrame, space: LatentSpace, text: str) -> Column:
         for series in parts:
             texts = [t or "" for t in series]
             out: list[bool] = []
-            for i in range(0, len(texts), 1000):
-                out.extend(map(bool, finder.find(texts[i : i + 1000])))
+            for start, end in slices(texts):
+                out.extend(map(bool, finder.find(texts[start:end])))
             yield pd.Series(out, dtype=bool)
 
     return holds(F.col(f"`{text}`"))

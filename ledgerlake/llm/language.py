@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import has_columns, map_batches, ship_package
+from ledgerlake.llm.common import has_columns, map_batches, materialize, ship_package, slices, sum_arrays
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
-#: Most languages of one model; the counts that reach the driver are so many times ``BUCKETS`` numbers at most.
+#: Up to so many languages the counts of each reach the driver; of more languages only sums over those that share a bit do.
 MOST_LANGUAGES = 256
 #: All splits of the languages are used as bits up to this number of languages, else random codes.
 EXHAUSTIVE = 6
@@ -33,6 +33,10 @@ AMBIGUOUS_GAP = 0.05
 #: N-grams of a text overlap, so their log odds are scaled before the loss.
 TEMPERATURE = 3.0
 MOST_WORDS = 250_000
+#: Losses (text x language x bit) held at once.
+DECODED_TOGETHER = 4_000_000
+#: Beyond so many languages one random code is taken as it is; its bits make two alike improbable.
+COMPARED = 2000
 LONG_WORD = 48
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -76,9 +80,11 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1 if i and s >> (i - 1) & 1 else -1 for s in splits] for i in range(n)], dtype=np.int8)
     rng, best, found = np.random.default_rng(5), -1, None
     bits = math.ceil(10 * math.log2(n))
-    for _ in range(200):
+    for _ in range(200 if n <= COMPARED else 1):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), size=(n, bits))
         code = code[:, np.abs(code.sum(axis=0)) < n]  # a bit that is the same everywhere tells nothing
+        if n > COMPARED:
+            return code
         distance = (code.shape[1] - code.astype(int) @ code.T.astype(int)) // 2
         least = int((distance + np.eye(n, dtype=int) * bits).min())
         if least > best:
@@ -98,21 +104,24 @@ class CodeModel:
         """``counts``: language x bucket. Languages weigh alike, whatever their share of the documents."""
         codes = codewords(len(languages))
         share = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
-        weights, trust = [], []
-        for bit in codes.T:
-            if len(languages) < 2:
-                weights.append(np.zeros(BUCKETS))
-                trust.append(1.0)
-                continue
-            on, off = share[bit > 0].mean(axis=0), share[bit < 0].mean(axis=0)
-            odds = np.log(on) - np.log(off)
-            weights.append(odds)
-            trust.append(float((np.abs(odds) * (on + off)).sum() / 2))  # how far an n-gram tells both sides apart on average
-        trust = np.array(trust)
-        return cls(languages, codes, np.stack(weights, axis=1).astype(np.float32), (trust / trust.mean()).astype(np.float32))
+        if len(languages) < 2:
+            return cls(languages, codes, np.zeros((BUCKETS, 1), dtype=np.float32), np.ones(1, dtype=np.float32))
+        sides = [np.stack([share[bit == sign].mean(axis=0) for bit in codes.T], axis=1) for sign in (1, -1)]
+        return cls.of_sides(languages, codes, *sides)
+
+    @classmethod
+    def of_sides(cls, languages: list[str], codes: np.ndarray, on: np.ndarray, off: np.ndarray) -> CodeModel:
+        """``on`` and ``off``: mean share of each bucket (row) among the languages with and without a bit (column)."""
+        odds = np.log(on) - np.log(off)
+        trust = (np.abs(odds) * (on + off)).sum(axis=0) / 2  # how far an n-gram tells both sides apart on average
+        return cls(languages, codes, odds.astype(np.float32), (trust / trust.mean()).astype(np.float32))
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each row: nearest codeword, its share among all (0 to 1), and by how much the second loses."""
+        together = max(1, DECODED_TOGETHER // self.codes.size)
+        if len(margins) > together:
+            parts = [self.decode(margins[i : i + together]) for i in range(0, len(margins), together)]
+            return tuple(np.concatenate(column) for column in zip(*parts))
         signed = margins[:, None, :] * self.codes[None, :, :] / TEMPERATURE
         loss = (np.logaddexp(0, -signed) * self.trust).sum(axis=2) / max(1, self.codes.shape[1] / 2)
         best = loss.argmin(axis=1)
@@ -215,16 +224,44 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> CodeModel:
 
     rows = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     summed = map_batches(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.toPandas()  # languages x BUCKETS rows at most
-    languages = sorted(table["lang"].unique())
+    summed = materialize(summed, "language-counts")
+    totals = dict(summed.groupBy("lang").agg(F.sum("n")).collect())  # one number for each label
+    languages = sorted(totals)
     if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES}")
+        return _fit_many(summed, languages, totals)
+    table = summed.toPandas()  # MOST_LANGUAGES x BUCKETS rows at most
     counts = np.zeros((len(languages), BUCKETS))
     at = {name: i for i, name in enumerate(languages)}
     counts[[at[name] for name in table["lang"]], table["bucket"].to_numpy()] = table["n"].to_numpy()
     return CodeModel.fit(languages, counts)
 
 
+def _fit_many(summed: DataFrame, languages: list[str], totals: dict[str, int]) -> CodeModel:
+    """The same model from sums over the languages of each bit, made in the tasks: their size depends on the number of bits alone."""
+    codes = codewords(len(languages))
+    at = {name: i for i, name in enumerate(languages)}
+    size = np.array([totals[name] for name in languages]) + SMOOTHING * BUCKETS
+    given = summed.sparkSession.sparkContext.broadcast((at, size, codes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        at, size, codes = given.value
+        sums = np.zeros((2, BUCKETS, codes.shape[1]))
+        for batch in batches:
+            owner = np.array([at[name] for name in batch.column(0).to_pylist()], dtype=np.int64)
+            bucket, share = batch.column(1).to_numpy(), batch.column(2).to_numpy() / size[owner]
+            for side, sign in enumerate((1, -1)):
+                for bit in range(codes.shape[1]):
+                    of_side = codes[owner, bit] == sign
+                    sums[side, :, bit] += np.bincount(bucket[of_side], share[of_side], BUCKETS)
+        return sums.ravel()
+
+    sums = sum_arrays(summed.select("lang", "bucket", "n"), run).reshape(2, BUCKETS, -1)
+    given.destroy()
+    rest = SMOOTHING / size
+    means = [(sums[side] + (rest[:, None] * (codes == sign)).sum(axis=0)) / (codes == sign).sum(axis=0) for side, sign in enumerate((1, -1))]
+    return CodeModel.of_sides(languages, codes, *means)
+
+
 def language_of(df: DataFrame, model: CodeModel, text: str = "text") -> Column:
     """A struct column ``lang, score, ambiguous`` of each whole text. Nothing is shuffled."""
     ship_package(df.sparkSession)
@@ -236,8 +273,8 @@ def language_of(df: DataFrame, model: CodeModel, text: str = "text") -> Column:
         for series in parts:
             values = series.tolist()
             out: tuple[list, list, list] = ([], [], [])
-            for i in range(0, len(values), 1000):
-                for column, more in zip(out, decoder.judge(values[i : i + 1000])):
+            for start, end in slices([v or "" for v in values]):
+                for column, more in zip(out, decoder.judge(values[start:end])):
                     column.extend(more)
             yield pd.DataFrame({"lang": out[0], "score": out[1], "ambiguous": out[2]})
 

@@ -46,6 +46,7 @@ class PieceTables:
     width: int
     cut: str  # the pattern of the parts of a text
     controls: frozenset[int]
+    unknown: dict[int, str]  # what is shown for ids that stand for no piece
 
     @classmethod
     def load(cls, path: str) -> PieceTables:
@@ -79,7 +80,7 @@ class PieceTables:
         return cls(
             symbols, names, sorted(bytes_, key=lambda i: int(names[i][1:-1], 16)), model.eos_id(),
             columns[:, 0].copy(), columns[:, 1].copy(), columns[:, 2].copy(), width, _part_pattern(pieces),
-            frozenset(i for i in special if model.is_control(i)),
+            frozenset(i for i in special if model.is_control(i)), {i: model.decode([i]) for i in special if model.is_unknown(i)},
         )
 
 
@@ -107,6 +108,8 @@ class PieceCoder:
         self.shown = [n.replace(SPACE, " ") for n in tables.names]
         for i in tables.controls:
             self.shown[i] = ""
+        for i, shown in tables.unknown.items():
+            self.shown[i] = shown
         self.of_char = np.full(0x110000, tables.width - 1, dtype=np.int32)
         for c, i in tables.pieces.items():
             if len(c) == 1:
@@ -259,9 +262,11 @@ class PieceCoder:
         return "".join(out)
 
     def decode(self, ids: Sequence[int]) -> str:
-        """The text of whole ids: as :meth:`decode_part`, without the dummy blank."""
+        """The text of whole ids: as :meth:`decode_part`, without the dummy blank if a piece leads; a blank of a byte stays."""
         text = self.decode_part(ids)
-        return text[1:] if text.startswith(" ") else text
+        first = next((i for i in ids if i not in self.t.controls), None)
+        led = first is not None and first not in self.is_byte and first not in self.t.unknown and self.t.names[first].startswith(SPACE)
+        return text[1:] if led else text
 
 
 def _utf8(run: bytearray) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize
+from ledgerlake.llm.common import chunks, fresh, has_columns, map_batches, materialize
 from ledgerlake.llm.components import connected_components
 
 BITS = 64
@@ -127,7 +127,7 @@ def keep_first_of_groups(df: DataFrame, text: str = "text", id_column: str = "do
     """The rows of ``df`` that have the smallest id of their component, with the columns of ``df``; one row for each component.
 
     Of repeated rows with that id (or of rows without any id, if the component has no other) one stays. Texts are shuffled once, to
-    meet the kept ids.
+    meet the kept ids. Other columns may have any name.
     """
     prints = materialize(fingerprints(df, text, id_column), "simhash")
     classes = _first_of_fingerprints(prints, distance, id_column)
@@ -138,7 +138,8 @@ def keep_first_of_groups(df: DataFrame, text: str = "text", id_column: str = "do
     rows = prints.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_all"))
     alone = materialize(once.join(rows, "_id").where("_all = 1").select("_id"), "kept-ids")
     # texts move once at every size: the kept ids grow with the documents and are never broadcast
-    plain = df.join(alone.hint("merge"), F.col(f"`{id_column}`") == F.col("_id"), "left_semi")
+    own = fresh(df, "_id")
+    plain = df.join(alone.withColumnRenamed("_id", own).hint("merge"), F.col(f"`{id_column}`") == F.col(own), "left_semi")
     # the rest: ids that several rows carry, and rows without an id; these few are told apart by their fingerprint
     rest = materialize(kept.join(alone, kept["_id"].eqNullSafe(alone["_id"]), "left_anti").select("_id", "component_fp"), "kept-repeated")
     if rest.isEmpty():
@@ -146,7 +147,7 @@ def keep_first_of_groups(df: DataFrame, text: str = "text", id_column: str = "do
     members = classes.select("fp", "component_fp").join(rest, "component_fp").select("fp", "_id", "component_fp")
     members = materialize(members.withColumnsRenamed({"fp": "_fp", "component_fp": "_class"}), "kept-members")
     ids = materialize(rest.select("_id").distinct(), "repeated-ids")
-    doubtful = df.join(ids, F.col(f"`{id_column}`").eqNullSafe(F.col("_id")), "left_semi")
+    doubtful = df.join(ids.withColumnRenamed("_id", own), F.col(f"`{id_column}`").eqNullSafe(F.col(own)), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     doubtful = materialize(doubtful.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_column}`").alias("_of"), F.col(f"`{text}`").alias("_text"), row.alias("_value")), "repeated-rows")
     told = fingerprints(doubtful.select("_row", "_text"), "_text", "_row")
