@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -42,12 +43,19 @@ BLOCK_BYTES = 1 << 20
 #: Words projected together.
 SEGMENT = HALF * 8192
 
-_words = re.compile(r"\w+").findall
+#: Words whose stretches are looked at together for whether any item's words are there.
+STRETCH = 256
+
 _last_sentence = re.compile(r"[^.!?]*\w[^.!?]*[.!?\s]*$")
 
 
 def words_of(text: str) -> list[str]:
-    return _words(text.lower())
+    """Runs of letters, digits and underscores, in lower case."""
+    text = text.lower()
+    for c in set(text):
+        if not (c.isalnum() or c == "_"):
+            text = text.replace(c, " ")
+    return text.split()
 
 
 def answer_of(text: str) -> str:
@@ -93,6 +101,7 @@ class Checker:
         self.masks, self.answer = word_masks(item.words), word_masks(item.answer)
         self.distinct = frozenset(item.words)
         self.n, self.n_answer = len(item.words), len(item.answer)
+        self.least = len(self.distinct) - (1 - REWORDED) * self.n - 1e-9  # distinct words that a span must have
         self.alone = REWORDED if self.n >= LONG_ITEM and not item.told else SAME
 
     def accepts(self, share: float, answered: bool) -> bool:
@@ -101,7 +110,7 @@ class Checker:
     def check(self, words: list[str], start: int, end: int) -> tuple[float, bool]:
         """Best share in common order of a span a little longer than the item around ``[start, end)``, and whether the answer is there."""
         low, high = max(0, start - self.n), min(len(words), end + self.n)
-        if len(self.distinct.intersection(words[low:high])) < len(self.distinct) - (1 - REWORDED) * self.n - 1e-9:
+        if len(self.distinct.intersection(words[low:high])) < self.least:
             return 0.0, False
         width, best, at = self.n + self.n // 4 + 1, 0, low
         for i in range(low, max(low + 1, high - width + max(1, self.n // 8)), max(1, self.n // 8)):
@@ -192,11 +201,11 @@ def _weights(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         known = shared.value
-        keys, counts = known.keys(), np.zeros(len(known) + 1)
+        keys, counts = frozenset(known), np.zeros(len(known) + 1)
         for _, texts in chunks(batches, "text"):
             found: list[int] = []
             for text in texts:
-                found.extend(map(known.__getitem__, keys & set(words_of(text))))
+                found.extend(map(known.__getitem__, keys.intersection(words_of(text))))
             counts += np.bincount(np.array(found, dtype=np.int64), minlength=len(known) + 1)
             counts[-1] += len(texts)
         return counts
@@ -299,10 +308,25 @@ class Finder:
         self.space = space
         self.checkers = [Checker(i) for i in space.items]
         self.widths = sorted({min(GRAM, c.n) for c in self.checkers})
+        self.least = np.array([c.least for c in self.checkers])
+        self.reach = 2 * HALF + 2 * max(c.n for c in self.checkers)  # what a check looks at, at most
+        holds = [(space.vocabulary[w], n) for n, c in enumerate(self.checkers) for w in c.distinct]
+        word, item = np.array(sorted(holds), dtype=np.int64).T
+        self.item_of = item
+        self.first = np.searchsorted(word, np.arange(len(space.vocabulary) + 1))
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        get = self.space.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        """Ids of the words, -1 for words of no item and for stretches that hold too few words of every item to pass its check."""
+        ids = np.fromiter(map(self.space.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        kept = np.full(len(ids), -1, dtype=np.int64)
+        for start in range(0, len(ids), STRETCH):
+            some = ids[start : start + STRETCH + self.reach]
+            found = np.unique(some[some >= 0])
+            size = self.first[found + 1] - self.first[found]
+            flat = np.arange(size.sum()) + np.repeat(self.first[found] - (np.cumsum(size) - size), size)
+            if (np.bincount(self.item_of[flat], minlength=len(self.least)) >= self.least).any():
+                kept[start : start + STRETCH + self.reach] = some
+        return kept
 
     def _halves(self, ids: np.ndarray, part: Part) -> np.ndarray:
         """Sum of the vectors of each run of ``HALF`` words; words that are not of the part add nothing."""
@@ -344,18 +368,19 @@ class Finder:
         counts = np.array([max(1, len(h) - 1) if len(h) else 0 for h in halves])
         text_of = np.repeat(np.arange(len(lists)), counts)
         first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        for i in range(0, len(windows), 4096):
-            block = windows[i : i + 4096]
-            block = block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
-            cosine = block @ part.passages.T
+        size = np.linalg.norm(windows, axis=1)
+        filled = np.flatnonzero(size > 0)
+        for i in range(0, len(filled), 4096):
+            at = filled[i : i + 4096]
+            cosine = (windows[at] / np.maximum(size[at, None], 1e-9)) @ part.passages.T
             done = set()
             for row, passage in zip(*(a.tolist() for a in np.nonzero(cosine >= NEAR))):
                 item = int(part.owner[passage])
                 if (row, item) in done:
                     continue
                 done.add((row, item))
-                t = int(text_of[i + row])
-                start = (i + row - int(first[t])) * HALF
+                t = int(text_of[at[row]])
+                start = (int(at[row]) - int(first[t])) * HALF
                 self._check(out, t, item, lists[t], start, start + 2 * HALF, float(cosine[row, passage]))
 
     def _by_runs(self, t: int, words: list[str], ids: np.ndarray, out: list[dict[int, tuple[float, float, bool]]]) -> None:
