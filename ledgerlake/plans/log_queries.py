@@ -311,6 +311,7 @@ def _run_events(log: DataFrame) -> DataFrame:
         F.when(F.col("value") < 20, "failed").otherwise("success").alias("status"),
         F.concat(F.lit("f_"), F.col("event_id")).alias("filepath"),
         F.get_json_object("props", "$.k").cast("int").alias("file_count"),
+        F.col("ts").alias("time"),
     )
 
 
@@ -338,11 +339,15 @@ def l7_run_progress(t: Tables) -> DataFrame:
 
 @query("L7", PROGRESS_SQL)
 def l7_run_progress_stream(t: Tables) -> DataFrame:
-    """The same counters, kept by a stream over the event table."""
+    """The same counters, kept by a stream over the event table that is stopped and started again; silent runs leave its state."""
     spark = t.spark
-    log = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    output, checkpoint = scratch_path(spark, "progress"), scratch_path(spark, "progress-state")
-    progress.start_progress(progress.progress_stream(_run_events(log)), output, checkpoint, once=True).awaitTermination()
+    folder, output, checkpoint = (scratch_path(spark, part) for part in ("run-events", "progress", "progress-state"))
+    middle = t.events.agg(F.expr("timestampadd(SECOND, timestampdiff(SECOND, min(ts), max(ts)) div 2, min(ts))")).scalar()
+    for part in (t.events.where(F.col("ts") < middle), t.events.where(F.col("ts") >= middle)):
+        part.write.mode("append").parquet(folder)
+        log = spark.readStream.schema(t.events.schema).parquet(folder)
+        changes = progress.progress_stream(_run_events(log), silence_minutes=6 * 60)
+        progress.start_progress(changes, output, checkpoint, once=True).awaitTermination()
     return progress.current_progress(spark, output)
 
 

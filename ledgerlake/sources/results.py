@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ledgerlake import schemas
 from ledgerlake.operators import eventlog
+from ledgerlake.sources.versions import VersionedTable
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,10 @@ def load_result(spark: SparkSession, folder: str, result_id: str) -> DataFrame:
 def record_sql(
     spark: SparkSession, text: str, history: str, results: str, args: dict[str, Any] | None = None
 ) -> SqlResult:
-    """Run SQL, store its rows, and append a history entry. Rows are counted while they are written."""
+    """Run SQL, store its rows, and append a history entry. Rows are counted while they are written.
+
+    The history is a versioned table, which compacts itself; several sessions may write to it at once.
+    """
     start = time.monotonic()
     executed_at = datetime.now(timezone.utc)
     result_id = str(uuid.uuid4())
@@ -97,35 +101,36 @@ def record_sql(
     entry = (
         result_id, text, executed_at, result.duration_ms, result.success, result.error_message, count, stored,
     )
-    spark.createDataFrame([entry], schemas.QUERY_HISTORY).write.mode("append").parquet(history)
+    VersionedTable(spark, history).append(spark.createDataFrame([entry], schemas.QUERY_HISTORY).coalesce(1))
     return result
 
 
+def entries(spark: SparkSession, history: str) -> DataFrame:
+    """All entries of a history; one without any gives no rows."""
+    table = VersionedTable(spark, history)
+    return table.read() if table.latest() else spark.createDataFrame([], schemas.QUERY_HISTORY)
+
+
 def recent(spark: SparkSession, history: str, limit: int | None = None) -> DataFrame:
     """Entries newest first: all, or the first ``limit``."""
-    rows = spark.read.schema(schemas.QUERY_HISTORY).parquet(history).orderBy(F.col("executed_at").desc(), "id")
+    rows = entries(spark, history).orderBy(F.col("executed_at").desc(), "id")
     return rows if limit is None else rows.limit(limit)
 
 
-def compact(spark: SparkSession, history: str, compacted: str) -> None:
-    """Write the history, which grows by a file for each statement, to another folder in as few files as its size asks for."""
-    rows = spark.read.schema(schemas.QUERY_HISTORY).parquet(history)
-    rows.hint("rebalance").write.parquet(compacted)
-
-
-def prune(spark: SparkSession, history: str, pruned: str, as_of: Column, months: int) -> DataFrame:
-    """Write the history without entries older than some months to ``pruned``; gives the entries left out, whose stored
-    results can then be removed."""
-    entries = spark.read.schema(schemas.QUERY_HISTORY).parquet(history)
-    eventlog.retained(entries, as_of, months).write.parquet(pruned)
-    return eventlog.dropped(entries, as_of, months)
+def prune(spark: SparkSession, history: str, as_of: Column, months: int) -> DataFrame:
+    """Commit the history without entries older than some months; gives the entries left out, whose stored results can then be
+    removed. Entries that others append meanwhile stay."""
+    before = entries(spark, history)
+    if VersionedTable(spark, history).latest():
+        VersionedTable(spark, history).update(lambda rows: eventlog.retained(rows, as_of, months), "prune", tries=10)
+    return eventlog.dropped(before, as_of, months)
 
 
 def history_stats(spark: SparkSession, history: str, results: str) -> DataFrame:
     """Number of history entries and stored bytes; file sizes come from the listing, contents are not read."""
-    entries = spark.read.schema(schemas.QUERY_HISTORY).parquet(history).agg(F.count(F.lit(1)).alias("entry_count"))
+    counted = entries(spark, history).agg(F.count(F.lit(1)).alias("entry_count"))
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(results)
     )
     size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-    return entries.select("entry_count", size.scalar().alias("results_size"))
+    return counted.select("entry_count", size.scalar().alias("results_size"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import cells, day
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlake import schemas, session
 from ledgerlake.operators import eventlog, metadata, teardown
 from ledgerlake.sources import logs, results, seeds
+from ledgerlake.sources.versions import VersionedTable
 from ledgerlake.streaming import progress, tail
 
 
@@ -66,14 +68,51 @@ def test_progress(rows):
     assert cells(eventlog.run_progress(rows(RUN_DDL, *RUN))) == PROGRESS
 
 
-def test_progress_stream_over_several_batches(spark, tmp_path):
+def _timed(rows, minutes):
+    return [(*r, datetime(2024, 1, 1) + timedelta(minutes=m)) for r, m in zip(rows, minutes)]
+
+
+def _run_parts(spark, tmp_path, parts, **settings):
+    """Each part arrives as a file and the stream is started anew for it."""
     folder, output, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for part in (RUN[:4], RUN[4:7], RUN[7:8], RUN[8:]):
-        spark.createDataFrame(part, RUN_DDL).coalesce(1).write.mode("append").parquet(folder)
-        log = spark.readStream.schema(RUN_DDL).parquet(folder)
-        progress.start_progress(progress.progress_stream(log), output, state, once=True).awaitTermination()
-    assert cells(progress.current_progress(spark, output)) == PROGRESS
-    assert spark.read.parquet(output).select("slot").distinct().count() == 2  # bounded, however many batches
+    table = VersionedTable(spark, output)
+    for part in parts:
+        spark.createDataFrame(part, RUN_DDL + ", time timestamp").coalesce(1).write.mode("append").parquet(folder)
+        log = spark.readStream.schema(RUN_DDL + ", time timestamp").parquet(folder)
+        progress.start_progress(progress.progress_stream(log, silence_minutes=60), output, state, once=True, **settings).awaitTermination()
+    return table
+
+
+def test_progress_stream_over_several_batches(spark, tmp_path):
+    events = _timed(RUN, range(len(RUN)))
+    table = _run_parts(spark, tmp_path, (events[:4], events[4:7], events[7:8], events[8:]))
+    assert cells(progress.current_progress(spark, table.path)) == PROGRESS
+    # what a batch did not change is not written again: a row for each run and batch
+    assert table.read().count() == sum(len({r[0] for r in part}) for part in (RUN[:4], RUN[4:7], RUN[7:8], RUN[8:]))
+
+
+def test_finished_and_silent_runs_leave_the_state(spark, tmp_path):
+    start = (1, 1, "build:start", None, None, 2)
+    done = (1, 3, "build:complete", "success", None, None)
+    parts = [
+        _timed([start, (2, 1, "file:skip", None, "a", None)], [0, 1]),
+        _timed([(1, 2, "file:after", "success", "a", None), done], [5, 6]),
+        _timed([(3, 1, "file:skip", None, "a", None)], [500]),  # time goes on: 1 has finished, 2 is silent
+        _timed([(2, 2, "file:after", "failed", "b", None), (3, 2, "file:skip", None, "b", None)], [501, 502]),  # 2 goes on after all
+        _timed([(4, 1, "file:skip", None, "a", None)], [5000]),
+    ]
+    table = _run_parts(spark, tmp_path, parts)
+    closed = cells(table.read().where("closed"), "run_id", "first", "changes", "files_run", "files_skipped", "files_failed", "phase")
+    assert closed == [(1, 1, 3, 1, 0, 0, "complete"), (2, 1, 2, 0, 1, 0, None), (2, 2, 2, 0, 0, 1, None), (3, 1, 3, 0, 2, 0, None)]
+    got = cells(progress.current_progress(spark, table.path), "run_id", "files_run", "files_skipped", "files_failed", "phase", "status")
+    assert got == [(1, 1, 0, 0, "complete", "success"), (2, 0, 1, 1, "idle", None), (3, 0, 2, 0, "idle", None), (4, 0, 1, 0, "idle", None)]
+
+
+def test_progress_is_compacted(spark, tmp_path):
+    events = _timed(RUN, range(len(RUN)))
+    table = _run_parts(spark, tmp_path, [events[i : i + 2] for i in range(0, len(events), 2)], most_folders=2)
+    assert cells(progress.current_progress(spark, table.path)) == PROGRESS
+    assert len(table.latest().folders) <= 2 and "compact" in {v.operation for v in table.versions()}
 
 
 def test_live_tail(spark, tmp_path):
@@ -138,10 +177,11 @@ def test_results_and_history(spark, rows, tmp_path):
     assert (first.row_count, first.success) == (2, True) and cells(spark.read.json(f"{first.results_path}/rows"), "a") == [(1,), (2,)]
     stats = results.history_stats(spark, history, folder).first()
     assert stats.entry_count == 3 and stats.results_size > 0
-    gone = results.prune(spark, history, str(tmp_path / "pruned"), F.current_timestamp() + F.expr("INTERVAL 40 DAYS"), 1)
-    assert gone.count() == 3 and results.recent(spark, str(tmp_path / "pruned")).count() == 0
-    results.compact(spark, history, str(tmp_path / "compacted"))
-    assert results.recent(spark, str(tmp_path / "compacted"), 2).count() == 2
+    assert len(VersionedTable(spark, history).latest().folders) == 3 and results.recent(spark, history, 2).count() == 2
+    assert results.prune(spark, history, F.current_timestamp(), 1).count() == 0
+    gone = results.prune(spark, history, F.current_timestamp() + F.expr("INTERVAL 40 DAYS"), 1)
+    assert gone.count() == 3 and results.recent(spark, history).count() == 0
+    assert results.prune(spark, str(tmp_path / "none"), F.current_timestamp(), 1).count() == 0
     late = results.run_sql(spark, "SELECT raise_error('late') FROM numbers")
     assert not late.success and "late" in late.error_message and late.duration_ms > 0
     assert results.run_sql(spark, "SELECT * FROM numbers").row_count == 2
