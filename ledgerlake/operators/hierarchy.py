@@ -3,6 +3,9 @@
 Each round replaces a row's pointer by its pointer's pointer, so a chain of length n takes log2(n) joins where a
 level-by-level recursion takes n. Rows that are done leave the probing side. A row in, or below, a circle is never
 done; after log2(rows) + 1 rounds only such rows are left.
+
+Subtrees are ranges of a numbering, parents before their children: a row lies below another if its number lies in the other's range.
+So the closure, whose size may be quadratic, is never written.
 """
 
 from __future__ import annotations
@@ -13,7 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.guards import one_per_key
-from ledgerlake.session import materialize_counted
+from ledgerlake.operators.ranking import running_totals
+from ledgerlake.session import materialize, materialize_counted
+
+#: Stretches of the numbering in which ranges and rows meet.
+STRETCHES = 1024
 
 
 def _links(nodes: DataFrame, key: str, parent: str) -> DataFrame:
@@ -69,6 +76,62 @@ def mark_descendants(nodes: DataFrame, key: str, parent: str, seeds: DataFrame)
     return done.where("hit").select(F.col("id").alias(key))
 
 
+def subtree_ranges(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """``key, root, depth, first, last``: a row's number in the forest and the last number below it.
+
+    Numbers count from 0; a parent comes right before its children, roots and siblings in the order of their keys. A row whose parent does
+    not exist is a root. A row in, or below, a circle has null for all but its key. Sizes of subtrees and sums along paths take log2(depth)
+    rounds each; sums over siblings hold for a parent with any number of children.
+    """
+    placed = materialize(roots_and_depths(nodes, key, parent).withColumnRenamed(key, "id"), "forest")
+    reached = placed.where(F.col("root").isNotNull())
+    links = materialize(_links(nodes, key, parent).join(reached.select("id"), "id", "left_semi").select("id", "up"), "forest-links")
+    rounds = int(reached.agg(F.max("depth")).first()[0] or 0).bit_length()
+
+    sizes = links.select("id", F.col("up").alias("jump"), F.lit(1).cast("bigint").alias("size"))
+    for _ in range(rounds):  # size: rows below at a distance of less than 2 ** round; jump: the ancestor at that distance
+        sent = sizes.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
+        moved = _jumped(sizes, "size", F.col("size")).join(sent, "id", "left")
+        sizes = materialize(moved.select("id", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "subtree-sizes")
+    sized = links.join(sizes.select("id", "size"), "id")
+
+    before = running_totals(sized, "size", ["id"], within=["up"], name="before")
+    own = F.col("before") + F.when(F.col("up").isNull(), 0).otherwise(1)
+    steps = materialize(before.select("id", F.col("up").alias("jump"), own.cast("bigint").alias("first"), "size"), "sibling-steps")
+    paths = steps.select("id", "jump", "first")
+    for _ in range(rounds):
+        paths = materialize(_jumped(paths, "first", F.col("first") + F.col("above")), "path-sums")
+
+    numbered = paths.select("id", "first").join(steps.select("id", "size"), "id")
+    ranges = numbered.select("id", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+    return placed.join(ranges, "id", "left").select(F.col("id").alias(key), "root", "depth", "first", "last")
+
+
+def _jumped(state: DataFrame, value: str, combined: Column) -> DataFrame:
+    """``id, jump, value`` after one doubling; ``combined`` may use ``above``, the value of the row jumped to."""
+    onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col(value).alias("above"))
+    waiting = state.where(F.col("jump").isNotNull()).join(onward, "jump")
+    return state.where(F.col("jump").isNull()).unionByName(waiting.select("id", F.col("next").alias("jump"), combined.alias(value)))
+
+
+def descendants(ranges: DataFrame, key: str, seeds: DataFrame) -> DataFrame:
+    """``ancestor, key, distance`` of every row below a seed (first column of ``seeds``), from the result of :func:`subtree_ranges`.
+
+    Seeds and rows meet in stretches of the numbering and are compared there; a seed stands in each stretch that its range touches. Seeds that
+    are no row, or in a circle, have no rows below.
+    """
+    seed = seeds.select(F.col(seeds.columns[0]).alias("ancestor")).distinct()
+    known = ranges.where(F.col("first").isNotNull()).select(F.col(key).alias("id"), "depth", "first", "last")
+    width = F.greatest(F.ceil((known.agg(F.max("first")).scalar() + 1) / STRETCHES), F.lit(1))
+    wanted = seed.join(known, seed["ancestor"] == known["id"]).where("last > first")
+    wanted = wanted.select("ancestor", F.col("depth").alias("from"), F.col("first").alias("low"), "last", width.alias("width"))
+    touched = F.sequence(F.floor(F.col("low") / F.col("width")), F.floor(F.col("last") / F.col("width")))
+    wanted = wanted.withColumn("stretch", F.explode(touched)).drop("width")
+    rows = known.select("id", "depth", "first", F.floor(F.col("first") / width).alias("stretch"))
+    met = rows.join(wanted, "stretch").where("first > low AND first <= last")
+    return met.select("ancestor", F.col("id").alias(key), (F.col("depth") - F.col("from")).alias("distance"))
+
+
 def _split(state: DataFrame, settled: Column) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """Settled and waiting rows, written and counted in one job; settled rows are not written again in later rounds."""
     written, seen = materialize_counted(state, "closure", rows=F.count(F.lit(1)), waiting=F.count_if(~settled))

@@ -16,9 +16,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ledgerlake.operators.guards import one_per_key
+from ledgerlake.operators.ranking import range_count
 from ledgerlake.operators.skew import join_aggregated
 
 RESET_NAME = "__reset__"
+#: Hashes of a text that is digested: 512 KB. A power of two.
+PACKED = 8192
 
 
 def _none(column: str) -> Column:
@@ -281,13 +284,17 @@ def file_status_summary(decisions: DataFrame) -> DataFrame:
 def combined_checksum(members: DataFrame, keys: Sequence[str], checksum: str = "checksum") -> DataFrame:
     """Fingerprint of each group: SHA-256 over its sorted member hashes, joined without separator; nulls are left out.
 
-    Every group, of any size and with any nulls in its keys, goes one way: Spark sorts the hashes, spilling to disk where it must,
-    and they are digested as a stream, one Arrow batch in memory. SHA-256 is sequential, so that a group's hashes (64 bytes each, no
-    other column) end in one task cannot be avoided.
+    Every group, of any size and with any nulls in its keys, goes one way: ranges of (key, hash) are sorted by as many tasks as the
+    hashes ask for and joined to texts of at most ``PACKED`` hashes. SHA-256 is sequential, so one task digests a group; it reads those
+    texts in order, as a stream, and sorts no hash.
     """
-    rows = members.select(*keys, F.col(checksum).alias("__h")).repartition(*keys).sortWithinPartitions(*keys, "__h")
+    rows = members.select(*keys, F.col(checksum).alias("__h"))
+    ordered = rows.repartitionByRange(range_count(rows), *keys, "__h").sortWithinPartitions(*keys, "__h")
+    blocks = ordered.withColumn("__block", F.shiftright(F.monotonically_increasing_id(), PACKED.bit_length() - 1))
+    packed = blocks.groupBy(*keys, "__block").agg(F.array_join(F.sort_array(F.collect_list("__h")), "").alias("__h"))
+    stream = packed.repartition(*keys).sortWithinPartitions(*keys, "__block").select(*keys, "__h")
     schema = members.select(*keys, F.lit("").alias("checksum")).schema
-    return rows.mapInArrow(_stream_hash(len(keys), schema), schema)
+    return stream.mapInArrow(_stream_hash(len(keys), schema), schema)
 
 
 def _stream_hash(width: int, schema: StructType):

@@ -20,6 +20,8 @@ from ledgerlake.session import materialize
 
 #: About as many bytes of input make one range.
 RANGE_BYTES = 128 << 20
+#: Pages that end by this row are found by a bounded top-n.
+NEAR_ROWS = 10_000
 #: Epoch seconds and milliseconds from 2001 to 2033: whole numbers that may be dates.
 EPOCH_RANGES = ((1e9, 2e9), (1e12, 2e12))
 DATE_TEXT = r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
@@ -32,7 +34,7 @@ DATE_NAMES = [
 ID_NAMES = ["^id$", "^_id$", "[_-]id$"]
 
 
-def _ranges(df: DataFrame) -> int:
+def range_count(df: DataFrame) -> int:
     """Number of ranges from the estimated size of the input, at least the session's number of shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -55,7 +57,7 @@ def number_rows(
     """
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     keys = [*[F.col(c).asc() for c in within], *direction]
-    ordered = df.repartitionByRange(ranges or _ranges(df), *keys).sortWithinPartitions(*keys)
+    ordered = df.repartitionByRange(ranges or range_count(df), *keys).sortWithinPartitions(*keys)
     written = materialize(ordered.withColumn("__place", F.monotonically_increasing_id()), "ranges")
     # the upper bits of a place are its range, the lower ones count from 0
     placed = written.withColumns({"__range": F.shiftright("__place", 33), "__at": F.col("__place").bitwiseAND((1 << 33) - 1)})
@@ -74,6 +76,24 @@ def number_rows(
     return numbered.select(*columns, (F.col("__base") + F.col("__at") + 1).alias(name))
 
 
+def running_totals(df: DataFrame, value: str, order: Sequence[str], within: Sequence[str] = (), name: str = "before", ranges: int | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over the rows that come earlier in their group, without a task that holds a whole group.
+
+    ``order`` must end in a column that is unique in the group. A range of the sort order is summed by itself; the sums of a group's earlier
+    ranges, one number for each group and range, are added.
+    """
+    keys = [F.col(c).asc() for c in (*within, *order)]
+    ordered = df.repartitionByRange(ranges or range_count(df), *keys).withColumn("__range", F.spark_partition_id())
+    placed = materialize(ordered.withColumn("__group", F.struct(F.lit(0).alias("__all"), *[F.col(c) for c in within])), "totals")
+    sums = placed.groupBy("__group", "__range").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("__group", "__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__group", "__range").orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return summed.join(bases, ["__group", "__range"]).select(*columns, (F.col("__base") + F.col("__inside")).alias(name))
+
+
 def column_order(column: str, descending: bool = False) -> Column:
     """Nulls last ascending, nulls first descending."""
     return F.col(column).desc_nulls_first() if descending else F.col(column).asc_nulls_last()
@@ -92,8 +112,11 @@ def top_n(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
 def page(df: DataFrame, order: Sequence[str], offset: int, size: int, descending: bool = False) -> DataFrame:
     """Rows ``offset+1 … offset+size`` of the sort order, which must end in a unique column, in that order.
 
-    Every depth goes one way: the sort columns alone are numbered, and the page's keys are joined with the rows they stand for.
+    Near pages are a bounded top-n: every task keeps the first ``offset + size`` rows. For pages behind ``NEAR_ROWS`` the sort columns alone are
+    numbered, and the page's keys are joined with the rows they stand for. To page on and on, keep the order (:mod:`.kept`).
     """
+    if offset + size <= NEAR_ROWS:
+        return df.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order]).offset(offset).limit(size)
     numbered = number_rows(df.select(*order), order, descending=descending, name="__rn")
     wanted = numbered.where(F.col("__rn").between(offset + 1, offset + size)).select(F.struct(*order).alias("__key"), "__rn")
     rows = df.withColumn("__key", F.struct(*order)).join(wanted, "__key")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import scalar
-from ledgerlake.operators import hierarchy, ranking, relational
+from ledgerlake.operators import hierarchy, kept, ranking, relational
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.plans.roles import with_todo
-from ledgerlake.session import materialize
+from ledgerlake.session import materialize, scratch_path
 
 # --- projection and filter -------------------------------------------------------------------------------------------
 
@@ -174,6 +176,41 @@ def u3_hierarchy_closure(t: Tables) -> DataFrame:
     return hierarchy.roots_and_depths(_tree(t), "id", "manager")
 
 
+FOREST_SQL = f"""
+WITH RECURSIVE {TREE_SQL},
+walk AS (
+  SELECT id, id AS root, CAST(0 AS BIGINT) AS depth, [id] AS path FROM tree WHERE manager IS NULL
+  UNION ALL
+  SELECT t.id, w.root, w.depth + 1, list_append(w.path, t.id) FROM tree t JOIN walk w ON t.manager = w.id)
+"""
+
+
+@query(
+    "U3",
+    FOREST_SQL
+    + """
+SELECT id, root, depth, first, first + size - 1 AS last
+FROM (SELECT id, root, depth, row_number() OVER (ORDER BY path) - 1 AS first FROM walk)
+JOIN (SELECT above AS id, count(*) AS size FROM (SELECT unnest(path) AS above FROM walk) GROUP BY above) USING (id)""",
+)
+def u3_subtree_ranges(t: Tables) -> DataFrame:
+    return hierarchy.subtree_ranges(_tree(t), "id", "manager")
+
+
+@query(
+    "U3",
+    FOREST_SQL
+    + """
+SELECT above AS ancestor, id, depth - (len_above - 1) AS distance
+FROM (SELECT id, depth, unnest(path) AS above, generate_subscripts(path, 1) AS len_above FROM walk)
+WHERE above % 20 = 0 AND above <> id""",
+)
+def u3_descendants(t: Tables) -> DataFrame:
+    """Everyone below every twentieth manager."""
+    ranges = hierarchy.subtree_ranges(_tree(t), "id", "manager")
+    return hierarchy.descendants(ranges, "id", t.customer.where("c_custkey % 20 = 0").select("c_custkey"))
+
+
 # --- aggregation -----------------------------------------------------------------------------------------------------
 
 COUNTS_SQL = """
@@ -332,6 +369,25 @@ def o3_deep_page(t: Tables) -> DataFrame:
     return ranking.page(rows, order, rows.count() * 2 // 3, 40).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@query(
+    "O3",
+    """
+WITH numbered AS (
+  SELECT l_orderkey, l_linenumber, l_extendedprice, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem)
+SELECT CASE WHEN place <= 40 THEN 'first' WHEN place <= n // 2 + 40 THEN 'middle' ELSE 'next' END AS page, l_orderkey, l_linenumber, l_extendedprice
+FROM numbered WHERE place <= 40 OR place BETWEEN n // 2 + 1 AND n // 2 + 80""",
+)
+def o3_kept_pages(t: Tables) -> DataFrame:
+    """Pages of a kept order: the first, one in the middle, and the one after that."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = kept.keep_order(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], scratch_path(t.spark, "order"))
+    middle = order.rows // 2
+    pages = {"first": order.page(0, 40), "middle": order.page(middle, 40), "next": order.page(middle + 40, 40)}
+    picked = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    return reduce(DataFrame.unionByName, [page.select(F.lit(name).alias("page"), *picked) for name, page in pages.items()])
+
+
 @query("O4", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC NULLS FIRST")
 def o4_auto_sorted(t: Tables) -> DataFrame:
     return ranking.auto_sort(t.events.select("event_id", "ts", "event_type"))
