@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ledgerlake.operators import corpus
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.plans.roles import with_todo
-from ledgerlake.session import scratch_path
+from ledgerlake.session import materialize, scratch_path
 from ledgerlake.sources import corpus_files, results, seeds
 
 
@@ -182,6 +183,54 @@ def d2_table_function(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT id, title, position FROM lists_of_user(11) ORDER BY position")
 
 
+def _procedure_lists(t: Tables) -> DataFrame:
+    return roles.lists(t).select("id", "user_id", "title", "color", F.col("position").cast("int").alias("position"), "updated_at", "deleted_at")
+
+
+@query(
+    "D3 A10",
+    with_todo(f"""
+, chosen AS (SELECT min(l.user_id) AS user_id FROM lists l JOIN users u ON u.id = l.user_id AND u.deleted_at IS NULL WHERE l.deleted_at IS NULL)
+, own AS (SELECT l.* FROM lists l JOIN chosen USING (user_id) WHERE l.deleted_at IS NULL)
+SELECT id, title, color, CAST(position AS INTEGER) AS position FROM own WHERE id <> (SELECT min(id) FROM own)
+UNION ALL SELECT -1, 'Renamed', '#00FF00', CAST(max(position) + 1 AS INTEGER) FROM own"""),
+)
+def d3_create_list(t: Tables) -> DataFrame:
+    """Procedures that write: a list is made at the next position and renamed, the user's first list is deleted; then a query."""
+    spark = t.spark
+    roles.users(t).createOrReplaceTempView("users")
+    lists = _procedure_lists(t)
+    active = lists.where("deleted_at IS NULL").join(roles.users(t).where("deleted_at IS NULL").select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    user = active.agg(F.min("user_id")).first()[0]
+    first = active.where(F.col("user_id") == user).agg(F.min("id")).first()[0]
+    at = datetime.fromisoformat(roles.AS_OF)
+    with routines.changed_table(lists, "todo_lists", "id", scratch_path(spark, "todo-lists")) as tables:
+        routines.call(spark, "create_todo_list", tables, id=-1, user=user, title="New", color="#00FF00", as_of=at)
+        routines.call(spark, "update_todo_list", tables, id=-1, title="Renamed", color=None, as_of=at)
+        routines.call(spark, "delete_todo_list", tables, id=first, as_of=at)
+        made = routines.call(spark, "get_todo_lists_by_user", tables, user=user).drop("updated_at")
+        return materialize(made, "lists-of-user")
+
+
+@query(
+    "D3 M1",
+    with_todo("""
+, incoming AS (SELECT -event_id - 1 AS id, user_id, 'New ' || event_id AS title FROM events WHERE event_type = 'signup')
+SELECT i.id, i.user_id, i.title, CAST(coalesce(b.base, 0) + row_number() OVER (PARTITION BY i.user_id ORDER BY i.id) - 1 AS INTEGER) AS position
+FROM incoming i JOIN users u ON u.id = i.user_id AND u.deleted_at IS NULL
+LEFT JOIN (SELECT user_id, max(position) + 1 AS base FROM lists WHERE deleted_at IS NULL GROUP BY user_id) b ON b.user_id = i.user_id"""),
+)
+def d3_import_lists(t: Tables) -> DataFrame:
+    """A procedure over sets: every new list gets its place, or none is made."""
+    spark = t.spark
+    roles.users(t).createOrReplaceTempView("users")
+    text = F.concat(F.lit("New "), F.col("event_id"))
+    t.events.where("event_type = 'signup'").select((-F.col("event_id") - 1).alias("id"), "user_id", text.alias("title"), F.lit(None).cast("string").alias("color")).createOrReplaceTempView("incoming")
+    with routines.changed_table(_procedure_lists(t), "todo_lists", "id", scratch_path(spark, "todo-lists")) as tables:
+        routines.call(spark, "import_todo_lists", tables, as_of=datetime.fromisoformat(roles.AS_OF))
+        return materialize(spark.table("todo_lists").where("id < 0").select("id", "user_id", "title", "position"), "imported")
+
+
 @query("D3", with_todo("SELECT id, username FROM users WHERE nation_id = 3 AND deleted_at IS NULL"))
 def d3_query_procedure(t: Tables) -> DataFrame:
     roles.users(t).createOrReplaceTempView("users")
