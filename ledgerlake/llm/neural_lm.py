@@ -2,12 +2,14 @@
 
 The words before a token, as vectors, are mapped by one matrix per position and added; the sum's products with the vectors of all
 outputs, plus their biases, are normalised over all outputs. Outputs are the end token, the commonest words and classes of word
-shapes. A rarer word is its class times its discounted share in the class, and a class keeps the share of its discounts for words never
-seen, so the probabilities of all known words and of one unknown word per class add up to one.
+shapes. A rarer word is its class times its discounted share in the class. The discounts of a class are shared alike by the words of the
+class that were never seen, whose number is estimated from the words seen once and twice; so the probabilities of all known words and
+of that many unknown ones add up to one.
 
 Counts are of the whole training corpus and live in a table; only the commonest words, the class totals and the parameters pass
-through the driver, all of bounded size. Training passes once over all training documents: every task trains on its rows from the
-same start, and the tasks' parameters are averaged by their tokens, round after round.
+through the driver, all of bounded size. Texts are written once as the numbers of their outputs; training and scoring read those. Training
+passes once over all training documents: every task trains on its rows from the same start, and the tasks' parameters are
+averaged by their tokens, round after round. The normalisers of all contexts are computed once, in tasks, and broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize, sum_arrays
+from ledgerlake.llm.common import chunks, has_columns, map_batches, materialize, slices, sum_arrays
 from ledgerlake.llm.language import held_out
 
 #: The end of a text. No word contains white space.
@@ -37,7 +40,7 @@ CLASSES = ENDINGS * SUFFIXES
 #: Words whose counts are broadcast: about 10 MB. All others are counted in and looked up from a table.
 HEAD_WORDS = 60_000
 DISCOUNT = 0.75
-NOISE = 64
+NOISE = 32
 BATCH = 2048
 ROUNDS = 2
 RATE = 0.1
@@ -45,6 +48,8 @@ RATE = 0.1
 MOST_WORDS = 200_000
 #: Rarer words whose class a task keeps.
 MOST_RARE = 100_000
+#: Tokens whose windows are built together.
+CODED_TOGETHER = 400_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -69,6 +74,7 @@ class Vocabulary:
     outputs: int  # END, own words, then classes
     counts: np.ndarray  # training tokens of each output
     distinct: np.ndarray  # training words of each output
+    unseen: np.ndarray  # estimated number of words of each output that training does not have
     tokens: int
     words: int
 
@@ -120,7 +126,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     shared = counts.sparkSession.sparkContext.broadcast(outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, distinct = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        tokens, distinct, once, twice = np.zeros((4, size), dtype=np.int64)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 word = word.encode("utf-8")
@@ -128,14 +134,21 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
                 at = size - CLASSES + shape_class(word) if at is None else at
                 tokens[at] += n
                 distinct[at] += 1
+                once[at] += n == 1
+                twice[at] += n == 2
         at = np.flatnonzero(distinct)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(tokens[at]), pa.array(distinct[at])], names=["o", "n", "d"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(v[at]) for v in (tokens, distinct, once, twice))], names=["o", "n", "d", "f1", "f2"])
 
-    totals = map_batches(counts, run, "o int, n long, d long").groupBy("o").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()
-    n, d = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-    for row in totals:
-        n[row["o"]], d[row["o"]] = row["n"], row["d"]
-    return Vocabulary(head, size, n, d, int(n.sum()), int(d.sum()))
+    totals = map_batches(counts, run, "o int, n long, d long, f1 long, f2 long").groupBy("o").agg(*[F.sum(c).alias(c) for c in ("n", "d", "f1", "f2")])
+    n, d, f1, f2 = np.zeros((4, size), dtype=np.int64)
+    for row in totals.collect():
+        n[row["o"]], d[row["o"]], f1[row["o"]], f2[row["o"]] = row["n"], row["d"], row["f1"], row["f2"]
+    return Vocabulary(head, size, n, d, unseen_words(f1, f2), int(n.sum()), int(d.sum()))
+
+
+def unseen_words(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Chao's estimate, from the words seen once and twice, at least one."""
+    return np.maximum(once * (once - 1) / (2 * (twice + 1)), 1.0)
 
 
 class LogBilinear:
@@ -193,10 +206,13 @@ class LogBilinear:
             key = key * width + before[:, i]
         if self.normalisers is None:
             self.normalisers = np.full(width**CONTEXT, np.nan, dtype=np.float32)
+        scores = np.einsum("ij,ij->i", self.predicted(before), self.target[token]) + self.bias[token]
+        known = self.normalisers[key]
+        if not np.isnan(known).any():
+            return scores.astype(np.float64) - known
         new, first = np.unique(key[np.isnan(self.normalisers[key])], return_index=True)
         if len(new):
             self.normalisers[new] = self.log_normaliser(before[np.isnan(self.normalisers[key])][first])
-        scores = np.einsum("ij,ij->i", self.predicted(before), self.target[token]) + self.bias[token]
         return scores.astype(np.float64) - self.normalisers[key]
 
     def train(self, streams: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> int:
@@ -281,7 +297,7 @@ class _Reader:
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places (-1: not in the head) and outputs of the words and the end, and the words that are not in the head."""
         get = self.place.get
-        places = np.array([*[get(w, -1) for w in words], self.place[END]], dtype=np.int32)
+        places = np.fromiter(chain(map(get, words, repeat(-1)), (self.place[END],)), dtype=np.int32, count=len(words) + 1)
         outputs = self.output[places]
         missing = np.flatnonzero(places < 0)
         rare = [words[i] for i in missing.tolist()]
@@ -290,55 +306,14 @@ class _Reader:
         return places, outputs, rare
 
 
-def train_model(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
-    """One pass over all rows of ``text`` in ``ROUNDS`` parts; after each the tasks' parameters are averaged by tokens."""
-    context = docs.sparkSession.sparkContext
-    shares = (vocabulary.counts + 1) / (vocabulary.counts.sum() + vocabulary.outputs)
-    model = LogBilinear(vocabulary.outputs, shares)
-    shared = context.broadcast(vocabulary.__dict__)
-    for turn in range(ROUNDS):
-        start = context.broadcast(model.flat())
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> np.ndarray | None:
-            vocabulary = Vocabulary(**shared.value)
-            local, reader = LogBilinear(vocabulary.outputs, shares).load(start.value), _Reader(vocabulary)
-
-            def streams():
-                for _, texts in chunks(batches, "text"):
-                    yield _windows([reader.read(words_of(t))[1] for t in texts], vocabulary.outputs)
-
-            seen = local.train(streams(), seed=TaskContext.get().partitionId() * ROUNDS + turn)
-            return np.append(local.flat().astype(np.float64) * seen, seen) if seen else None
-
-        total = sum_arrays(docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text"), run)
-        if total is not None:
-            model.load((total[:-1] / total[-1]).astype(np.float32))
-    return model
-
+def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Of every row of ``row, id, held_out, text`` the outputs of its tokens (16 bits each), the sums that no context enters, and the words
+    that are not in the head, with their numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.__dict__)
 
-def score_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id", folds: int = 7, fold: int = 2) -> DataFrame:
-    """One row per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
-
-    ``base_score`` is the add-one unigram, ``score`` the log-bilinear model, both as log10 of the whole text with its end. Rows with a
-    null text count as empty; null and repeated ids are allowed and each row is scored alone. Without training rows both vocabularies
-    are empty. An empty table gives an empty result.
-
-    A task scores its texts with the broadcast head; its rarer words are written once, exploded and joined with the table of counts.
-    Both sides of that join come from an exchange, so Spark splits a word that fills a partition.
-    """
-    has_columns(df, id_column, text)
-    kind = df.schema[id_column].dataType.simpleString()
-    docs = df.select(F.col(f"`{id_column}`").alias("id"), held_out(id_column, folds, fold).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    training = docs.where("NOT held_out")
-    counts = materialize(count_words(training), "word-counts")
-    vocabulary = build_vocabulary(counts)
-    model = train_model(training, vocabulary)
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast((vocabulary.__dict__, model.flat(), model.noise))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields, flat, noise = shared.value
-        vocabulary = Vocabulary(**fields)
-        model, reader = LogBilinear(vocabulary.outputs, noise).load(flat), _Reader(vocabulary)
+        vocabulary = Vocabulary(**shared.value)
+        reader = _Reader(vocabulary)
         counts = np.array([n for _, n in vocabulary.head.values()], dtype=np.int64)
         in_class = reader.output >= reader.first_class
         # by place in the head, 0 for other words: known, log10 of count plus one, log10 of the share in the class
@@ -348,11 +323,10 @@ def score_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id"
         share_at[:-1][in_class] = np.log10((counts[in_class] - DISCOUNT) / vocabulary.counts[reader.output[in_class]])
         for batch, texts in chunks(batches, "text"):
             read = [reader.read(words_of(t)) for t in texts]
-            outputs = [o for _, o, _ in read]
             places = np.concatenate([p for p, _, _ in read])
-            starts = np.concatenate(([0], np.cumsum([len(o) for o in outputs])[:-1]))
-            logs = model.log_probability(*_windows(outputs, vocabulary.outputs)) / np.log(10) + share_at[places]
-            scores, base, known = (np.add.reduceat(v, starts) for v in (logs, base_at[places], known_at[places]))
+            sizes = [len(o) for _, o, _ in read]
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            known, base, share = (np.add.reduceat(v[places], starts) for v in (known_at, base_at, share_at))
             rare, times, offsets = [], [], [0]
             for _, _, words in read:
                 tally = Counter(words)
@@ -365,28 +339,113 @@ def score_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id"
             )
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array([len(o) for o in outputs], pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
+                    batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                    pa.array(share, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
+                    pa.array([o.astype("<u2").tobytes() for _, o, _ in read], pa.binary()),
                 ],
-                names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"],
+                names=["row", "id", "held_out", "n_tokens", "known", "base", "share", "rare", "outputs"],
             )
 
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, share double, rare array<struct<word: string, o: int, n: long>>, outputs binary"
+    return map_batches(docs, run, schema)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with the outputs of their texts (last column), bounded in rows and tokens; a longer text stands alone."""
+    for batch in batches:
+        lists = [np.frombuffer(b, dtype="<u2").astype(np.int32) for b in batch.column(batch.num_columns - 1).to_pylist()]
+        for start, end in slices(lists, CODED_TOGETHER):
+            yield batch.slice(start, end - start), lists[start:end]
+
+
+def train_model(coded: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
+    """One pass over all rows of ``outputs`` in ``ROUNDS`` parts; after each the tasks' parameters are averaged by tokens."""
+    context = coded.sparkSession.sparkContext
+    shares = (vocabulary.counts + 1) / (vocabulary.counts.sum() + vocabulary.outputs)
+    model = LogBilinear(vocabulary.outputs, shares)
+    size = vocabulary.outputs
+    for turn in range(ROUNDS):
+        start = context.broadcast(model.flat())
+
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> np.ndarray | None:
+            local = LogBilinear(size, shares).load(start.value)
+            streams = (_windows(lists, size) for _, lists in _coded(batches))
+            seen = local.train(streams, seed=TaskContext.get().partitionId() * ROUNDS + turn)
+            return np.append(local.flat().astype(np.float64) * seen, seen) if seen else None
+
+        total = sum_arrays(coded.where(F.pmod(F.xxhash64("outputs"), F.lit(ROUNDS)) == turn).select("outputs"), run)
+        start.destroy()
+        if total is not None:
+            model.load((total[:-1] / total[-1]).astype(np.float32))
+    return model
+
+
+def all_normalisers(spark, model: LogBilinear) -> np.ndarray:
+    """Log normalisers of all pairs of words before a token, first word by first word in tasks: 4 MB of 1,026 contexts."""
+    width = len(model.context)
+    given = spark.sparkContext.broadcast((model.flat(), model.noise))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, noise = given.value
+        model = LogBilinear(width - 1, noise).load(flat)
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                before = np.stack([np.full(width, first), np.arange(width)], axis=1)
+                row = model.log_normaliser(before).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([row], pa.binary())], names=["first", "logs"])
+
+    rows = sorted(map_batches(spark.range(0, width, 1, 12), run, "first long, logs binary").collect())
+    given.destroy()
+    return np.concatenate([np.frombuffer(r["logs"], dtype=np.float32) for r in rows])
+
+
+def score_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id", folds: int = 7, fold: int = 2) -> DataFrame:
+    """One row per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+
+    ``base_score`` is the add-one unigram, ``score`` the log-bilinear model, both as log10 of the whole text with its end. Rows with a
+    null text count as empty; null and repeated ids are allowed and each row is scored alone. Without training rows both vocabularies
+    are empty. An empty table gives an empty result.
+
+    Texts are coded once with the broadcast head; rarer words are exploded and joined with the table of counts.
+    Both sides of that join come from an exchange, so Spark splits a word that fills a partition.
+    """
+    has_columns(df, id_column, text)
+    docs = df.select(F.col(f"`{id_column}`").alias("id"), held_out(id_column, folds, fold).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    counts = materialize(count_words(docs.where("NOT held_out")), "word-counts")
+    vocabulary = build_vocabulary(counts)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word: string, o: int, n: long>>"
-    scored = materialize(map_batches(numbered, run, schema), "scored")
-    classes = [(o, int(n), int(d)) for o, n, d in zip(range(vocabulary.outputs), vocabulary.counts, vocabulary.distinct) if o >= vocabulary.outputs - CLASSES]
-    totals = F.broadcast(df.sparkSession.createDataFrame(classes, "o int, tokens long, words long"))  # CLASSES rows
-    items = scored.select("row", F.inline("rare"))
+    coded = materialize(code_texts(numbered, vocabulary), "coded")
+    model = train_model(coded.where("NOT held_out"), vocabulary)
+    shared = df.sparkSession.sparkContext.broadcast((model.flat(), model.noise, all_normalisers(df.sparkSession, model)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, noise, normalisers = shared.value
+        model = LogBilinear(len(noise), noise).load(flat)
+        model.normalisers = normalisers
+        for batch, lists in _coded(batches):
+            starts = np.concatenate(([0], np.cumsum([len(o) for o in lists])[:-1]))
+            logs = np.add.reduceat(model.log_probability(*_windows(lists, len(noise))), starts) / np.log(10)
+            score = logs + batch.column(6).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=["row", "id", "held_out", "n_tokens", "known", "base", "score"])
+
+    kind = df.schema[id_column].dataType.simpleString()
+    read = coded.select("row", "id", "held_out", "n_tokens", "known", "base", "share", "outputs")
+    scored = map_batches(read, run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
+    columns = zip(range(vocabulary.outputs), vocabulary.counts, vocabulary.distinct, vocabulary.unseen)
+    classes = [(o, int(n), int(d), float(u)) for o, n, d, u in columns if o >= vocabulary.outputs - CLASSES]
+    totals = F.broadcast(df.sparkSession.createDataFrame(classes, "o int, tokens long, words long, unseen double"))  # CLASSES rows
+    items = coded.select("row", F.inline("rare"))
     found = items.join(counts.withColumnRenamed("n", "c"), "word", "left").join(totals, "o")
     seen = F.col("c").isNotNull()
-    new_share = F.when(F.col("tokens") > 0, F.log10(F.lit(DISCOUNT) * F.col("words") / F.col("tokens"))).otherwise(0.0)
+    new_share = F.when(F.col("tokens") > 0, F.log10(F.lit(DISCOUNT) * F.col("words") / F.col("tokens") / F.col("unseen"))).otherwise(0.0)
     share = F.when(seen, F.log10((F.col("c") - F.lit(DISCOUNT)) / F.col("tokens"))).otherwise(new_share)
     rarely = found.groupBy("row").agg(
         F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("more"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more_base"),
         F.sum(F.col("n") * share).alias("more_score"),
     )
-    whole = scored.drop("rare").join(rarely, "row", "left")
+    whole = scored.join(rarely, "row", "left")
     unit = float(np.log10(vocabulary.tokens + vocabulary.words + 1))
     add = lambda name, more: F.col(name) + F.coalesce(F.col(more), F.lit(0))
     return whole.select(

@@ -35,7 +35,7 @@ def test_training_learns_what_follows():
 
 def test_classes_of_any_word():
     assert all(0 <= shape_class(w.encode()) < CLASSES for w in ["a", "...", "tion.", "é", "日本", "x" * 1000])
-    vocabulary = Vocabulary({b" ": (0, 3)}, CLASSES + 1, np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), 3, 1)
+    vocabulary = Vocabulary({b" ": (0, 3)}, CLASSES + 1, *np.zeros((3, CLASSES + 1)), 3, 1)
     assert vocabulary.output_of(b" ") == 0 and vocabulary.output_of(b"tion.") == 1 + shape_class(b"tion.")
 
 
@@ -63,12 +63,73 @@ def test_counts_and_scores(spark, monkeypatch, head):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_shares_in_a_class_add_up(rows):
-    """Of all known words and one unknown word per class: the model's probabilities after one context."""
-    frame = rows("doc_id LONG, text STRING", *[(i, f"w{i % 7} tion. nation. the") for i in range(60)])
-    known = sorted({w for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens_of(f"w{i % 7} tion. nation. the")} - {" "})
-    empty = score_documents(frame.unionByName(rows("doc_id LONG, text STRING", (1000, "")))).where("doc_id = 1000").first()["score"]
-    assert empty < 0 and known
+def _vocabulary_and_model(monkeypatch, frame):
+    """What the operator builds, kept while it runs."""
+    kept = {}
+    build, train = neural_lm.build_vocabulary, neural_lm.train_model
+    monkeypatch.setattr(neural_lm, "build_vocabulary", lambda counts: kept.setdefault("vocabulary", build(counts)))
+    monkeypatch.setattr(neural_lm, "train_model", lambda coded, vocabulary: kept.setdefault("model", train(coded, vocabulary)))
+    got = score_documents(frame).collect()
+    return got, kept["vocabulary"], kept["model"]
+
+
+def _brute_score(words, counts, vocabulary, model):
+    """log10 probability of a text, token by token: softmax over all outputs, times the share in the class."""
+    first_class = vocabulary.outputs - CLASSES
+    of_class = Counter()
+    seen = {}
+    for w, n in counts.items():
+        o = vocabulary.output_of(w.encode())
+        of_class[o] += n
+        seen.setdefault(o, Counter())[n] += 1
+    before, total = [vocabulary.outputs] * CONTEXT, 0.0
+    for w in words:
+        o = vocabulary.output_of(w.encode())
+        vector = sum(model.context[b].astype(np.float64) @ model.position[i] for i, b in enumerate(before))
+        scores = model.target.astype(np.float64) @ vector + model.bias
+        total += (scores[o] - np.log(np.exp(scores).sum())) / math.log(10)
+        if o >= first_class and of_class[o]:
+            numbers = seen[o]
+            unseen = max(numbers[1] * (numbers[1] - 1) / (2 * (numbers[2] + 1)), 1.0)
+            share = counts[w] - 0.75 if counts[w] else 0.75 * sum(numbers.values()) / unseen
+            total += math.log10(share / of_class[o])
+        before = [*before[1:], o]
+    return total
+
+
+@pytest.mark.parametrize("head, own", [(100_000, 768), (200, 50)])
+def test_scores_equal_brute_force(spark, monkeypatch, head, own):
+    monkeypatch.setattr(neural_lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(neural_lm, "OUTPUT_WORDS", own)
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 120 AND length(text) < 4000").repartition(3)
+    texts = {r["doc_id"]: tokens_of(r["text"]) for r in frame.collect()}
+    counts = Counter(w for i in texts if zlib.crc32(str(i).encode()) % 7 != 2 for w in texts[i])
+    got, vocabulary, model = _vocabulary_and_model(monkeypatch, frame)
+    picked = [r for r in got if r["doc_id"] % 3 == 0]
+    assert len(picked) > 20
+    for r in picked:
+        assert r["score"] == pytest.approx(_brute_score(texts[r["doc_id"]], counts, vocabulary, model), rel=1e-4)
+
+
+def test_shares_in_a_class_add_up(spark, monkeypatch):
+    """All known words of every class and the estimated number of unknown ones: the shares of a class are one."""
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 300")
+    texts = {r["doc_id"]: tokens_of(r["text"]) for r in frame.collect()}
+    counts = Counter(w for i in texts if zlib.crc32(str(i).encode()) % 7 != 2 for w in texts[i])
+    _, vocabulary, _ = _vocabulary_and_model(monkeypatch, frame)
+    sums, checked = Counter(), 0
+    for w, n in counts.items():
+        sums[vocabulary.output_of(w.encode())] += n - 0.75
+    for o in range(vocabulary.outputs - CLASSES, vocabulary.outputs):
+        if vocabulary.counts[o]:
+            reserved = vocabulary.unseen[o] * (0.75 * vocabulary.distinct[o] / vocabulary.counts[o] / vocabulary.unseen[o])
+            assert sums[o] / vocabulary.counts[o] + reserved == pytest.approx(1)
+            checked += 1
+    assert checked > 50 and vocabulary.unseen.max() > 20
+
+
+def test_unseen_words():
+    assert neural_lm.unseen_words(np.array([0, 1, 10, 100]), np.array([0, 0, 4, 0])).tolist() == [1.0, 1.0, 9.0, 4950.0]
 
 
 def test_odd_rows(rows):
