@@ -40,7 +40,7 @@ CLASSES = ENDINGS * SUFFIXES
 #: Words whose counts are broadcast: about 10 MB. All others are counted in and looked up from a table.
 HEAD_WORDS = 60_000
 DISCOUNT = 0.75
-NOISE = 32
+NOISE = 64
 BATCH = 2048
 ROUNDS = 2
 RATE = 0.1
