@@ -9,6 +9,8 @@ from ledgerlake.operators import ledger
 from ledgerlake.plans import roles
 from ledgerlake.plans.registry import Tables, query
 from ledgerlake.plans.roles import CONFIG, with_ledger
+from ledgerlake.session import scratch_path
+from ledgerlake.sources import ledger_tables
 
 
 def _statuses(t: Tables) -> DataFrame:
@@ -60,6 +62,26 @@ def w2_file_decisions(t: Tables) -> DataFrame:
     return ledger.file_decisions(roles.disk_files(t), roles.executions(t), roles.operations(t), CONFIG)
 
 
+@query("W1", with_ledger("SELECT * FROM statuses"))
+def w1_laid_out(t: Tables) -> DataFrame:
+    """From buckets by name."""
+    with ledger_tables.laid_out(roles.operations(t), roles.executions(t), scratch_path(t.spark, "ledger")) as laid:
+        return laid.latest_statuses(CONFIG)
+
+
+@query("J9", with_ledger(RAN.format(condition="AND e.status IN ('success', 'failed')") + "SELECT * FROM ran"))
+def j9_laid_out(t: Tables) -> DataFrame:
+    """From buckets by operation."""
+    with ledger_tables.laid_out(roles.operations(t), roles.executions(t), scratch_path(t.spark, "ledger")) as laid:
+        return laid.latest_executions(CONFIG)
+
+
+@query("W2", with_ledger(RAN.format(condition="AND e.status IN ('success', 'failed')") + DECIDED + DECISION_ROWS))
+def w2_laid_out(t: Tables) -> DataFrame:
+    with ledger_tables.laid_out(roles.operations(t), roles.executions(t), scratch_path(t.spark, "ledger")) as laid:
+        return laid.file_decisions(roles.disk_files(t), CONFIG)
+
+
 @query("W2", with_ledger(RAN.format(condition="AND o.id < 1000") + DECIDED + DECISION_ROWS))
 def w2_file_decisions_strict(t: Tables) -> DataFrame:
     return ledger.file_decisions(
