@@ -1,21 +1,15 @@
-"""Seed data: CSV, JSON with comments and trailing commas, and appends to tables."""
+"""Seed data: CSV, JSON5, and appends to tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from ledgerlake.session import scratch_path
-
-# Strings are matched first and put back, so nothing inside one is touched.
-_STRING = r"""("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+')"""
-COMMENT = _STRING + r"|/\*(?:[^*]|\*(?!/))*+\*/|//[^\n]*+"
-TRAILING_COMMA = _STRING + r"|,(?=\s*+[}\]])"
-RELAXED = {"allowUnquotedFieldNames": True, "allowSingleQuotes": True, "allowNonNumericNumbers": True}
+from pyspark.sql.types import ArrayType, DataType, StructType
 
+from ledgerlake.functions.json5 import strict_json
 
 def read_csv_seed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with a header: trimmed, blank lines skipped, every column a string; an empty cell is ``''``.
@@ -29,29 +23,32 @@ def read_csv_seed(spark: SparkSession, path: str, multiline: bool = False) -> Da
     return rows.na.fill("")
 
 
-def one_line_json(text: Column) -> Column:
-    """A document on one line, without comments and trailing commas."""
-    plain = F.regexp_replace(text, COMMENT, "$1")
-    return F.regexp_replace(F.regexp_replace(plain, TRAILING_COMMA, "$1"), r"\s*\n\s*", " ")
-
-
 def read_json_seed(spark: SparkSession, path: str, schema: StructType | str | None = None, per_line: bool = False) -> DataFrame:
     """JSON or JSON5 seed files; an array document gives one row per element.
 
-    ``per_line``: every line is a document (or a comment), so that files are split among tasks and nothing is rewritten. Else a file is one
-    document, read by one task and limited to 2 GB. Without a schema it is inferred in a pass of its own.
+    ``per_line``: every line is a document (or a comment), so that files are split among tasks. Else a file is one document, read by one task
+    and limited to 2 GB. Without a schema it is inferred from all documents in a pass of its own; columns come in the order of their
+    names. A document that cannot be read gives a row of nulls.
     """
-    reader = spark.read.options(**RELAXED)
-    reader = reader if schema is None else reader.schema(schema)
-    if per_line:
-        lines = spark.read.text(path).select(one_line_json(F.col("value")).alias("value")).where(~F.col("value").rlike(r"^\s*$"))
-        kind = schema if schema is not None else reader.json(lines.rdd.map(lambda r: r[0])).schema
-        options = {k: str(v).lower() for k, v in RELAXED.items()}
-        return lines.select(F.from_json("value", kind, options).alias("r")).select("r.*")
-    whole = spark.read.text(path, wholetext=True).select(one_line_json(F.col("value")).alias("value"))
-    clean = scratch_path(spark, "seed")
-    whole.write.text(clean)
-    return reader.json(clean)
+    texts = spark.read.text(path, wholetext=not per_line)
+    documents = texts.select(strict_json(F.col("value")).alias("value")).where(F.col("value") != "")
+    kind = inferred_schema(documents) if schema is None else StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if kind is None:
+        return spark.createDataFrame([], "value STRING").drop("value")
+    row = F.array(F.from_json("value", kind))
+    rows = F.when(F.startswith("value", F.lit("[")), F.coalesce(F.from_json("value", ArrayType(kind)), row)).otherwise(row)
+    return documents.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def inferred_schema(documents: DataFrame) -> StructType | None:
+    """Columns of all documents (strict JSON in ``value``); None if no document has any."""
+    parsed = documents.select(F.try_parse_json("value").alias("v"))
+    elements = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    found = parsed.select(F.explode(elements).alias("e")).where(F.schema_of_variant("e").startswith("OBJECT")).agg(F.schema_of_variant_agg("e")).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        return None
+    kind = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", found).replace("OBJECT<>", "STRING").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    return DataType.fromDDL(kind)
 
 
 def with_json_text(rows: DataFrame) -> DataFrame:
