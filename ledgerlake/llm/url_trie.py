@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import ship_package
+from ledgerlake.llm.common import fresh, materialize, ship_package
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -21,7 +21,7 @@ RULES = (
     (BLOCK, "net/fr/"),
 )
 
-#: Most rules one trie may hold: about 300 bytes each, so the broadcast stays under 600 MB. Larger lists go in several passes.
+#: Most rules of one trie: about 300 bytes each, so the broadcast stays under 600 MB. Larger lists take several tries, one pass each.
 MOST_RULES = 2_000_000
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -42,9 +42,7 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[tuple[str, str]]):
         self.root: dict = {}
-        for count, (verdict, rule) in enumerate(rules, 1):
-            if count > MOST_RULES:
-                raise ValueError(f"more than {MOST_RULES} rules: split the list")
+        for verdict, rule in rules:
             if verdict not in (ALLOW, BLOCK):
                 raise ValueError(f"verdict {verdict!r} of rule {rule!r}")
             host, _, path = rule.partition("/")
@@ -55,8 +53,8 @@ class UrlTrie:
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            # what follows the last slash of a rule is a prefix of the next segment; mostly it is empty
-            ends = node.setdefault(None, {})
+            # what follows the last slash of a rule is a prefix of the next segment; looked up by its length
+            ends = node.setdefault(None, {}).setdefault(len(rest), {})
             if ends.get(rest, (BLOCK,))[0] == BLOCK and rest in ends:
                 continue  # the same entry both ways: block stays
             ends[rest] = (verdict, rule)
@@ -72,17 +70,18 @@ class UrlTrie:
             if None in node:
                 yield length, node[None]
 
-    def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """Verdict and text of the longest rule that fits; of equally long ones that with the longer host."""
+    def best(self, host: str, path: str) -> tuple[int, int, bool, str] | None:
+        """Length, host's length, whether it blocks, and text of the longest rule that fits; of equally long ones that with the longer host."""
         if not host or not path.startswith("/"):
             return None
-        best, found = (0, 0), None
+        found = None
         for length, node in self._paths(host):
             at = 1
             while True:
-                for rest, hit in node.get(None, {}).items():
-                    if path.startswith(rest, at) and (len(hit[1]), length) > best:
-                        best, found = (len(hit[1]), length), hit
+                for size, ends in node.get(None, {}).items():
+                    hit = ends.get(path[at : at + size])
+                    if hit and (found is None or (len(hit[1]), length) > found[:2]):
+                        found = (len(hit[1]), length, hit[0] == BLOCK, hit[1])
                 end = path.find("/", at)
                 node = node.get(path[at:end]) if end >= 0 else None
                 if node is None:
@@ -90,24 +89,47 @@ class UrlTrie:
                 at = end + 1
         return found
 
+    def match(self, host: str, path: str) -> tuple[str, str] | None:
+        """Verdict and text of the rule of :meth:`best`."""
+        hit = self.best(host, path)
+        return (BLOCK if hit[2] else ALLOW, hit[3]) if hit else None
+
 
 def judge_urls(df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str]] = RULES, default: str = ALLOW) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` (of the rule, else ``default``).
 
     No shuffle. Null, empty and malformed urls have an empty host and path and get the default. Columns of these four
-    names are replaced; all other columns and repeated rows stay. An empty table gives an empty result.
+    names are replaced; all other columns, whatever their names, and repeated rows stay. An empty table gives an empty result. Lists of more
+    than ``MOST_RULES`` are searched trie by trie; the longest rule of all tries counts, and of the same entry both ways the block.
     """
     ship_package(df.sparkSession)
+    rules = list(rules)
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    name = fresh(df, "_judged")
+    made = F.col(f"`{name}`")
+    for start in range(0, max(1, len(rules)), MOST_RULES):
+        judged = _judge(df, rules[start : start + MOST_RULES])(F.col(f"`{url}`"))
+        if start:  # one trie at a time is held by a worker
+            longer = fresh(df, "_longer")
+            df = materialize(df, "judged").withColumn(longer, judged)
+            other = F.col(f"`{longer}`")
+            df = df.withColumn(name, F.when(F.coalesce(other["hit"] > made["hit"], other["hit"].isNotNull()), other).otherwise(made)).drop(longer)
+        else:
+            df = df.withColumn(name, judged)
+    verdict = F.when(made["hit"].isNull(), default).when(made["hit"]["blocks"], BLOCK).otherwise(ALLOW)
+    return df.select(*kept, made["host"].alias("host"), made["path"].alias("path"), made["hit"]["rule"].alias("rule"), verdict.alias("verdict"))
+
+
+def _judge(df: DataFrame, rules: list[tuple[str, str]]):
+    """A function of urls: host, path, and the best rule of these as a struct that sorts by precedence."""
     trie = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
-    @F.pandas_udf("host string, path string, rule string, verdict string")
+    @F.pandas_udf("host string, path string, hit struct<size: int, host: int, blocks: boolean, rule: string>")
     def judged(urls: pd.Series) -> pd.DataFrame:
-        match, rows = trie.value.match, []
+        best, rows = trie.value.best, []
         for host, path in map(split_url, urls):
-            hit = match(host, path)
-            rows.append((host, path, hit[1] if hit else None, hit[0] if hit else default))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
+            hit = best(host, path)
+            rows.append((host, path, dict(zip(("size", "host", "blocks", "rule"), hit)) if hit else None))
+        return pd.DataFrame(rows, columns=["host", "path", "hit"])
 
-    made = F.col("`_judged`")
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return df.withColumn("_judged", judged(F.col(f"`{url}`"))).select(*kept, *(made[c].alias(c) for c in ("host", "path", "rule", "verdict")))
+    return judged

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from ledgerlake.llm.language import CodeModel, accepted_documents, codewords, ngram_buckets, predict_languages
 from pyspark.sql import functions as F
@@ -59,3 +61,25 @@ def test_odd_rows(rows):
     assert {r["lang_pred"] for r in predict_languages(unlabelled).collect()} == {"und"}
     assert accepted_documents(unlabelled).count() == 5
     assert predict_languages(frame.limit(0)).count() == 0 and accepted_documents(frame.limit(0)).count() == 0
+
+
+def test_many_languages(rows, monkeypatch):
+    """More labels than are fitted on the driver: the same model from sums over the bits."""
+    from ledgerlake.llm import language
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    data = []
+    for lang in range(12):
+        own = ["".join(rng.choice(letters[lang * 2 :] + letters[: lang * 2 : 3]) for _ in range(6)) for _ in range(30)]
+        data += [(len(data) + i, " ".join(rng.choices(own, k=30)), f"l{lang:03d}") for i in range(12)]
+    frame = rows("doc_id BIGINT, text STRING, lang STRING", *data).repartition(3)
+    want = language.train(frame)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 5)
+    got = language.train(frame)
+    assert got.languages == want.languages and np.array_equal(got.codes, want.codes)
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.trust, want.trust, atol=1e-4)
+    monkeypatch.setattr(language, "DECODED_TOGETHER", 1000)
+    assert [r["lang_pred"] for r in language.predict_languages(frame).where("held_out").collect()].count("und") == 0
+    codes = language.codewords(2500)
+    assert len({c.tobytes() for c in codes}) == 2500

@@ -95,3 +95,11 @@ def test_components(rows):
     edges = rows("a LONG, b LONG", (1, 2), (2, 1), (3, 2), (5, 6), (7, 7), (None, 3), *[(100 + i, 101 + i) for i in range(60)], *[(200, 300 + i) for i in range(30)])
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7, **{100 + i: 100 for i in range(61)}, 200: 200, **{300 + i: 200 for i in range(30)}}
+
+
+def test_any_other_column_names(rows):
+    names = "_id STRING, _row INT, _text STRING, _of INT, _value INT, fp INT, _fp INT"
+    frame = rows(f"doc_id BIGINT, text STRING, {names}", *[(i, t, "a", 1, "b", 2, 3, 4, 5) for i, t in ((1, "one two three four"), (1, "one two three four"), (2, "one two three four"), (3, "other words are here"), (None, ""))])
+    kept = keep_first_of_groups(frame)
+    assert kept.columns == frame.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]

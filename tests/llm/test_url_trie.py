@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from ledgerlake.llm import url_trie
 from ledgerlake.llm.queries import QUERIES, SQL
 from ledgerlake.llm.url_trie import ALLOW, BLOCK, RULES, UrlTrie, judge_urls, split_url
 from oracle import _normal, connect
@@ -54,6 +55,28 @@ def test_rows(rows):
     assert judge_urls(frame.limit(0), rules=RULES).count() == 0
 
 
+def test_lists_of_several_tries(rows, monkeypatch):
+    """Any size of trie gives the same verdicts, repeated and contrary entries included."""
+    rng = random.Random(9)
+    labels, segments = ["a", "b", "com"], ["en", "es", "e"]
+    rules = [(rng.choice([ALLOW, BLOCK]), ".".join(rng.choices(labels, k=rng.randint(1, 3))) + "/" + "/".join(rng.choices(segments, k=rng.randint(0, 2)))) for _ in range(30)]
+    urls = ["x://" + ".".join(rng.choices(labels, k=3)) + "/" + "/".join(rng.choices(segments, k=3)) for _ in range(80)] + [None, "x"]
+    frame = rows("url STRING, _judged INT, _longer STRING", *[(u, 7, "kept") for u in urls])
+    for most in (7, 1000):
+        monkeypatch.setattr(url_trie, "MOST_RULES", most)
+        made = judge_urls(frame, rules=rules)
+        assert made.columns == ["url", "_judged", "_longer", "host", "path", "rule", "verdict"]
+        for r in made.collect():
+            want = plain(*split_url(r["url"]), rules)
+            assert (r["verdict"], r["rule"]) == (want or (ALLOW, None)) and (r["_judged"], r["_longer"]) == (7, "kept")
+
+
+def test_many_rules_that_end_at_one_node():
+    trie = UrlTrie([(BLOCK, f"a.com/p{i}") for i in range(20_000)])
+    assert trie.match("a.com", "/p19999x") == (BLOCK, "a.com/p19999") and trie.match("a.com", "/q") is None
+    assert len(trie.root["com"]["a"][None][None]) == 5  # looked up by length: 2 to 6 letters
+
+
 def test_query_equals_sql(spark):
     frame = QUERIES["op9_url_filter"](spark, FOLDER)
     result = connect(FOLDER).execute(SQL["op9_url_filter"])
