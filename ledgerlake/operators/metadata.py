@@ -19,10 +19,44 @@ def describe(spark: SparkSession, table: str) -> dict:
     return json.loads(spark.sql(f"DESCRIBE EXTENDED {table} AS JSON").first()[0])
 
 
-def catalog_tables(spark: SparkSession, database: str = "default") -> tuple[DataFrame, DataFrame]:
-    """``tables`` and ``columns`` of a database. One driver call per object: only names and types travel."""
+def analyze(spark: SparkSession, database: str = "default", pattern: str = "*") -> None:
+    """Have Spark count the rows and bytes of a database's tables and keep them as statistics."""
+    for entry in spark.catalog.listTables(database, pattern):
+        if entry.tableType in ("MANAGED", "EXTERNAL"):
+            spark.sql(f"ANALYZE TABLE `{database}`.`{entry.name}` COMPUTE STATISTICS")
+
+
+def catalog_statistics(spark: SparkSession, database: str = "default", pattern: str = "*") -> DataFrame:
+    """``table_schema, table_name, kind, column_count, row_estimate, size_in_bytes, definition`` of a database's tables and views.
+
+    One call for all objects whose name fits the pattern (``*`` and ``|``); no table is read and none is described by itself. Estimates are the
+    counts of the last :func:`analyze`, null where there was none.
+    """
+    shown = spark.sql(f"SHOW TABLE EXTENDED IN `{database}` LIKE '{pattern}'")
+    facts = F.col("information")
+    fact = lambda expression: F.nullif(F.regexp_extract(facts, f"(?m)^{expression}", 1), F.lit(""))
+    view = (fact("Type: (.*)$") == "VIEW") | F.col("isTemporary")
+    return shown.select(
+        F.col("namespace").alias("table_schema"),
+        F.col("tableName").alias("table_name"),
+        F.when(F.coalesce(view, F.lit(False)), "view").otherwise("table").alias("kind"),
+        F.size(F.regexp_extract_all(facts, F.lit(r"(?m)^ \|-- "), F.lit(0))).cast("bigint").alias("column_count"),
+        fact(r"Statistics: .*?(\d+) rows$").cast("bigint").alias("row_estimate"),
+        fact(r"Statistics: (\d+) bytes").cast("bigint").alias("size_in_bytes"),
+        fact(r"View Text: ([\s\S]*?)\nView Original Text: ").alias("definition"),
+    )
+
+
+def estimated_table_list(statistics: DataFrame, kind: str = "table") -> DataFrame:
+    """Tables (or views) with their column count and estimated rows; an estimate of 0 shows as absent."""
+    rows = statistics.where(F.col("kind") == kind)
+    return rows.select("table_schema", "table_name", "column_count", F.when(F.col("row_estimate") > 0, F.col("row_estimate")).alias("row_estimate"))
+
+
+def catalog_tables(spark: SparkSession, database: str = "default", pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``tables`` and ``columns`` of a database. One driver call per object whose name fits the pattern: only names and types travel."""
     tables, columns = [], []
-    for entry in spark.catalog.listTables(database):
+    for entry in spark.catalog.listTables(database, pattern):
         namespace = entry.namespace[0] if entry.namespace else ""
         name = f"`{namespace}`.`{entry.name}`" if namespace else f"`{entry.name}`"
         info = describe(spark, name)
