@@ -55,7 +55,7 @@ FURNITURE_NAMES = frozenset(
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tag, or class or id word after a mark, outermost first
+    path: tuple[str, ...]  # tag, or class or id word after a mark, of all open elements; each once, outermost first
     text: str
     linked: float  # share of the characters within links
 
@@ -66,11 +66,19 @@ class BlockParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.path: tuple[str, ...] = ()
+        self.stack: list[tuple[str, tuple[str, ...]]] = []  # tag and names of the open elements
+        self.open: dict[str, int] = {}  # how many of them have a name
+        self.known: tuple[str, ...] | None = ()
         self.parts: list[str] = []
         self.links = self.chars = self.hidden = self.anchors = 0
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Made once for all blocks between two changes, so memory grows with the names and not with the depth."""
+        if self.known is None:
+            self.known = tuple(self.open)
+        return self.known
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -80,14 +88,19 @@ class BlockParser(HTMLParser):
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            tag, _ = self.stack.pop()
+            tag, names = self.stack.pop()
             if tag in HIDDEN_ELEMENTS:
                 self.hidden -= 1
             elif tag == "a":
                 self.anchors -= 1
             if tag not in INLINE:
                 self.flush()
-        self.path = self.stack[-1][1] if self.stack else ()
+            for name in names:
+                if self.open[name] == 1:
+                    del self.open[name]
+                    self.known = None
+                else:
+                    self.open[name] -= 1
 
     def _close_implied(self, tag: str) -> None:
         if tag not in INLINE:
@@ -117,13 +130,18 @@ class BlockParser(HTMLParser):
         if tag not in INLINE:
             self.flush()
         self._close_implied(tag)
-        path = (*self.path, tag)
+        names = [tag]
         if attrs and tag != "a":
             for name, value in attrs:
                 if value and name in ("class", "id", "role", "itemprop"):
-                    path = (*path, *("." + w for w in _name_words(value.lower())))
-        self.stack.append((tag, path))
-        self.path = path
+                    names += ["." + w for w in _name_words(value.lower())]
+        for name in names:
+            if name in self.open:
+                self.open[name] += 1
+            else:
+                self.open[name] = 1
+                self.known = None
+        self.stack.append((tag, tuple(names)))
         if tag in HIDDEN_ELEMENTS:
             self.hidden += 1
         elif tag == "a":

@@ -26,7 +26,7 @@ SKETCH = 64
 
 #: Buckets of neighbouring documents: about this many rows each, as long as their bounds are few.
 ROWS_IN_BUCKET = 1000
-MOST_BUCKETS = 4096
+MOST_BUCKETS = 65_536
 _SHIFT = np.uint64(31)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,7 +137,8 @@ def _bounds(keys: DataFrame, rows: int) -> list[tuple]:
     buckets = min(MOST_BUCKETS, max(1, -(-rows // ROWS_IN_BUCKET)))
     if buckets == 1:
         return []
-    sample = keys.sample(min(1.0, 40 * buckets / rows), seed=7).collect()  # about 40 per bucket
+    each = 40 if buckets <= 4096 else 10  # keys that reach the driver, about, for a bucket
+    sample = keys.sample(min(1.0, each * buckets / rows), seed=7).collect()
     ordered = sorted({_order(r[0], r[1]) for r in sample})
     return sorted({ordered[i * len(ordered) // buckets] for i in range(1, buckets)}) if ordered else []
 

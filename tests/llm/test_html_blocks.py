@@ -123,3 +123,21 @@ def test_sample_of_long_pages_and_copies(rows, pages, monkeypatch):
 def test_nothing_to_learn_from():
     with pytest.raises(ValueError, match="cannot be trained"):
         train_labeller(["<script>x</script>"])
+
+
+def test_nested_elements_take_little_memory():
+    """Open elements of any depth: memory and time grow with their number."""
+    import tracemalloc
+
+    tracemalloc.start()
+    for page in ("<div>" * 40_000 + "text", "<div class='a b'><p>x" * 15_000, "<b><i>" * 15_000 + "end" + "</i></b>" * 15_000):
+        blocks = blocks_of(page)
+        assert blocks and blocks[-1].text in ("text", "x", "end")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
+def test_names_of_closed_elements_leave_the_path():
+    first, second, third = blocks_of("<div class='a'><div class='a b'><p>one</p></div><p>two</p></div><p>three</p>")
+    assert first.path == ("div", ".a", ".b", "p") and second.path == ("div", ".a", "p") and third.path == ("p",)
