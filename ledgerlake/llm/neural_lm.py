@@ -50,6 +50,8 @@ MOST_WORDS = 200_000
 MOST_RARE = 100_000
 #: Tokens whose windows are built together.
 CODED_TOGETHER = 400_000
+#: Characters of the texts that are coded together.
+CODED_CHARS = 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -277,6 +279,20 @@ def _windows(lists: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarra
     return np.stack([flat[at - CONTEXT + i] for i in range(CONTEXT)], axis=1), flat[at]
 
 
+@dataclass
+class Read:
+    """The tokens of some texts, one after another, each text with its end."""
+
+    sizes: np.ndarray  # tokens of each text
+    places: np.ndarray  # in the head; -1 for other words
+    outputs: np.ndarray
+    rare: list[bytes]  # distinct words that are not in the head
+    classes: np.ndarray  # their outputs
+    rare_text: np.ndarray  # text, word (place in ``rare``) and number, by text
+    rare_word: np.ndarray
+    rare_times: np.ndarray
+
+
 class _Reader:
     """Reads the words of texts as numbers: places in the head, and outputs. Shape classes of rarer words are kept."""
 
@@ -284,26 +300,36 @@ class _Reader:
         self.place = {w: i for i, w in enumerate(vocabulary.head)}
         self.output = np.array([o for o, _ in vocabulary.head.values()], dtype=np.int32)
         self.first_class = vocabulary.outputs - CLASSES
-        self.rare: dict[bytes, int] = {}
-
-    def class_of(self, word: bytes) -> int:
-        found = self.rare.get(word)
-        if found is None:
-            if len(self.rare) > MOST_RARE:
-                self.rare = {}
-            found = self.rare[word] = self.first_class + shape_class(word)
-        return found
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Places (-1: not in the head) and outputs of the words and the end, and the words that are not in the head."""
-        get = self.place.get
-        places = np.fromiter(chain(map(get, words, repeat(-1)), (self.place[END],)), dtype=np.int32, count=len(words) + 1)
-        outputs = self.output[places]
-        missing = np.flatnonzero(places < 0)
-        rare = [words[i] for i in missing.tolist()]
-        if rare:
-            outputs[missing] = [self.class_of(w) for w in rare]
-        return places, outputs, rare
+        self.kept: dict[bytes, int] = {}
+
+    def classes_of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.kept) > MOST_RARE:
+            self.kept = {}
+        for word in words:
+            if word not in self.kept:
+                self.kept[word] = self.first_class + shape_class(word)
+        return np.fromiter(map(self.kept.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def read(self, texts: list[str]) -> Read:
+        lists = [words_of(t) for t in texts]
+        words = list(chain.from_iterable(lists))
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        found = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        missing = np.flatnonzero(found < 0)
+        number: dict[bytes, int] = {}
+        ids = np.array([number.setdefault(words[i], len(number)) for i in missing.tolist()], dtype=np.int64)
+        rare = list(number)
+        classes = self.classes_of(rare)
+        outputs = self.output[found]
+        outputs[missing] = classes[ids]
+        key, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[missing] * max(1, len(rare)) + ids, return_counts=True)
+        # the end after each text
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(words) + len(texts), dtype=bool)
+        inside[ends] = False
+        places, all_outputs = np.full(len(inside), self.place[END], dtype=np.int32), np.zeros(len(inside), dtype=np.int32)
+        places[inside], all_outputs[inside] = found, outputs
+        return Read(sizes + 1, places, all_outputs, rare, classes, key // max(1, len(rare)), key % max(1, len(rare)), times)
 
 
 def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -321,27 +347,21 @@ def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         base_at = np.append(np.log10(counts + 1.0), 0.0)
         share_at = np.zeros(len(counts) + 1)
         share_at[:-1][in_class] = np.log10((counts[in_class] - DISCOUNT) / vocabulary.counts[reader.output[in_class]])
-        for batch, texts in chunks(batches, "text"):
-            read = [reader.read(words_of(t)) for t in texts]
-            places = np.concatenate([p for p, _, _ in read])
-            sizes = [len(o) for _, o, _ in read]
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            known, base, share = (np.add.reduceat(v[places], starts) for v in (known_at, base_at, share_at))
-            rare, times, offsets = [], [], [0]
-            for _, _, words in read:
-                tally = Counter(words)
-                rare.extend(tally)
-                times.extend(tally.values())
-                offsets.append(len(rare))
-            classes = [reader.class_of(w) for w in rare]
-            items = pa.StructArray.from_arrays(
-                [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(classes, pa.int32()), pa.array(times, pa.int64())], names=["word", "o", "n"]
-            )
+        for batch, texts in chunks(batches, "text", CODED_CHARS):
+            read = reader.read(texts)
+            starts = np.cumsum(read.sizes) - read.sizes
+            known, base, share = (np.add.reduceat(v[read.places], starts) for v in (known_at, base_at, share_at))
+            word, at = pa.array(read.rare, pa.binary()).cast(pa.string()), pa.array(read.rare_word)
+            items = pa.StructArray.from_arrays([word.take(at), pa.array(read.classes).take(at), pa.array(read.rare_times.astype(np.int64))], names=["word", "o", "n"])
+            rows = np.arange(len(texts) + 1)
+            offsets = pa.array(np.searchsorted(read.rare_text, rows).astype(np.int32))
+            outputs = read.outputs.astype("<u2").tobytes()
+            cuts = np.append(starts, len(read.outputs)).astype(np.int32) * 2
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(share, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items),
-                    pa.array([o.astype("<u2").tobytes() for _, o, _ in read], pa.binary()),
+                    batch.column(0), batch.column(1), batch.column(2), pa.array(read.sizes), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                    pa.array(share, pa.float64()), pa.ListArray.from_arrays(offsets, items),
+                    pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(outputs)]),
                 ],
                 names=["row", "id", "held_out", "n_tokens", "known", "base", "share", "rare", "outputs"],
             )
