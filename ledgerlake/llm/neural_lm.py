@@ -254,7 +254,11 @@ class LogBilinear:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x.clip(-30, 30)))
+    """In place."""
+    with np.errstate(over="ignore"):  # an infinite exponential gives 0
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
