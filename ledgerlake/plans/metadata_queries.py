@@ -47,8 +47,8 @@ def _once(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     return held[name]
 
 
-def _members(t: Tables) -> DataFrame:
-    """Supplier, line number, part brand and part type that occur together."""
+def _members(t: Tables, shared: bool) -> DataFrame:
+    """Supplier, line number, part brand and part type that occur together; ``shared`` if several parts of a query use them."""
 
     def make() -> DataFrame:
         part = t.part.select("p_partkey", "p_brand", "p_type")
@@ -56,12 +56,12 @@ def _members(t: Tables) -> DataFrame:
         joined = used.join(part, F.col("l_partkey") == F.col("p_partkey"))
         return joined.select("l_suppkey", "l_linenumber", "p_brand", "p_type").distinct()
 
-    return _once(t, "members", make)
+    return _once(t, "members", make) if shared else make()
 
 
-def columns(t: Tables) -> DataFrame:
+def columns(t: Tables, shared: bool = False) -> DataFrame:
     """Columns of a supplier's table: the brand and type pairs of its parts, at most 25 by 6."""
-    pairs = _members(t).select("l_suppkey", "p_brand", "p_type").distinct()
+    pairs = _members(t, shared).select("l_suppkey", "p_brand", "p_type").distinct()
     index = label_of(F.col("p_type"), {k: str(v) for k, v in TYPE_INDEX.items()}).cast("int")
     named = pairs.select(
         _table_name(F.col("l_suppkey")).alias("table_name"),
@@ -76,10 +76,10 @@ def columns(t: Tables) -> DataFrame:
     )
 
 
-def keys(t: Tables) -> DataFrame:
+def keys(t: Tables, shared: bool = False) -> DataFrame:
     """Constraints of a supplier's table: one per line number, over the brands of its parts, at most 25."""
     line = F.col("l_linenumber")
-    pairs = _members(t).select("l_suppkey", "l_linenumber", "p_brand").distinct()
+    pairs = _members(t, shared).select("l_suppkey", "l_linenumber", "p_brand").distinct()
     foreign = line.isin(2, 3)
     named = pairs.select(
         _table_name(F.col("l_suppkey")).alias("table_name"),
@@ -220,7 +220,7 @@ SELECT c.*, EXISTS (SELECT 1 FROM keys k WHERE k.kind = 'primary' AND k.table_sc
 FROM columns c""",
 )
 def x4_column_details(t: Tables) -> DataFrame:
-    return metadata.column_details(columns(t), keys(t))
+    return metadata.column_details(columns(t, shared=True), keys(t, shared=True))
 
 
 @query(
@@ -237,7 +237,7 @@ SELECT t.table_schema, t.table_name, nullif(row_count, 0) AS row_count,
 FROM tables t WHERE kind = 'table'""",
 )
 def x4_table_detail(t: Tables) -> DataFrame:
-    detail = metadata.table_detail(tables(t), columns(t), keys(t))
+    detail = metadata.table_detail(tables(t), columns(t, shared=True), keys(t, shared=True))
     names = {"columns": "columns.column_name", "indexes": "indexes", "foreign_keys": "foreign_keys"}
     return detail.select(
         "table_schema", "table_name", "row_count", *[F.array_join(source, ",").alias(name) for name, source in names.items()]
@@ -279,7 +279,7 @@ JOIN (SELECT DISTINCT table_schema, constraint_name, on_delete FROM keys) k ON k
 WHERE m.kind = 'foreign'""",
 )
 def j8_reference_pairs(t: Tables) -> DataFrame:
-    rows = keys(t)
+    rows = keys(t, shared=True)
     at = ["table_schema", "constraint_name"]
     return metadata.reference_pairs(
         rows.select(*at, "position", "column_name"),
