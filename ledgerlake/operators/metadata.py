@@ -29,7 +29,7 @@ def analyze(spark: SparkSession, database: str = "default", pattern: str = "*")
 def catalog_statistics(spark: SparkSession, database: str = "default", pattern: str = "*") -> DataFrame:
     """``table_schema, table_name, kind, column_count, row_estimate, size_in_bytes, definition`` of a database's tables and views.
 
-    One call for all objects whose name fits the pattern (``*`` and ``|``); no table is read and none is described by itself. Estimates are the
+    One call for all objects whose name fits the pattern (``*`` and ``|``), temporary views of the session with an empty schema included; no table is read and none is described by itself. Estimates are the
     counts of the last :func:`analyze`, null where there was none.
     """
     shown = spark.sql(f"SHOW TABLE EXTENDED IN `{database}` LIKE '{pattern}'")

@@ -280,23 +280,23 @@ def test_catalog_statistics(spark, rows, monkeypatch):
     spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
     spark.sql(f"CREATE DATABASE {database}")
     try:
-        for name, n in (("many", 120), ("none", 0), ("other", 3)):
+        for name, n in (("stat_many", 120), ("stat_none", 0), ("stat_other", 3)):
             spark.range(n).selectExpr("id", "id % 3 AS part").write.saveAsTable(f"{database}.{name}")
-        spark.sql(f"CREATE VIEW {database}.seen AS SELECT id FROM {database}.many")
+        spark.sql(f"CREATE VIEW {database}.stat_seen AS SELECT id FROM {database}.stat_many")
         at = ["table_name", "kind", "column_count", "row_estimate", "definition"]
-        before = {r.table_name: r for r in metadata.catalog_statistics(spark, database).collect()}
-        assert set(before) == {"many", "none", "other", "seen"} and before["seen"].kind == "view" and before["many"].row_estimate is None
-        metadata.analyze(spark, database, "many|none")
-        got = cells(metadata.catalog_statistics(spark, database), *at)
+        before = {r.table_name: r for r in metadata.catalog_statistics(spark, database, "stat_*").collect()}
+        assert set(before) == {"stat_many", "stat_none", "stat_other", "stat_seen"} and before["stat_seen"].kind == "view" and before["stat_many"].row_estimate is None
+        metadata.analyze(spark, database, "stat_many|stat_none")
+        got = cells(metadata.catalog_statistics(spark, database, "stat_*"), *at)
         assert got == [
-            ("many", "table", 2, 120, None), ("none", "table", 2, 0, None), ("other", "table", 2, None, None), ("seen", "view", 1, None, f"SELECT id FROM {database}.many"),
+            ("stat_many", "table", 2, 120, None), ("stat_none", "table", 2, 0, None), ("stat_other", "table", 2, None, None), ("stat_seen", "view", 1, None, f"SELECT id FROM {database}.stat_many"),
         ]
-        assert cells(metadata.estimated_table_list(metadata.catalog_statistics(spark, database)), "table_name", "row_estimate") == [("many", 120), ("none", None), ("other", None)]
-        assert cells(metadata.catalog_statistics(spark, database, "o*"), "table_name") == [("other",)]
+        assert cells(metadata.estimated_table_list(metadata.catalog_statistics(spark, database, "stat_*")), "table_name", "row_estimate") == [("stat_many", 120), ("stat_none", None), ("stat_other", None)]
+        assert cells(metadata.catalog_statistics(spark, database, "stat_o*"), "table_name") == [("stat_other",)]
         described = []
         describe = metadata.describe
         monkeypatch.setattr(metadata, "describe", lambda s, table: described.append(table) or describe(s, table))
-        tables, columns = metadata.catalog_tables(spark, database, "o*")
-        assert len(described) == 1 and cells(tables, "table_name") == [("other",)] and columns.count() == 2
+        tables, columns = metadata.catalog_tables(spark, database, "stat_o*")
+        assert len(described) == 1 and cells(tables, "table_name") == [("stat_other",)] and columns.count() == 2
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
