@@ -95,7 +95,7 @@ def test_row_numbers_split_the_hot_group(spark):
     df = spark.range(10_000).select(F.lit(1).alias("k"), "id")
     placed = df.repartitionByRange(10, "k", "id").groupBy(F.spark_partition_id()).count()
     assert placed.count() == 10 and placed.agg(F.max("count")).first()[0] < 2500
-    assert ranking._ranges(df) == 4 and 4 < ranking._ranges(spark.range(10**9)) < 100
+    assert ranking.range_count(df) == 4 and 4 < ranking.range_count(spark.range(10**9)) < 100
 
 
 @pytest.mark.parametrize("kind", ["double", "string", "timestamp", "timestamp_ntz", "decimal(20,4)", "date", "boolean", "binary"])
