@@ -31,5 +31,5 @@ def test_stages_and_run(spark):
 
 
 def test_registered():
-    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
     assert len(corpus_pipeline.STAGES) == 4
