@@ -6,6 +6,9 @@ done; after log2(rows) + 1 rounds only such rows are left.
 
 Subtrees are ranges of a numbering, parents before their children: a row lies below another if its number lies in the other's range.
 So the closure, whose size may be quadratic, is never written.
+
+Both sides of a join here grow with the rows. They are small as compressed files and would be broadcast, through the driver, in every round;
+the hint has them shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def _links(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """``id, up``: parents that do not exist count as no parent. A key that stands in two rows is an error."""
     known = nodes.select(F.col(key).alias("__known")).distinct()
     links = one_per_key(nodes.select(F.col(key).alias("id"), F.col(parent).alias("up")), ["id"])
-    joined = links.join(known, links["up"] == known["__known"], "left")
+    joined = links.join(known.hint("merge"), links["up"] == known["__known"], "left")
     return joined.select("id", F.col("__known").alias("up"))
 
 
@@ -49,7 +52,7 @@ def roots_and_depths(nodes: DataFrame, key: str, parent: str) -> DataFrame:
             break
         step = done.unionByName(waiting)
         step = step.select(F.col("id").alias("root"), F.col("root").alias("r"), F.col("depth").alias("d"), "done")
-        moved = waiting.drop("done").join(step, "root")
+        moved = waiting.drop("done").join(step.hint("merge"), "root")
         moved = moved.select("id", F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), "done")
         finished, waiting, seen = _split(moved, F.col("done"))
         done = done.unionByName(finished)
@@ -61,7 +64,7 @@ def roots_and_depths(nodes: DataFrame, key: str, parent: str) -> DataFrame:
 def mark_descendants(nodes: DataFrame, key: str, parent: str, seeds: DataFrame) -> DataFrame:
     """The seed rows and every row below one of them; circles are safe."""
     seed = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct().withColumn("__seed", F.lit(True))
-    links = _links(nodes, key, parent).join(seed, "id", "left")
+    links = _links(nodes, key, parent).join(seed.hint("merge"), "id", "left")
     links = links.select("id", "up", F.coalesce("__seed", F.lit(False)).alias("hit"))
     settled = F.col("hit") | F.col("up").isNull()
     done, waiting, seen = _split(links, settled)
@@ -70,7 +73,7 @@ def mark_descendants(nodes: DataFrame, key: str, parent: str, seeds: DataFrame)
             break
         step = done.unionByName(waiting)
         step = step.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hit").alias("above"))
-        moved = waiting.drop("hit").join(step, "up").select("id", F.col("next").alias("up"), F.col("above").alias("hit"))
+        moved = waiting.drop("hit").join(step.hint("merge"), "up").select("id", F.col("next").alias("up"), F.col("above").alias("hit"))
         finished, waiting, seen = _split(moved, settled)
         done = done.unionByName(finished)
     return done.where("hit").select(F.col("id").alias(key))
@@ -85,15 +88,16 @@ def subtree_ranges(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """
     placed = materialize(roots_and_depths(nodes, key, parent).withColumnRenamed(key, "id"), "forest")
     reached = placed.where(F.col("root").isNotNull())
-    links = materialize(_links(nodes, key, parent).join(reached.select("id"), "id", "left_semi").select("id", "up"), "forest-links")
+    links = materialize(_links(nodes, key, parent).join(reached.select("id").hint("merge"), "id", "left_semi").select("id", "up"), "forest-links")
     rounds = int(reached.agg(F.max("depth")).first()[0] or 0).bit_length()
 
     sizes = links.select("id", F.col("up").alias("jump"), F.lit(1).cast("bigint").alias("size"))
     for _ in range(rounds):  # size: rows below at a distance of less than 2 ** round; jump: the ancestor at that distance
         sent = sizes.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("more"))
-        moved = _jumped(sizes, "size", F.col("size")).join(sent, "id", "left")
+        moved = _jumped(sizes, "size", F.col("size")).join(sent.hint("merge"), "id", "left")
         sizes = materialize(moved.select("id", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "subtree-sizes")
-    sized = links.join(sizes.select("id", "size"), "id")
+    # written, as the number of ranges follows from the size of the rows, which for a join is a guess
+    sized = materialize(links.join(sizes.select("id", "size").hint("merge"), "id"), "subtree-sized")
 
     before = running_totals(sized, "size", ["id"], within=["up"], name="before")
     own = F.col("before") + F.when(F.col("up").isNull(), 0).otherwise(1)
@@ -102,15 +106,15 @@ def subtree_ranges(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     for _ in range(rounds):
         paths = materialize(_jumped(paths, "first", F.col("first") + F.col("above")), "path-sums")
 
-    numbered = paths.select("id", "first").join(steps.select("id", "size"), "id")
+    numbered = paths.select("id", "first").join(steps.select("id", "size").hint("merge"), "id")
     ranges = numbered.select("id", "first", (F.col("first") + F.col("size") - 1).alias("last"))
-    return placed.join(ranges, "id", "left").select(F.col("id").alias(key), "root", "depth", "first", "last")
+    return placed.join(ranges.hint("merge"), "id", "left").select(F.col("id").alias(key), "root", "depth", "first", "last")
 
 
 def _jumped(state: DataFrame, value: str, combined: Column) -> DataFrame:
     """``id, jump, value`` after one doubling; ``combined`` may use ``above``, the value of the row jumped to."""
     onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col(value).alias("above"))
-    waiting = state.where(F.col("jump").isNotNull()).join(onward, "jump")
+    waiting = state.where(F.col("jump").isNotNull()).join(onward.hint("merge"), "jump")
     return state.where(F.col("jump").isNull()).unionByName(waiting.select("id", F.col("next").alias("jump"), combined.alias(value)))
 
 

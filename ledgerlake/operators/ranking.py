@@ -34,12 +34,22 @@ DATE_NAMES = [
 ID_NAMES = ["^id$", "^_id$", "[_-]id$"]
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    return _plan_bytes(df._jdf.queryExecution().optimizedPlan())
+
+
+def _plan_bytes(plan) -> int:
+    return int(str(plan.stats().sizeInBytes()))
+
+
 def range_count(df: DataFrame) -> int:
     """Number of ranges from the estimated size of the input, at least the session's number of shuffle partitions."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # joins may have an estimate beyond any real size
-    return max(least, min(math.ceil(size / RANGE_BYTES), 100 * least))
+    count = math.ceil(estimated_bytes(df) / RANGE_BYTES)
+    if count > 100 * least:  # a join's estimate, the product of its sides', may be beyond any real size: what is read counts
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        count = math.ceil(sum(_plan_bytes(leaves.apply(i)) for i in range(leaves.size())) / RANGE_BYTES)
+    return max(least, min(count, 100 * least))
 
 
 def number_rows(
@@ -72,7 +82,7 @@ def number_rows(
     firsts = placed.groupBy("__range", "__group").agg(F.min("__at").alias("__first")).join(starts, "__range")
     first = F.min(F.col("__start") + F.col("__first")).over(Window.partitionBy("__group"))
     bases = firsts.select("__range", "__group", (F.col("__start") - first).alias("__base"))  # one row per group and range
-    numbered = placed.join(bases, ["__range", "__group"])
+    numbered = placed.join(bases.hint("merge"), ["__range", "__group"])  # bases grow with the groups: no broadcast
     return numbered.select(*columns, (F.col("__base") + F.col("__at") + 1).alias(name))
 
 
@@ -91,7 +101,8 @@ def running_totals(df: DataFrame, value: str, order: Sequence[str], within: Sequ
     inside = Window.partitionBy("__group", "__range").orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return summed.join(bases, ["__group", "__range"]).select(*columns, (F.col("__base") + F.col("__inside")).alias(name))
+    summed = summed.join(bases.hint("merge"), ["__group", "__range"])  # bases grow with the groups: no broadcast
+    return summed.select(*columns, (F.col("__base") + F.col("__inside")).alias(name))
 
 
 def column_order(column: str, descending: bool = False) -> Column:

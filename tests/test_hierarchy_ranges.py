@@ -6,9 +6,10 @@ import random
 
 import pytest
 from conftest import cells
+from pyspark.sql import functions as F
 
 from ledgerlake.operators.hierarchy import descendants, subtree_ranges
-from ledgerlake.operators.ranking import running_totals
+from ledgerlake.operators.ranking import range_count, running_totals
 
 DDL = "id INT, up INT"
 
@@ -95,3 +96,22 @@ def test_running_totals_over_all_rows_and_null_groups(rows):
     data = rows("g INT, at INT, v INT", (1, 1, 5), (1, 2, None), (1, 3, 2), (None, 1, 7), (None, 2, 1))
     assert cells(running_totals(data, "v", ["at"], within=["g"]), "g", "at", "before") == [(None, 1, 0), (None, 2, 7), (1, 1, 0), (1, 2, 5), (1, 3, 5)]
     assert [r["before"] for r in running_totals(data, "v", ["g", "at"]).orderBy("g", "at").collect()] == [0, 7, 8, 13, 13]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """A join that is broadcast fails."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_ranges_are_not_broadcast(spark, no_broadcast):
+    links = FORESTS["random"]
+    ranges = subtree_ranges(spark.createDataFrame(links, DDL).repartition(3), "id", "up")
+    assert sorted(tuple(r) for r in ranges.collect()) == sorted(_ranges(links))
+
+
+def test_a_join_has_no_more_ranges_than_what_it_reads_asks_for(spark):
+    numbers = spark.range(10**6)
+    assert range_count(numbers.join(numbers.withColumnRenamed("id", "other"), F.col("id") == F.col("other"))) == 4
