@@ -126,7 +126,7 @@ SELECT level, count(*) AS employees FROM chain GROUP BY level""",
 )
 def u3_recursive_sql(t: Tables) -> DataFrame:
     """The recursive statement itself, passed through as text; the limits of recursion are lifted for the session."""
-    t.customer.createOrReplaceTempView("employees")
+    results.create_step_view(t.customer, "employees")
     text = """
         WITH RECURSIVE chain(id, level) AS (
           SELECT c_custkey, 0 FROM employees WHERE c_custkey = 0
@@ -146,7 +146,7 @@ SELECT level, count(*) AS parts, min(id) AS first_id FROM chain GROUP BY level""
 )
 def u3_deep_recursive_sql(t: Tables) -> DataFrame:
     """Chains of 160 levels, as text."""
-    t.part.createOrReplaceTempView("deep_parts")
+    results.create_step_view(t.part.select("p_partkey"), "deep_parts", "p_partkey")
     text = """
         WITH RECURSIVE chain(id, level) AS (
           SELECT p_partkey, 0 FROM deep_parts WHERE p_partkey % 160 = 1

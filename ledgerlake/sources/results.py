@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from dataclasses import dataclass
@@ -16,8 +17,12 @@ from pyspark.sql.types import StructType
 
 from ledgerlake import schemas
 from ledgerlake.operators import eventlog
+from ledgerlake.operators.ranking import estimated_bytes
 from ledgerlake.sources.versions import VersionedTable
 
+#: About as many bytes of input make one partition of a kept table; each costs a task a level.
+KEPT_BYTES = 32 << 20
+
 
 @dataclass(frozen=True)
 class SqlResult:
@@ -41,6 +46,19 @@ def lift_recursion_limits(spark: SparkSession) -> None:
         spark.conf.set(limit, -1)
 
 
+def create_step_view(table: DataFrame, name: str, key: str | None = None) -> None:
+    """A view of a table that every level of a recursive statement joins; joins with it are shuffled.
+
+    Its estimate counts compressed bytes, so millions of short rows would be broadcast, through the driver, once a level. With ``key``, a
+    column of that join, the table is kept dealt and sorted by it: a level then exchanges only the rows of the level before.
+    """
+    if key:
+        spark, asked = table.sparkSession, math.ceil(estimated_bytes(table) / KEPT_BYTES)  # beyond any real size if not known
+        parts = max(spark.sparkContext.defaultParallelism, min(asked, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        table = table.repartition(parts, key).sortWithinPartitions(key).persist()
+    table.hint("merge").createOrReplaceTempView(name)
+
+
 def run_sql(spark: SparkSession, text: str, args: dict[str, Any] | None = None) -> SqlResult:
     """Run SQL text as it is, with bound parameters; errors of planning and of the run become part of the result.
 

@@ -300,3 +300,22 @@ def test_catalog_statistics(spark, rows, monkeypatch):
         assert len(described) == 1 and cells(tables, "table_name") == [("stat_other",)] and columns.count() == 2
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+@pytest.mark.parametrize("key", [None, "id"])
+def test_levels_of_a_recursive_statement_are_not_broadcast(spark, key):
+    """Broadcasts fail; chains of four, with a key that comes twice and one that is null."""
+    rows = spark.range(40).union(spark.createDataFrame([(2,), (None,)], "id BIGINT"))
+    results.create_step_view(rows, "steps", key)
+    results.lift_recursion_limits(spark)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        got = spark.sql("""
+            WITH RECURSIVE chain(id, level) AS (
+              SELECT id, 0 FROM steps WHERE id % 4 = 0
+              UNION ALL SELECT s.id, level + 1 FROM steps s JOIN chain ON s.id = chain.id + 1 AND s.id % 4 <> 0)
+            SELECT level, count(*) AS n, min(id) AS first_id FROM chain GROUP BY level""")
+        assert sorted(tuple(r) for r in got.collect()) == [(0, 10, 0), (1, 10, 1), (2, 11, 2), (3, 11, 3)]
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+        spark.catalog.clearCache()
