@@ -127,12 +127,12 @@ def descendants(ranges: DataFrame, key: str, seeds: DataFrame) -> DataFrame:
     seed = seeds.select(F.col(seeds.columns[0]).alias("ancestor")).distinct()
     known = ranges.where(F.col("first").isNotNull()).select(F.col(key).alias("id"), "depth", "first", "last")
     width = F.greatest(F.ceil((known.agg(F.max("first")).scalar() + 1) / STRETCHES), F.lit(1))
-    wanted = seed.join(known, seed["ancestor"] == known["id"]).where("last > first")
+    wanted = seed.join(known.hint("merge"), seed["ancestor"] == known["id"]).where("last > first")
     wanted = wanted.select("ancestor", F.col("depth").alias("from"), F.col("first").alias("low"), "last", width.alias("width"))
     touched = F.sequence(F.floor(F.col("low") / F.col("width")), F.floor(F.col("last") / F.col("width")))
     wanted = wanted.withColumn("stretch", F.explode(touched)).drop("width")
     rows = known.select("id", "depth", "first", F.floor(F.col("first") / width).alias("stretch"))
-    met = rows.join(wanted, "stretch").where("first > low AND first <= last")
+    met = rows.join(wanted.hint("merge"), "stretch").where("first > low AND first <= last")
     return met.select("ancestor", F.col("id").alias(key), (F.col("depth") - F.col("from")).alias("distance"))
 
 

@@ -112,6 +112,13 @@ def test_ranges_are_not_broadcast(spark, no_broadcast):
     assert sorted(tuple(r) for r in ranges.collect()) == sorted(_ranges(links))
 
 
+def test_descendants_are_not_broadcast(spark, no_broadcast):
+    links = FORESTS["random"]
+    ranges = spark.createDataFrame(_ranges(links), "id INT, root INT, depth BIGINT, first BIGINT, last BIGINT")
+    seeds = spark.createDataFrame([(i,) for i, _ in links if i % 3 == 0], "seed INT")
+    assert {tuple(r) for r in descendants(ranges, "id", seeds).collect()} == {p for p in _below(links) if p[0] % 3 == 0}
+
+
 def test_a_join_has_no_more_ranges_than_what_it_reads_asks_for(spark):
     numbers = spark.range(10**6)
     assert range_count(numbers.join(numbers.withColumnRenamed("id", "other"), F.col("id") == F.col("other"))) == 4
